@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearth.functions.text import BLANKS, as_column
+from hearth.functions.text import BLANK_CHARS, as_column, blank_tokens
 
-# fixed values: the rules of the public mteval-13a tokeniser, in order
+# fixed values: the rules of the public mteval-13a tokeniser, in order; the first
+# leaves out the space, which ends up between tokens either way
 ENTITIES = {"&quot;": '"', "&amp;": "&", "&lt;": "<", "&gt;": ">"}
 SPLIT_RULES = [
-    (r"([{-~\[-` -&(-+:-@/])", " $1 "),
+    (r"([{-~\[-`!-&(-+:-@/])", " $1 "),
     (r"([^0-9])([.,])", "$1 $2 "),
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -24,18 +25,18 @@ SPLIT_RULES = [
 
 def tokens_13a(text: Column | str) -> Column:
     """Array of mteval-13a tokens; case is kept."""
-    line = F.regexp_replace(as_column(text), f"[{BLANKS}]+$", "")
+    line = F.rtrim(as_column(text), F.lit(BLANK_CHARS))
     for mark, into in {"<skipped>": "", "-\n": "", "\n": " ", **ENTITIES}.items():
         line = F.replace(line, F.lit(mark), F.lit(into))
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for rule, into in SPLIT_RULES:
         line = F.regexp_replace(line, rule, into)
-    return F.filter(F.split(line, f"[{BLANKS}]+"), lambda t: t != "")
+    return blank_tokens(line)
 
 
 def words_az09(text: Column | str) -> Column:
     """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(as_column(text)), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(as_column(text)), "[^a-z0-9]+"), "")
 
 
 # ---- Porter stemming ---------------------------------------------------------
@@ -163,16 +164,17 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("array<int>")
-def lcs_plain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series([[lcs_length(list(a), list(b)), len(a), len(b)] for a, b in zip(left, right)])
+def stems(tokens: list[str]) -> list[str]:
+    return [porter_stem(t) if len(t) > 3 else t for t in tokens]
 
 
-@F.pandas_udf("array<int>")
-def lcs_stemmed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    def stems(tokens) -> list[str]:
-        return [porter_stem(t) if len(t) > 3 else t for t in tokens]
+def lcs_sizes(left: Column, right: Column, stem: bool) -> Column:
+    """``[common length, left length, right length]`` of two token arrays."""
 
-    for left, right in batches:
-        yield pd.Series([[lcs_length(stems(a), stems(b)), len(a), len(b)] for a, b in zip(left, right)])
+    @F.pandas_udf("array<int>")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokens = stems if stem else list
+        for a_side, b_side in batches:
+            yield pd.Series([[lcs_length(tokens(a), tokens(b)), len(a), len(b)] for a, b in zip(a_side, b_side)])
+
+    return measure(left, right)

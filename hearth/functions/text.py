@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from hearth import constants as C
 
-# Every character Python's str.split() takes as blank, as a regex class body.
-BLANKS = (
-    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Every character Python's str.split() takes as blank: Unicode white space and four
+# separators. As a regex class (which needs the U flag) and as plain characters.
+BLANK = r"[\s\x1c-\x1f]"
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -24,16 +26,16 @@ def text_or_empty(value: Column | str, null_literal: str = "") -> Column:
 
 
 def collapse_blanks(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, f"[{BLANKS}]+", " "))
+    return F.trim(F.regexp_replace(value, f"(?U){BLANK}+", " "))
 
 
 def strip_blanks(value: Column) -> Column:
     """Unicode-aware trim; inner blanks are kept."""
-    return F.regexp_replace(value, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.trim(value, F.lit(BLANK_CHARS))
 
 
 def first_token(value: Column) -> Column:
-    return F.regexp_extract(value, f"[^{BLANKS}]+", 0)
+    return F.regexp_extract(value, r"(?U)[^\s\x1c-\x1f]+", 0)
 
 
 def whole_word(word: str) -> str:
@@ -41,11 +43,16 @@ def whole_word(word: str) -> str:
 
 
 def fix_typos(value: Column) -> Column:
-    """Whole-word spelling fixes; one scan decides whether any of them is needed."""
+    """Whole-word spelling fixes. Plain substring searches decide whether a text may
+    need any; the two letters that fold to s and i outside ASCII count as a maybe."""
     fixed = value
     for wrong, right in C.TYPOS.items():
         fixed = F.regexp_replace(fixed, whole_word(wrong), right)
-    return F.when(value.rlike("(?iu)" + "|".join(C.TYPOS)), fixed).otherwise(value)
+    lower = F.lower(value)
+    maybe = value.contains("\u017f") | value.contains("\u0131")
+    for wrong in C.TYPOS:
+        maybe = maybe | lower.contains(wrong)
+    return F.when(maybe, fixed).otherwise(value)
 
 
 def clean_text(value: Column | str, null_literal: str = "") -> Column:
@@ -88,4 +95,4 @@ def missing_to_null(value: Column | str) -> Column:
 
 def blank_tokens(value: Column) -> Column:
     """Tokens between blanks, without empty ones."""
-    return F.filter(F.split(value, f"[{BLANKS}]+"), lambda t: t != "")
+    return F.array_remove(F.split(value, f"(?U){BLANK}+"), "")

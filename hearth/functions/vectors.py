@@ -61,25 +61,24 @@ def hash_embed(text: Column | str, dim: int = EMBED_DIM, prefix: str = "") -> Co
     per token.
     """
     words = F.split(F.lower(with_prefix(prefix, text) if prefix else as_column(text)), r"[^\p{L}\p{N}]+")
-    words = F.filter(words, lambda w: w != "")
-    buckets = F.transform(
-        words,
-        lambda w: F.concat(
-            F.lit("<"),
-            F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("string"),
-            F.lit(">"),
-        ),
-    )
+    words = F.array_remove(words, "")
+
+    def mark(bucket: Column) -> Column:
+        if dim <= 90:
+            return F.char(bucket + 33)
+        return F.concat(F.lit("<"), bucket.cast("string"), F.lit(">"))
+
+    def bucket_of(word: Column) -> Column:
+        return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
     def counts(joined: Column) -> Column:
         def count(bucket: Column) -> Column:
-            mark = F.concat(F.lit("<"), bucket.cast("string"), F.lit(">"))
-            left = F.length(F.replace(joined, mark, F.lit("")))
-            return (F.length(joined) - left) / F.length(mark)
+            left = F.octet_length(F.replace(joined, mark(bucket), F.lit("")))
+            return (F.octet_length(joined) - left) / F.octet_length(mark(bucket))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), count)
 
-    return l2_normalize(bind(F.array_join(buckets, ""), counts))
+    return l2_normalize(bind(F.array_join(F.transform(words, lambda w: mark(bucket_of(w))), ""), counts))
 
 
 def embed_with(load: Callable[[], Callable[[list[str]], np.ndarray]], text: Column | str, prefix: str = "") -> Column:

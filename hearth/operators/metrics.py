@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth import constants as C
-from hearth.functions.overlap import lcs_plain, lcs_stemmed, tokens_13a, words_az09
+from hearth.functions.overlap import lcs_sizes, tokens_13a, words_az09
 from hearth.functions.safety import max_score
 from hearth.operators.nearest import greedy_match
 from hearth.functions.vectors import bind
@@ -100,8 +100,8 @@ def bleu_score() -> list[Column]:
 
 def rouge_l_rows(pairs: DataFrame, pred: str = "pred", ref: str = "ref", stem: bool = True) -> DataFrame:
     """Add ``precision, recall, f1`` of the longest common subsequence of each pair."""
-    measure = lcs_stemmed if stem else lcs_plain
-    sized = pairs.withColumn("_l", measure(words_az09(pred), words_az09(ref)))
+    sides = [words_az09(F.coalesce(side, F.lit(""))) for side in (pred, ref)]
+    sized = pairs.withColumn("_l", lcs_sizes(*sides, stem))
     lcs, n_pred, n_ref = (F.get("_l", F.lit(i)) for i in range(3))
     precision = F.when(n_pred > 0, lcs / n_pred).otherwise(F.lit(0.0))
     recall = F.when(n_ref > 0, lcs / n_ref).otherwise(F.lit(0.0))

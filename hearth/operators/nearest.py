@@ -178,6 +178,7 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, vector: str, k: int, skip_self: bool) -> DataFrame:
     schema = _hit_schema(queries, points, query_id, point_id)
+    queries, points = (df.filter(F.col(vector).isNotNull()) for df in (queries, points))
     # the caller has checked the size of the query side
     table = queries.select(query_id, vector).toArrow()
     shared = queries.sparkSession.sparkContext.broadcast((table.column(0).to_pandas(), _matrix(table.column(1))))
@@ -215,6 +216,7 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
     left = queries.select(query_id, vector, *extra)
     right = points.select(point_id, vector, *extra)
     left, right = _blocked(left, right, [query_id], [point_id], by, block_rows)
+    left, right = (df.filter(F.col(vector).isNotNull()) for df in (left, right))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
         out = []
@@ -258,11 +260,10 @@ def nearest(
     With ``by`` a query only sees points of its own key. Ids must be unique on
     each side. Rows without a vector are ignored.
     """
-    queries = queries.filter(F.col(vector).isNotNull() & F.col(query_id).isNotNull())
-    points = points.filter(F.col(vector).isNotNull() & F.col(point_id).isNotNull())
     if by is None:
-        size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
-        if size["n"] * (size["dim"] or 0) * 8 <= broadcast_bytes:
+        # counting rows needs no vector, so that computed vectors are not computed for it
+        row = queries.select(F.size(vector).alias("dim")).filter("dim > 0").first()
+        if row is None or queries.count() * row["dim"] * 8 <= broadcast_bytes:
             return _broadcast_search(queries, points, query_id, point_id, vector, k, skip_self)
     return _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows)
 

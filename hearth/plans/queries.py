@@ -13,7 +13,7 @@ from hearth.functions.facts import extract_facts
 from hearth.functions.prompts import fallback_response
 from hearth.operators import corpus, memory, metrics, nearest, ordering
 from hearth.plans import jobs, views
-from hearth.session import scratch_path
+from hearth.session import checkpointed, scratch_path
 from hearth.sources import requests, tables
 from hearth.streaming import turns as streams
 
@@ -319,7 +319,7 @@ def context_block(spark, folder):
 
 @query
 def index_build(spark, folder):
-    raw = views.table(spark, folder, "documents").select("doc_id", "text")
+    raw = views.texts(spark, folder).select("doc_id", "text")
     return jobs.build_index(raw, "doc_id").select("id", "document", _joined(F.col("embedding")).alias("embedding"))
 
 
@@ -377,7 +377,9 @@ def memory_clear_user(spark, folder):
 
 
 def _memory_hits(spark, folder):
-    return memory.retrieve_memories(views.turn_queries(spark, folder), _memory(spark, folder), skip_self=True)
+    return checkpointed(
+        memory.retrieve_memories(views.turn_queries(spark, folder), _memory(spark, folder), skip_self=True)
+    )
 
 
 @query
@@ -432,7 +434,7 @@ QUERIES["fallback_response"] = QUERIES.pop("fallback_reply")
 
 @query
 def lexicon_toxicity(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.texts(spark, folder)
     scored = docs.select("doc_id", safety.lexicon_scores("text", views.TEST_LEXICON).alias("scores"))
     word = F.get(F.map_keys("scores"), F.lit(0))
     return scored.select("doc_id", (F.size("scores") > 0).alias("toxic"), F.coalesce(word, F.lit("")).alias("word"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearth import constants as C
 from hearth.functions.vectors import hash_embed
 from hearth.operators.memory import pair_turns
+from hearth.session import spread
 
 TEST_LEXICON = ["idiot", "moron", "clown", "worthless"]
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, spread over the cores for work that is heavy per text."""
+    return spread(table(spark, folder, "documents"))
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """User messages with their reply, a user and a time."""
     paired = pair_turns(table(spark, folder, "conversations"))
@@ -67,7 +73,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_dialogues(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as raw dialogue rows: labels in the context, artefacts and typos in the text."""
-    doc = table(spark, folder, "documents")
+    doc = texts(spark, folder)
     c, e = F.col("doc_id") % 5, F.col("doc_id") % 6
     context = (
         F.when(c == 0, F.concat(F.lit("Sad "), "source"))
@@ -152,7 +158,7 @@ def request_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 def collection(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as a vector collection."""
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("document"),
         hash_embed("text", prefix=C.PASSAGE_PREFIX).alias("embedding"),

@@ -72,3 +72,13 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of too few splits over all cores, for work that is heavy per row.
+
+    A table of at least as many splits as cores, which any large one has, is
+    returned as it is.
+    """
+    cores = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -51,7 +51,7 @@ def ingest_memory(turns: DataFrame, path: str, checkpoint: str, late: str = "1 h
     Ids repeated within ``late`` of event time are dropped; state is kept per id,
     so a busy user is spread over all tasks.
     """
-    records = memory_records(turns.withWatermark("created_at", late), **options)
+    records = memory_records(turns, **options).withWatermark("created_at", late)
     unique = records.dropDuplicatesWithinWatermark(["id"])
     writer = with_bucket(unique).writeStream.outputMode("append").format("parquet").partitionBy("user_bucket")
     return _start(writer.option("path", path), checkpoint, drain)
@@ -103,7 +103,7 @@ def retrieve_for_turns(
         queries = batch.select(
             F.col("turn_id").alias("query_id"), "user_id", hash_embed("user_message", prefix=C.QUERY_PREFIX).alias("embedding")
         )
-        columns = ["query_id", "source", "rank", "id", "distance"]
+        columns = ["query_id", "source", "rank", F.col("id").cast("string").alias("id"), "distance"]
         known = retrieve_memories(queries, memory(), memories, skip_self=True).withColumn("source", F.lit("memory"))
         found = nearest(queries, collection(), contexts).withColumn("source", F.lit("context"))
         return known.select(*columns).unionByName(found.select(*columns))
