@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A column used several times, or inside a lambda, may be evaluated each time;
+    as the element of a one-item array it becomes a plain variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(value: Column | str, null_literal: str = "") -> Column:
     """Text of a cell; a missing cell becomes ``null_literal``."""
     return F.coalesce(as_column(value).cast("string"), F.lit(null_literal))
@@ -60,7 +71,12 @@ def clean_text(value: Column | str, null_literal: str = "") -> Column:
     text = F.replace(text_or_empty(value, null_literal), F.lit("\x00"), F.lit(""))
     for artefact, mark in C.ARTEFACTS.items():
         text = F.replace(text, F.lit(artefact), F.lit(mark))
-    return collapse_blanks(fix_typos(text))
+    return bind(text, lambda t: collapse_blanks(fix_typos(t)))
+
+
+def is_blank(value: Column) -> Column:
+    """True for texts that cleaning leaves empty; far cheaper than cleaning them."""
+    return strip_blanks(F.replace(value, F.lit("\x00"), F.lit(""))) == ""
 
 
 def with_prefix(prefix: str, value: Column | str) -> Column:

@@ -9,19 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearth.functions.text import as_column, with_prefix
+from hearth.functions.blocks import DISTANCE_DECIMALS
+from hearth.functions.text import as_column, bind, with_prefix
 
 EMBED_DIM = 64
-DISTANCE_DECIMALS = 6
-
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
-
-    A column used inside a lambda is evaluated again for every element; passing
-    it in as the element of a one-item array makes it a plain variable.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearth import constants as C
 from hearth.functions.labels import derive_emotion, in_taxonomy, normalize_emotion, strip_label_token
-from hearth.functions.text import clean_text, strip_blanks, text_or_empty, whole_word
+from hearth.functions.text import clean_text, is_blank, strip_blanks, text_or_empty, whole_word
 from hearth.sources.tables import MissingColumns, require_columns
 
 
@@ -46,9 +46,10 @@ def infer_emotion(df: DataFrame) -> Column:
 
 def clean_corpus(raw: DataFrame, max_chars: int = C.MAX_TEXT_CHARS, **options) -> DataFrame:
     """``(text, emotion)`` of every usable row; one narrow pass, no shuffle."""
-    text = F.substring(clean_text(infer_text(raw, **options)), 1, max_chars)
-    labelled = raw.select(text.alias("text"), normalize_emotion(infer_emotion(raw)).alias("emotion"))
-    return labelled.filter(F.col("text") != "")
+    labelled = raw.select(infer_text(raw, **options).alias("text"), infer_emotion(raw).alias("emotion"))
+    return labelled.filter(~is_blank(F.col("text"))).select(
+        F.substring(clean_text("text"), 1, max_chars).alias("text"), normalize_emotion("emotion").alias("emotion")
+    )
 
 
 def dedup_corpus(corpus: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from hearth import constants as C
 from hearth.functions.overlap import lcs_sizes, tokens_13a, words_az09
 from hearth.functions.safety import max_score
+from hearth.functions.text import bind
 from hearth.operators.nearest import greedy_match
-from hearth.functions.vectors import bind
+from hearth.session import shuffle_width
 
 MAX_ORDER = 4
 
@@ -51,9 +52,11 @@ def bleu(pairs: DataFrame, row_id: str = "row_id", pred: str = "pred", ref: str
     row = F.struct(
         F.lit("row").alias("side"), F.lit(0).alias("n"), F.when(F.col("used"), "fallback").otherwise("").alias("gram")
     )
-    grams = texts.repartition("row_id").select(
+    # a given number of partitions: this stage expands its input and must not be coalesced
+    parts = shuffle_width(pairs.sparkSession)
+    grams = texts.repartition(parts, "row_id").select(
         "row_id",
-        F.explode(F.concat(F.array(row), _ngrams(tokens_13a("p"), "p"), _ngrams(tokens_13a("r"), "r"))).alias("g"),
+        F.explode_outer(F.concat(F.array(row), _ngrams(tokens_13a("p"), "p"), _ngrams(tokens_13a("r"), "r"))).alias("g"),
     )
     clipped = grams.groupBy("row_id", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
         F.count_if(F.col("g.side") == "p").alias("in_pred"), F.count_if(F.col("g.side") == "r").alias("in_ref")

@@ -20,82 +20,20 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.vectors import DISTANCE_DECIMALS
+from hearth.functions.blocks import CHUNK_CELLS, DISTANCE_DECIMALS, by_key, codes_of, distances, k_best, matrix, with_vector
 from hearth.operators.ordering import top_per_group
 from hearth.session import checkpointed, parallelism
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 20_000
-# cells of the distance matrix held at a time
-CHUNK_CELLS = 4_000_000
 # most hot keys that are joined by broadcast
 HOT_KEYS_BROADCAST = 100_000
 
 
-# ---- kernels: plain numpy on one block ---------------------------------------
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    squares = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None, :]
-    gaps = squares - 2.0 * (queries @ points.T)
-    return np.round(np.maximum(gaps, 0.0), DISTANCE_DECIMALS)
-
-
-def _k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None):
-    """Row, column and distance of the k nearest points of every query.
-
-    ``points`` must be in id order: equal distances are then settled by column.
-    ``same`` holds codes of the ids of both sides; equal codes are left out.
-    """
-    rows, cols, dists = [], [], []
-    step = max(1, CHUNK_CELLS // max(1, len(points)))
-    for start in range(0, len(queries), step):
-        part = _distances(queries[start : start + step], points)
-        if same is not None:
-            part[same[0][start : start + step][:, None] == same[1][None, :]] = np.inf
-        bound = np.partition(part, k - 1, axis=1)[:, k - 1] if k < len(points) else np.full(len(part), np.inf)
-        r, c = np.nonzero((part <= bound[:, None]) & np.isfinite(part))
-        d = part[r, c]
-        order = np.lexsort((c, d, r))
-        r, c, d = r[order], c[order], d[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = place < k
-        rows.append(r[keep] + start)
-        cols.append(c[keep])
-        dists.append(d[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
-
-
-def _codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    codes, _ = pd.factorize(pd.concat([left, right], ignore_index=True))
-    return codes[: len(left)], codes[len(left) :]
-
-
-def _by_key(left: pd.Series, right: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of both sides for every key of the left side."""
-    lc, rc = _codes(left, right)
-    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
-    ls, rs = lc[lo], rc[ro]
-    for code in np.unique(ls):
-        yield (
-            lo[np.searchsorted(ls, code) : np.searchsorted(ls, code, "right")],
-            ro[np.searchsorted(rs, code) : np.searchsorted(rs, code, "right")],
-        )
-
-
 # ---- blocks --------------------------------------------------------------------
 
 
@@ -178,20 +116,20 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, vector: str, k: int, skip_self: bool) -> DataFrame:
     schema = _hit_schema(queries, points, query_id, point_id)
-    queries, points = (df.filter(F.col(vector).isNotNull()) for df in (queries, points))
     # the caller has checked the size of the query side
-    table = queries.select(query_id, vector).toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((table.column(0).to_pandas(), _matrix(table.column(1))))
+    table = with_vector(queries.select(query_id, vector).toArrow(), 1)
+    shared = queries.sparkSession.sparkContext.broadcast((table.column(0).to_pandas(), matrix(table.column(1))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
+        ids, asked = shared.value
         best = None
         for batch in batches:
-            if batch.num_rows == 0:
+            batch = with_vector(batch, 1)
+            if batch.num_rows == 0 or len(asked) == 0:
                 continue
             order = np.argsort(batch.column(0).to_pandas().to_numpy(), kind="stable")
             names = batch.column(0).to_pandas().iloc[order].reset_index(drop=True)
-            r, c, d = _k_best(matrix, _matrix(batch.column(1))[order], k, _codes(ids, names) if skip_self else None)
+            r, c, d = k_best(asked, matrix(batch.column(1))[order], k, codes_of(ids, names) if skip_self else None)
             found = pd.DataFrame({"q": r, "id": names.to_numpy()[c], "d": d})
             # keep k per query across the batches of the task
             best = found if best is None else pd.concat([best, found], ignore_index=True)
@@ -216,24 +154,24 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
     left = queries.select(query_id, vector, *extra)
     right = points.select(point_id, vector, *extra)
     left, right = _blocked(left, right, [query_id], [point_id], by, block_rows)
-    left, right = (df.filter(F.col(vector).isNotNull()) for df in (left, right))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
+        ls, rs = with_vector(ls, 1), with_vector(rs, 1)
         out = []
         if ls.num_rows and rs.num_rows:
             qid, pid = ls.column(0).to_pandas(), rs.column(0).to_pandas()
             order = np.argsort(pid.to_numpy(), kind="stable")
             pid = pid.iloc[order].reset_index(drop=True)
-            qs, ps = _matrix(ls.column(1)), _matrix(rs.column(1))[order]
+            qs, ps = matrix(ls.column(1)), matrix(rs.column(1))[order]
             if extra:
-                groups = _by_key(ls.column(2).to_pandas(), rs.column(2).to_pandas().iloc[order].reset_index(drop=True))
+                groups = by_key(ls.column(2).to_pandas(), rs.column(2).to_pandas().iloc[order].reset_index(drop=True))
             else:
                 groups = iter([(np.arange(len(qid)), np.arange(len(pid)))])
-            codes = _codes(qid, pid) if skip_self else None
+            codes = codes_of(qid, pid) if skip_self else None
             for li, ri in groups:
                 if len(ri):
                     same = (codes[0][li], codes[1][ri]) if codes else None
-                    r, c, d = _k_best(qs[li], ps[ri], k, same)
+                    r, c, d = k_best(qs[li], ps[ri], k, same)
                     out.append((qid.to_numpy()[li[r]], pid.to_numpy()[ri[c]], d))
         q, p, d = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         names = ["query_id", "id", "distance"]
@@ -274,9 +212,12 @@ def nearest(
 def fit_cells(points: DataFrame, n_cells: int, vector: str = "embedding", train_rows: int = 200_000, seed: int = 42) -> np.ndarray:
     """Cell centres from k-means. Training on a sample moves the centres only; every
     row is assigned to a cell, so no result depends on the sample being complete."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     rows = points.count()
     sample = points if rows <= train_rows else points.sample(train_rows / rows, seed)
-    features = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    features = sample.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(features)
     return np.array(model.clusterCenters(), dtype=np.float64)
 
@@ -291,9 +232,10 @@ def assign_cells(df: DataFrame, centres: np.ndarray, n: int, vector: str = "embe
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middles = shared.value
         for batch in batches:
+            batch = with_vector(batch, place)
             if batch.num_rows == 0:
                 continue
-            gaps = np.sqrt(_distances(_matrix(batch.column(place)), middles))
+            gaps = np.sqrt(distances(matrix(batch.column(place)), middles))
             cells = np.argsort(gaps, axis=1, kind="stable")[:, skip:n]
             rows = np.repeat(np.arange(batch.num_rows), cells.shape[1])
             out = batch.take(pa.array(rows))
@@ -323,8 +265,8 @@ def nearest_clustered(
     radius is not beyond the k-th hit, which makes the answer equal to
     :func:`nearest`.
     """
-    queries = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    points = points.filter(F.col(vector).isNotNull()).select(F.col(point_id).alias("id"), F.col(vector).alias("v"))
+    queries = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    points = points.select(F.col(point_id).alias("id"), F.col(vector).alias("v"))
     centres = fit_cells(points, n_cells, "v", seed=seed)
     celled = assign_cells(points, centres, 1, "v")
 
@@ -393,10 +335,11 @@ def greedy_match(tokens: DataFrame, row_id: str = "row_id", side: str = "side",
     left, right = _blocked(left, right, [row_id, pos], [row_id, pos], row_id, block_rows)
 
     def match(ls: pa.Table, rs: pa.Table) -> pa.Table:
+        ls, rs = with_vector(ls, 2), with_vector(rs, 2)
         lk, rk = ls.column(0).to_pandas(), rs.column(0).to_pandas()
-        lv, rv = _matrix(ls.column(2)), _matrix(rs.column(2))
+        lv, rv = matrix(ls.column(2)), matrix(rs.column(2))
         lbest, rbest = np.full(len(lk), np.nan), np.full(len(rk), np.nan)
-        for li, ri in _by_key(lk, rk):
+        for li, ri in by_key(lk, rk):
             step = max(1, CHUNK_CELLS // max(1, len(ri)))
             for start in range(0, len(li), step) if len(ri) else ():
                 part = li[start : start + step]

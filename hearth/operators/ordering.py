@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.session import materialised, parallelism
+from hearth.session import materialised, shuffle_width
 
 # rows one window group may hold before it is split
 GROUP_SPAN = 100_000
@@ -47,9 +47,8 @@ def with_dense_index(df: DataFrame, order_by: str, name: str = "index") -> DataF
     partition, and shifted by the row counts of the partitions before.
     """
     spark = df.sparkSession
-    parts = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = (
-        df.repartitionByRange(parts, order_by)
+        df.repartitionByRange(shuffle_width(spark), order_by)
         .sortWithinPartitions(order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

@@ -18,7 +18,7 @@ from hearth.operators.corpus import clean_corpus, dedup_corpus, infer_index_text
 from hearth.operators.memory import memory_block, retrieve_memories
 from hearth.operators.nearest import nearest, with_content
 from hearth.operators.ordering import gather_lines, top_per_group, with_dense_index
-from hearth.session import checkpointed
+from hearth.session import checkpointed, materialised
 from hearth.sources.tables import scan_corpus_splits
 
 # ---- corpus and index ---------------------------------------------------------
@@ -67,7 +67,11 @@ def model_input(examples: DataFrame, max_tokens: int = 128, max_target_tokens: i
 
 
 def fit_classifier(corpus: DataFrame, features: int = 1 << 12, max_iter: int = 20) -> PipelineModel:
-    """Emotion classifier; the fitted model is bounded by labels times features."""
+    """Emotion classifier; the fitted model is bounded by labels times features.
+
+    Fitting reads the corpus many times, so it is written out once before.
+    """
+    corpus = materialised(corpus.select("text", "emotion"), "training")
     indexer = StringIndexer(inputCol="emotion", outputCol="label", handleInvalid="keep").fit(corpus)
     stages = [
         indexer,

@@ -110,7 +110,7 @@ MESSAGES = """messages AS (
       WHEN 4 THEN 'I love ' || p_name || '!' WHEN 5 THEN 'my wife is named Eve.'
       WHEN 6 THEN 'I studied ' || lower(p_type) || '. I can swim' WHEN 7 THEN 'I am sad today' WHEN 8 THEN '   '
       ELSE 'Nothing to report' END AS user_message,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey::INTEGER) AS created_at
+    TIMESTAMP '2024-01-01 00:00:30' + to_minutes(c_custkey::INTEGER) AS created_at
   FROM customer JOIN part ON p_partkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
 
 
@@ -430,7 +430,7 @@ ORACLE: dict[str, str] = {
     "hash_embed": with_ctes(f"SELECT id, {shown('embedding')} AS embedding FROM doc_vectors", DOC_VECTORS),
     "l2_normalize": f"""SELECT id, {shown('list_transform(v, lambda x: (x / CASE WHEN n > 0 THEN n ELSE 1 END)::FLOAT)')} AS embedding
       FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
-        SELECT vec_id AS id, list_transform(embedding, lambda x: (x * vec_id)::DOUBLE) AS v FROM embeddings))""",
+        SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * vec_id) AS v FROM embeddings))""",
     "extract_facts": with_ctes(f"SELECT message_id, array_to_string({facts('user_message')}, '; ') AS facts FROM messages", MESSAGES),
     "knn_topk": KNN,
     "knn_topk_blocks": KNN,

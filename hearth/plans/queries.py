@@ -13,7 +13,7 @@ from hearth.functions.facts import extract_facts
 from hearth.functions.prompts import fallback_response
 from hearth.operators import corpus, memory, metrics, nearest, ordering
 from hearth.plans import jobs, views
-from hearth.session import checkpointed, scratch_path
+from hearth.session import checkpointed, materialised, scratch_path
 from hearth.sources import requests, tables
 from hearth.streaming import turns as streams
 
@@ -253,7 +253,7 @@ def hash_embed(spark, folder):
 
 @query
 def l2_normalize(spark, folder):
-    doubled = F.transform("embedding", lambda x: x * F.col("id"))
+    doubled = F.transform("embedding", lambda x: x.cast("double") * F.col("id"))
     return views.vectors(spark, folder).select("id", _joined(vectors.l2_normalize(doubled)).alias("embedding"))
 
 
@@ -519,7 +519,8 @@ def evaluation_run(spark, folder):
 
 
 def _corpus(spark, folder):
-    return corpus.clean_corpus(views.raw_dialogues(spark, folder))
+    """The corpus as training reads it: written by the preparation job, then scanned."""
+    return materialised(corpus.clean_corpus(views.raw_dialogues(spark, folder)), "corpus")
 
 
 @query

@@ -62,7 +62,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         .join(nation, customer.c_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
     )
-    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:30").cast("timestamp_ntz").cast("timestamp"))
     return rows.select(
         key.alias("message_id"),
         (key % 20).cast("string").alias("user_id"),

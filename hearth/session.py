@@ -67,6 +67,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of a shuffle whose output is worked on heavily."""
+    return max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later uses agree."""
     path = scratch_path(df.sparkSession, label)
