@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth import constants as C
@@ -12,6 +12,7 @@ from hearth.functions.text import cut, strip_blanks
 from hearth.functions.vectors import hash_embed, relevance
 from hearth.operators.nearest import nearest
 from hearth.operators.ordering import gather_lines, top_per_group, with_next
+from hearth.session import materialised
 
 MEMORY_COLUMNS = [
     "id", "user_id", "conversation_id", "type", "document", "user_message",
@@ -182,6 +183,25 @@ def clear_users(memory: DataFrame, cleared: DataFrame) -> DataFrame:
     return memory.join(last, gone, "left_anti")
 
 
+def delete_users(spark: SparkSession, path: str, users: list[str], buckets: int = USER_BUCKETS) -> None:
+    """Delete users from the memory files at ``path``, rewriting only their buckets.
+
+    The survivors are written elsewhere first, so no folder is read and replaced
+    in one step, and a run that broke off can be repeated. Buckets without
+    survivors are removed, which an overwrite by partition would leave in place.
+    """
+    names = spark.createDataFrame([(u,) for u in users], "user_id string")
+    touched = [r[0] for r in with_bucket(names, buckets).select("user_bucket").distinct().collect()]
+    part = spark.read.parquet(path).filter(F.col("user_bucket").isin(touched))
+    kept = materialised(clear_users(part, names), "kept")
+    left = {r[0] for r in kept.select("user_bucket").distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in sorted(set(touched) - left):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"user_bucket={bucket}"), True)
+
+
 def clear_conversations(messages: DataFrame, cleared: DataFrame, key: str = "conv_id") -> DataFrame:
     return messages.join(cleared.select(key).distinct(), key, "left_anti")
 
@@ -232,9 +252,9 @@ def memory_block(hits: DataFrame, max_items: int = C.MEMORY_ITEMS, max_facts: in
 
 
 def conversation_summary(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Title, number of messages and recency place of every conversation."""
+    """Title and number of messages of every conversation, newest (highest id) first."""
     first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col(turn)))
     return messages.groupBy(conv).agg(
         F.coalesce(cut(first, C.TITLE_CHARS), F.lit("New chat")).alias("title"),
         F.count("*").alias("messages"),
-    )
+    ).orderBy(F.desc(conv))

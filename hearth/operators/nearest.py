@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 
 from hearth.functions.blocks import CHUNK_CELLS, DISTANCE_DECIMALS, by_key, codes_of, distances, k_best, matrix, with_vector
 from hearth.operators.ordering import top_per_group
-from hearth.session import checkpointed, parallelism
+from hearth.session import checkpointed, materialised, parallelism
 
 BROADCAST_BYTES = 32 << 20
-BLOCK_ROWS = 20_000
+# vectors of one side of a block; the more fit, the less often rows are copied to other blocks
+BLOCK_BYTES = 64 << 20
 # most hot keys that are joined by broadcast
 HOT_KEYS_BROADCAST = 100_000
 
@@ -37,6 +38,15 @@ HOT_KEYS_BROADCAST = 100_000
 # ---- blocks --------------------------------------------------------------------
 
 
+def _dimension(df: DataFrame, vector: str) -> int:
+    row = df.select(F.size(vector).alias("dim")).filter("dim > 0").first()
+    return row["dim"] if row else 1
+
+
+def _block_rows(df: DataFrame, vector: str, given: int | None) -> int:
+    return given or max(1_000, BLOCK_BYTES // (8 * _dimension(df, vector)))
+
+
 def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: list[str], by: str | None, block_rows: int):
     """Add ``_bucket, _lb, _rb`` to both sides, so that every pair that has to be
     compared meets in exactly one group, and no group holds much more than
@@ -81,10 +91,11 @@ def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: li
         hot = F.broadcast(hot)
 
     def split(side: DataFrame, own: str, other: str, ids: list[str], n_own: str, n_other: str) -> DataFrame:
+        columns = side.columns
         side = side.join(hot, by, "left")
         n_own, n_other = (F.greatest(F.coalesce(F.col(n), F.lit(1)), F.lit(1)) for n in (n_own, n_other))
         side = side.withColumn(own, hashed(ids, n_own))
-        return side.withColumn(other, F.explode(F.sequence(F.lit(0), n_other - 1))).drop("_nl", "_nr")
+        return side.withColumn(other, F.explode(F.sequence(F.lit(0), n_other - 1))).select(*columns, own, other)
 
     return (
         split(left, "_lb", "_rb", left_id, "_nl", "_nr"),
@@ -94,6 +105,8 @@ def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: li
 
 def _grouped(left: DataFrame, right: DataFrame):
     keys = ["_bucket", "_lb", "_rb"]
+    # both sides may come from one table: give the right one column identities of its own
+    right = right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
@@ -153,7 +166,7 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
     extra = [by] if by else []
     left = queries.select(query_id, vector, *extra)
     right = points.select(point_id, vector, *extra)
-    left, right = _blocked(left, right, [query_id], [point_id], by, block_rows)
+    left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
         ls, rs = with_vector(ls, 1), with_vector(rs, 1)
@@ -191,7 +204,7 @@ def nearest(
     by: str | None = None,
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, id, distance, rank)`` of the exact k nearest points per query.
 
@@ -200,8 +213,7 @@ def nearest(
     """
     if by is None:
         # counting rows needs no vector, so that computed vectors are not computed for it
-        row = queries.select(F.size(vector).alias("dim")).filter("dim > 0").first()
-        if row is None or queries.count() * row["dim"] * 8 <= broadcast_bytes:
+        if queries.count() * _dimension(queries, vector) * 8 <= broadcast_bytes:
             return _broadcast_search(queries, points, query_id, point_id, vector, k, skip_self)
     return _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows)
 
@@ -256,7 +268,7 @@ def nearest_clustered(
     point_id: str = "id",
     vector: str = "embedding",
     skip_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Search in the ``n_probe`` cells nearest to each query.
@@ -268,7 +280,8 @@ def nearest_clustered(
     queries = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     points = points.select(F.col(point_id).alias("id"), F.col(vector).alias("v"))
     centres = fit_cells(points, n_cells, "v", seed=seed)
-    celled = assign_cells(points, centres, 1, "v")
+    # read by every search and for the radii
+    celled = materialised(assign_cells(points, centres, 1, "v"), "cells")
 
     def search(asked: DataFrame) -> DataFrame:
         hits = _blocked_search(asked, celled, "query_id", "id", "v", k, skip_self, "cell", block_rows)
@@ -315,7 +328,7 @@ def with_content(hits: DataFrame, points: DataFrame, point_id: str = "id", colum
 # ---- greedy matching -----------------------------------------------------------------
 
 
-def greedy_match(tokens: DataFrame, row_id: str = "row_id", side: str = "side", pos: str = "pos", vector: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def greedy_match(tokens: DataFrame, row_id: str = "row_id", side: str = "side", pos: str = "pos", vector: str = "vec", block_rows: int | None = None) -> DataFrame:
     """Per row precision, recall and F1 of greedy token-vector matching.
 
     ``side`` is ``cand`` or ``ref``. Each block pair yields one best value per
@@ -332,7 +345,7 @@ def greedy_match(tokens: DataFrame, row_id: str = "row_id", side: str = "side",
             T.StructField("best", T.DoubleType()),
         ]
     )
-    left, right = _blocked(left, right, [row_id, pos], [row_id, pos], row_id, block_rows)
+    left, right = _blocked(left, right, [row_id, pos], [row_id, pos], row_id, _block_rows(tokens, vector, block_rows))
 
     def match(ls: pa.Table, rs: pa.Table) -> pa.Table:
         ls, rs = with_vector(ls, 2), with_vector(rs, 2)

@@ -22,7 +22,7 @@ def with_next(
     first row of the next stretch.
     """
     here = F.struct(*columns)
-    if df.filter(F.col(position) >= span).isEmpty() and df.filter(F.col(position) < 0).isEmpty():
+    if df.filter((F.col(position) >= span) | (F.col(position) < 0)).isEmpty():
         order = Window.partitionBy(key).orderBy(position)
         return df.withColumn(name, F.lead(here).over(order))
 
@@ -62,7 +62,7 @@ def with_dense_index(df: DataFrame, order_by: str, name: str = "index") -> DataF
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_place") + F.col("_offset"))
         .drop("_part", "_place", "_offset")
     )
