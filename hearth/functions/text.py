@@ -76,7 +76,7 @@ def clean_text(value: Column | str, null_literal: str = "") -> Column:
 
 def is_blank(value: Column) -> Column:
     """True for texts that cleaning leaves empty; far cheaper than cleaning them."""
-    return strip_blanks(F.replace(value, F.lit("\x00"), F.lit(""))) == ""
+    return ~value.rlike(r"(?U)[^\s\x00\x1c-\x1f]")
 
 
 def with_prefix(prefix: str, value: Column | str) -> Column:

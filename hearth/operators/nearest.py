@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from hearth.functions.blocks import CHUNK_CELLS, DISTANCE_DECIMALS, by_key, codes_of, distances, k_best, matrix, with_vector
 from hearth.operators.ordering import top_per_group
-from hearth.session import checkpointed, materialised, parallelism
+from hearth.session import materialised, parallelism
 
 BROADCAST_BYTES = 32 << 20
 # vectors of one side of a block; the more fit, the less often rows are copied to other blocks
@@ -291,7 +291,7 @@ def nearest_clustered(
     if not exact:
         return _best(first, k)
 
-    first = checkpointed(first)
+    first = materialised(first, "hits")
     radii = celled.groupBy("cell").agg(F.max("cell_gap").alias("radius"))
     reach = first.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.sqrt(F.max("distance"))).alias("reach")

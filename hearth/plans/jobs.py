@@ -18,7 +18,7 @@ from hearth.operators.corpus import clean_corpus, dedup_corpus, infer_index_text
 from hearth.operators.memory import memory_block, retrieve_memories
 from hearth.operators.nearest import nearest, with_content
 from hearth.operators.ordering import gather_lines, top_per_group, with_dense_index
-from hearth.session import checkpointed, materialised
+from hearth.session import materialised
 from hearth.sources.tables import scan_corpus_splits
 
 # ---- corpus and index ---------------------------------------------------------
@@ -134,7 +134,7 @@ def chat_turns(
     ``replies`` is ``(query_id, reply)``; a request without one gets the fallback reply.
     """
     # at most a few rows per request, used three times
-    memories = checkpointed(retrieve_memories(requests, memory, skip_self=True))
+    memories = materialised(retrieve_memories(requests, memory, skip_self=True), "memories")
     used = memories.groupBy("query_id").agg(F.count("*").cast("int").alias("memories_used"))
     contexts = retrieve_contexts(requests, collection)
     blocks = memory_block(memories)

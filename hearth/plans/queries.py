@@ -13,7 +13,7 @@ from hearth.functions.facts import extract_facts
 from hearth.functions.prompts import fallback_response
 from hearth.operators import corpus, memory, metrics, nearest, ordering
 from hearth.plans import jobs, views
-from hearth.session import checkpointed, materialised, scratch_path
+from hearth.session import materialised, scratch_path
 from hearth.sources import requests, tables
 from hearth.streaming import turns as streams
 
@@ -376,10 +376,19 @@ def memory_clear_user(spark, folder):
     return memory.clear_users(_memory(spark, folder), cleared).select("id", "user_id", "type")
 
 
-def _memory_hits(spark, folder):
-    return checkpointed(
-        memory.retrieve_memories(views.turn_queries(spark, folder), _memory(spark, folder), skip_self=True)
-    )
+def _stored_memory(spark, folder):
+    """The memory as retrieval finds it: a stored table, not text to be embedded again."""
+    return materialised(_memory(spark, folder), "memory")
+
+
+def _requests(spark, folder):
+    """User messages with their vectors, stored since every step of a turn reads them."""
+    return materialised(views.turn_queries(spark, folder), "requests")
+
+
+def _memory_hits(spark, folder, requests=None):
+    asked = requests if requests is not None else _requests(spark, folder)
+    return materialised(memory.retrieve_memories(asked, _stored_memory(spark, folder), skip_self=True), "hits")
 
 
 @query
@@ -416,10 +425,10 @@ def conversation_summary(spark, folder):
 
 @query
 def prompt_table(spark, folder):
-    queries = views.turn_queries(spark, folder)
+    queries = _requests(spark, folder)
     contexts = jobs.retrieve_contexts(queries, views.collection(spark, folder))
     asked = queries.select("query_id", "message", "emotion", F.col("use_filter").alias("safety_mode"))
-    return jobs.prompt_table(asked, contexts, memory.memory_block(_memory_hits(spark, folder)))
+    return jobs.prompt_table(asked, contexts, memory.memory_block(_memory_hits(spark, folder, queries)))
 
 
 @query
@@ -460,9 +469,9 @@ def sanitize(spark, folder):
 @query
 def chat_turns(spark, folder):
     """Retrieval, prompt, reply and guard of every turn as one plan."""
-    queries = views.turn_queries(spark, folder)
+    queries = _requests(spark, folder)
     replies = queries.filter(F.col("bot_response").isNotNull()).select("query_id", F.col("bot_response").alias("reply"))
-    done = jobs.chat_turns(queries.drop("bot_response"), _memory(spark, folder), views.collection(spark, folder), replies)
+    done = jobs.chat_turns(queries.drop("bot_response"), _stored_memory(spark, folder), views.collection(spark, folder), replies)
     return done.select("query_id", "memories_used", "used_fallback", "toxic", "final_text", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -508,7 +517,7 @@ def toxicity_reduction(spark, folder):
 @query
 def evaluation_run(spark, folder):
     """Retrieve, respond, guard and pair every turn that has a reply, then score the predictions."""
-    turns = views.turn_queries(spark, folder).filter(F.col("bot_response").isNotNull())
+    turns = _requests(spark, folder).filter(F.col("bot_response").isNotNull())
     pairs = turns.select("query_id", F.col("message").alias("text"), F.col("bot_response").alias("response"), "emotion", "embedding")
     replies = turns.filter("use_filter").select("query_id", F.col("bot_response").alias("reply"))
     rows = jobs.evaluation_rows(pairs, views.collection(spark, folder), replies, words=views.TEST_LEXICON)
@@ -588,9 +597,10 @@ def stream_retrieve(spark, folder):
     out, state = scratch_path(spark, "hits"), scratch_path(spark, "state")
     path = scratch_path(spark, "turns")
     views.turns(spark, folder).select(*streams.TURN_SCHEMA.fieldNames()).repartition(8).write.parquet(path)
+    known = _stored_memory(spark, folder)
     streams.retrieve_for_turns(
         streams.read_stream(spark, path),
-        lambda: _memory(spark, folder),
+        lambda: known,
         lambda: views.collection(spark, folder),
         out,
         state,

@@ -24,7 +24,7 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """User messages with their reply, a user and a time."""
-    paired = pair_turns(table(spark, folder, "conversations"))
+    paired = pair_turns(spread(table(spark, folder, "conversations")))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp")
     created = F.timestamp_seconds(F.unix_timestamp(start) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return paired.select(
@@ -58,7 +58,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.lit("Nothing to report"))
     )
     rows = (
-        customer.join(part, customer.c_custkey == part.p_partkey)
+        spread(customer).join(part, customer.c_custkey == part.p_partkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
     )

@@ -55,14 +55,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
@@ -73,7 +65,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later uses agree."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage with a table that outlives lost executors, and costs one
+    job where a checkpoint computes its input twice. The owner of the shared
+    folder clears it.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
