@@ -127,8 +127,12 @@ def with_bucket(records: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
 
 
 def write_memory(records: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
-    """Append records below folders of user buckets, which lookups by user prune."""
-    with_bucket(records, buckets).write.mode("append").partitionBy("user_bucket").parquet(path)
+    """Append records below folders of user buckets, which lookups by user prune.
+
+    Rows are brought together by bucket first, so that a task does not open a
+    file in every folder; adaptive execution splits the buckets of busy users.
+    """
+    with_bucket(records, buckets).hint("rebalance", "user_bucket").write.mode("append").partitionBy("user_bucket").parquet(path)
 
 
 def read_user(memory: DataFrame, user_id: str, buckets: int = USER_BUCKETS) -> DataFrame:

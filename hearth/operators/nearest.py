@@ -135,7 +135,22 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked = shared.value
-        best = None
+        best = pd.DataFrame({"q": [], "id": [], "d": []})
+        # distance of the k-th hit so far: what lies beyond it is not kept
+        bound = np.full(len(asked), np.inf)
+        pending: list[pd.DataFrame] = []
+
+        def merged() -> pd.DataFrame:
+            parts = [p for p in (best, *pending) if len(p)]
+            pending.clear()
+            if not parts:
+                return best
+            rows = pd.concat(parts, ignore_index=True).sort_values(["q", "d", "id"], kind="stable")
+            rows = rows.groupby("q", sort=False).head(k)
+            full = rows.groupby("q")["d"].agg(["size", "max"]).query("size == @k")
+            bound[full.index.to_numpy()] = full["max"].to_numpy()
+            return rows
+
         for batch in batches:
             batch = with_vector(batch, 1)
             if batch.num_rows == 0 or len(asked) == 0:
@@ -143,11 +158,12 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
             order = np.argsort(batch.column(0).to_pandas().to_numpy(), kind="stable")
             names = batch.column(0).to_pandas().iloc[order].reset_index(drop=True)
             r, c, d = k_best(asked, matrix(batch.column(1))[order], k, codes_of(ids, names) if skip_self else None)
-            found = pd.DataFrame({"q": r, "id": names.to_numpy()[c], "d": d})
-            # keep k per query across the batches of the task
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = best.sort_values(["q", "d", "id"], kind="stable").groupby("q", sort=False).head(k)
-        if best is not None and len(best):
+            near = d <= bound[r]
+            pending.append(pd.DataFrame({"q": r[near], "id": names.to_numpy()[c[near]], "d": d[near]}))
+            if sum(map(len, pending)) >= k * len(asked):
+                best = merged()
+        best = merged()
+        if len(best):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids.to_numpy()[best["q"].to_numpy()]),

@@ -52,8 +52,10 @@ def ingest_memory(turns: DataFrame, path: str, checkpoint: str, late: str = "1 h
     so a busy user is spread over all tasks.
     """
     records = memory_records(turns, **options).withWatermark("created_at", late)
-    unique = records.dropDuplicatesWithinWatermark(["id"])
-    writer = with_bucket(unique).writeStream.outputMode("append").format("parquet").partitionBy("user_bucket")
+    unique = with_bucket(records.dropDuplicatesWithinWatermark(["id"]))
+    # few files per folder and batch, and a busy user in several tasks
+    salt = F.pmod(F.xxhash64("id"), F.lit(4))
+    writer = unique.repartition("user_bucket", salt).writeStream.outputMode("append").format("parquet").partitionBy("user_bucket")
     return _start(writer.option("path", path), checkpoint, drain)
 
 

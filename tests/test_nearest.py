@@ -107,3 +107,15 @@ def test_no_all_pairs_join(spark, data):
         plan = N.nearest(f, f, 3, "id", **way)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert "WindowGroupLimit" in plan
+
+
+def test_many_batches_per_task(spark, data):
+    f = frame(spark, range(len(data)), data)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        hits = N.nearest(f, f.coalesce(1), 4, "id", skip_self=True)
+        assert answer(hits) == brute(data, data, 4, skip_self=True)
+    finally:
+        spark.conf.set(name, old)
