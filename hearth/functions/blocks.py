@@ -13,7 +13,7 @@ import pyarrow as pa
 
 DISTANCE_DECIMALS = 6
 # cells of the distance matrix held at a time
-CHUNK_CELLS = 4_000_000
+CHUNK_CELLS = 1_000_000
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -40,24 +40,41 @@ def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarr
     """Row, column and distance of the k nearest points of every query.
 
     ``points`` must be in id order: equal distances are then settled by column.
-    ``same`` holds codes of the ids of both sides; equal codes are left out.
+    ``same`` holds codes of the unique ids of both sides; equal ids are left out.
     """
     rows, cols, dists = [], [], []
+    query_squares, point_squares = (queries**2).sum(1), (points**2).sum(1)
+    doubled = np.ascontiguousarray(-2.0 * points.T)
+    own = None
+    if same is not None:
+        place = np.full(max(same[0].max(initial=-1), same[1].max(initial=-1)) + 1, -1)
+        place[same[1]] = np.arange(len(points))
+        own = place[same[0]]
     step = max(1, CHUNK_CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
-        part = distances(queries[start : start + step], points)
-        if same is not None:
-            part[same[0][start : start + step][:, None] == same[1][None, :]] = np.inf
-        bound = np.partition(part, k - 1, axis=1)[:, k - 1] if k < len(points) else np.full(len(part), np.inf)
-        r, c = np.nonzero((part <= bound[:, None]) & np.isfinite(part))
+        # distance less the query's own square, which does not change the order in a row
+        part = queries[start : start + step] @ doubled
+        part += point_squares
+        if own is not None:
+            mine = own[start : start + step]
+            part[np.nonzero(mine >= 0)[0], mine[mine >= 0]] = np.inf
+        if k < len(points):
+            # rounding may turn a near miss into a tie, hence the margin
+            bound = np.partition(part, k - 1, axis=1)[:, k - 1] + 2 * 10.0**-DISTANCE_DECIMALS
+            r, c = np.divmod(np.flatnonzero(part <= bound[:, None]), part.shape[1])
+        else:
+            r, c = np.nonzero(part < np.inf)
         d = part[r, c]
+        r, c, d = r[d < np.inf], c[d < np.inf], d[d < np.inf]
+        d = np.round(np.maximum(d + query_squares[start : start + step][r], 0.0), DISTANCE_DECIMALS)
         order = np.lexsort((c, d, r))
         r, c, d = r[order], c[order], d[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = place < k
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
         rows.append(r[keep] + start)
         cols.append(c[keep])
         dists.append(d[keep])
+    if not rows:
+        return np.array([], int), np.array([], int), np.array([], float)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 

@@ -31,6 +31,8 @@ from hearth.session import materialised, parallelism
 BROADCAST_BYTES = 32 << 20
 # vectors of one side of a block; the more fit, the less often rows are copied to other blocks
 BLOCK_BYTES = 64 << 20
+# rows of one key in one block: a busy key should give work to several tasks
+KEY_BLOCK_ROWS = 32_000
 # most hot keys that are joined by broadcast
 HOT_KEYS_BROADCAST = 100_000
 
@@ -43,8 +45,9 @@ def _dimension(df: DataFrame, vector: str) -> int:
     return row["dim"] if row else 1
 
 
-def _block_rows(df: DataFrame, vector: str, given: int | None) -> int:
-    return given or max(1_000, BLOCK_BYTES // (8 * _dimension(df, vector)))
+def _block_rows(df: DataFrame, vector: str, given: int | None, by: str | None) -> int:
+    fitting = max(1_000, BLOCK_BYTES // (8 * _dimension(df, vector)))
+    return given or (min(fitting, KEY_BLOCK_ROWS) if by else fitting)
 
 
 def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: list[str], by: str | None, block_rows: int):
@@ -182,7 +185,7 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
     extra = [by] if by else []
     left = queries.select(query_id, vector, *extra)
     right = points.select(point_id, vector, *extra)
-    left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows))
+    left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows, by))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
         ls, rs = with_vector(ls, 1), with_vector(rs, 1)
@@ -361,7 +364,7 @@ def greedy_match(tokens: DataFrame, row_id: str = "row_id", side: str = "side",
             T.StructField("best", T.DoubleType()),
         ]
     )
-    left, right = _blocked(left, right, [row_id, pos], [row_id, pos], row_id, _block_rows(tokens, vector, block_rows))
+    left, right = _blocked(left, right, [row_id, pos], [row_id, pos], row_id, _block_rows(tokens, vector, block_rows, row_id))
 
     def match(ls: pa.Table, rs: pa.Table) -> pa.Table:
         ls, rs = with_vector(ls, 2), with_vector(rs, 2)
