@@ -307,13 +307,13 @@ def knn_per_user(spark, folder):
 
 @query
 def retrieve_contexts(spark, folder):
-    hits = jobs.retrieve_contexts(views.turn_queries(spark, folder), views.collection(spark, folder))
+    hits = jobs.retrieve_contexts(_requests(spark, folder), views.collection(spark, folder))
     return hits.select("query_id", "rank", "id", "distance", "document")
 
 
 @query
 def context_block(spark, folder):
-    contexts = jobs.retrieve_contexts(views.turn_queries(spark, folder), views.collection(spark, folder))
+    contexts = jobs.retrieve_contexts(_requests(spark, folder), views.collection(spark, folder))
     return jobs.context_block(contexts)
 
 
