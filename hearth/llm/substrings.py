@@ -219,19 +219,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_col: str = "tex
     Kept words are joined by one space; with ``keep_space`` a text that loses
     nothing stays as it is. A null text becomes empty, or stays null with ``keep_space``.
     """
-    new = ("n_words", "n_removed")
-    fields = [f for f in docs.schema.fields if f.name not in new]
-    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in new)])
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(kept)])
+    text = f"c_{kept.index(text_col)}"
+    schema = T.StructType([*own.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def output(table: pa.Table, words: list[list[bytes]], masks: list[np.ndarray]) -> pa.Table:
         texts = []
-        for original, own, gone in zip(table.column(text_col).to_pylist(), words, masks, strict=True):
+        for original, tokens, gone in zip(table.column(text).to_pylist(), words, masks, strict=True):
             if keep_space and not gone.any():
                 texts.append(original)
             else:
-                texts.append(b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g]).decode())
-        columns = {f.name: table.column(f.name) for f in fields} | {text_col: pa.array(texts, pa.string())}
+                texts.append(b" ".join([w for w, g in zip(tokens, gone.tolist(), strict=True) if not g]).decode())
+        columns = {f"c_{i}": table.column(f"c_{i}") for i in range(len(kept))} | {text: pa.array(texts, pa.string())}
         columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(g.sum()) for g in masks], pa.int64())}
         return pa.table(columns)
 
-    return repeated_words(docs.select(*[f"`{f.name}`" for f in fields]), text_col, output, schema, window)
+    found = repeated_words(own, text, output, schema, window)
+    return found.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(kept)], "n_words", "n_removed")
