@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import simhash, substrings
-from hearth.llm.common import table
+from hearth.llm import langid, packing, pieces, quality, simhash, substrings
+from hearth.llm.common import remainder, table
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, their text again, and whether both libraries agree."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(encoded)
+    return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and decision for every document, learnt from weak labels of all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs)).select("doc_id", "quality", "kept")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence of at most 2048 tokens."""
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,24 +40,36 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over 3-word shingles and class of every document, linked at 3 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose remainder modulo 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
 }
 
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
-k AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM s),
+p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+k AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
 c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM k) WHERE n > 1),
-g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM c),
-a AS (SELECT r, list(p) AS gone FROM g GROUP BY r)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), p -> gone IS NULL OR NOT list_contains(gone, p)), p -> w[p]), ' ')) AS kept_sha256
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c),
+a AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.r = p.r AND g.i = p.i) GROUP BY r)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(a.n, 0))::BIGINT AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (r)
 """,
 }

@@ -41,9 +41,9 @@ def slow_classes(fps, ids, radius):
 
 def test_fingerprint_and_hash_equal_spark(spark):
     texts = ["", "one", "One two", "a b c", "x y z w x y z w", "été ÉTÉ b c d e"]
-    assert [simhash.fingerprint(t.encode(), 3) for t in texts] == [slow_fingerprint(t) for t in texts]
+    assert [int(simhash.fingerprint(t.encode(), 3)[0]) for t in texts] == [slow_fingerprint(t) for t in texts]
     got = spark.sql("SELECT xxhash64('one two three') AS h").first().h
-    assert got % 2**64 == simhash.fingerprint(b"ONE two three", 3)
+    assert got % 2**64 == int(simhash.fingerprint(b"ONE two three", 3)[0])
 
 
 def test_near_pairs_finds_all():
@@ -52,7 +52,7 @@ def test_near_pairs_finds_all():
         base = rng.integers(0, 2**64, 40, dtype=np.uint64)
         fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(4)] + [base])
         for sizes in ([200], [70, 1, 64, 65]):
-            got = {(int(x), int(y)) for a, b in simhash.near_pairs(fps, np.array(sizes), radius) for x, y in zip(a, b, strict=True)}
+            got = {(int(x), int(y)) for a, b in simhash.near_pairs(fps[:, None], np.array(sizes), radius) for x, y in zip(a, b, strict=True)}
             run = np.repeat(np.arange(len(sizes)), sizes)
             want = {(i, j) for i in range(200) for j in range(i + 1, 200) if run[i] == run[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
             assert got == want
@@ -67,15 +67,15 @@ def test_links_keep_all_classes(spark, monkeypatch):
             fps.append(f)
             f ^= sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5)))
     fps = sorted(set(fps)) + [0, 7]
-    frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, doc_id long")
-    got = {r.fp: r.component_id for r in simhash.classes(frame, 3).collect()}
-    assert [got[int(np.uint64(f).view(np.int64))] for f in fps] == slow_classes(fps, list(range(len(fps))), 3)
+    frame = spark.createDataFrame([(f.to_bytes(8, "little"), i) for i, f in enumerate(fps)], "fp binary, doc_id long")
+    got = {bytes(r.fp): r.component_id for r in simhash.classes(frame, 3).collect()}
+    assert [got[f.to_bytes(8, "little")] for f in fps] == slow_classes(fps, list(range(len(fps))), 3)
 
 
 def test_large_buckets_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     fps = [(1 << i) for i in range(60)] + [0]
-    frame = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, doc_id long")
+    frame = spark.createDataFrame([(f.to_bytes(8, "little"), i) for i, f in enumerate(fps)], "fp binary, doc_id long")
     assert {r.component_id for r in simhash.classes(frame, 3).collect()} == {0}
 
 
@@ -104,6 +104,21 @@ def test_keep_one(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+def test_long_fingerprints_find_similar_texts(documents):
+    rng = random.Random(9)
+    words = [f"u{i}" for i in range(2000)]
+    rows = []
+    for i in range(40):
+        text = rng.choices(words, k=300)
+        other = list(text)
+        for at in rng.sample(range(300), 4):
+            other[at] = "else"
+        rows += [(2 * i, " ".join(text), None, None, None), (2 * i + 1, " ".join(other), None, None, None)]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), words=5, radius=48, bits=256).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(40)) >= 39
+    assert all(found[2 * i] == 2 * i for i in range(40))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (5, 6)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
