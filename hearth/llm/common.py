@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUNDLES_PER_SPLIT = 8
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches by bytes, so that long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def bundle_count(df: DataFrame) -> int:
     """Bundles of rows that one task works on at once; grows with the number of input splits."""
     return BUNDLES_PER_SPLIT * max(1, df.rdd.getNumPartitions())
@@ -42,6 +48,7 @@ def row_hash(df: DataFrame) -> Column:
 
 def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[bytes]], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
     """``df`` and columns computed from its texts, batch by batch; a column of the same name is replaced."""
+    bound_batches(df.sparkSession)
     names = [n for n, _ in fields]
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in fields)])

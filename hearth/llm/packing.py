@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from hearth.llm.common import bound_batches
+
 
 CAPACITY = 2048
 END_ID = 1
-POOL = 4096
+POOL = 2048
 LONG_SPACE = re.compile(r"\s{4096}")
 OUT_IDS = 1 << 20
 
@@ -221,6 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         if out:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)

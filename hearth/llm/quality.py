@@ -66,7 +66,7 @@ class _Shapes(dict):
     """What is counted of a word by its shape; shapes are few, and forgotten when they are not."""
 
     def __missing__(self, shape: bytes) -> tuple:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         upper, lower, digits = shape.count(b"A"), shape.count(b"a"), shape.count(b"0")
         marked, size = b"*" in shape, len(shape)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import append_columns
+from hearth.llm.common import append_columns, bound_batches
 from hearth.llm.components import connected_components
 from hearth.session import materialised
 
@@ -233,6 +233,7 @@ def links(fps: DataFrame, radius: int, bits: int = WORD) -> DataFrame:
         if held is not None and len(held[0]):
             yield _links_of(*held, radius)
 
+    bound_batches(fps.sparkSession)
     keyed = fps.select("node", "fp").mapInArrow(spread, "key long, node long, fp binary")
     large = keyed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).alias("tiles"))
     tiled = keyed.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
