@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import langid, packing, pieces, quality, simhash, substrings
+from hearth.llm import hashing, langid, packing, pieces, quality, simhash, substrings, topk
 from hearth.llm.common import remainder, table
 
 
@@ -37,6 +37,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", kept)
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 largest inner products of every vector whose id is divisible by 20."""
+    return hashing.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over 3-word shingles and class of every document, linked at 3 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
@@ -57,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLE: dict[str, str] = {
@@ -71,5 +83,12 @@ g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c),
 a AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.r = p.r AND g.i = p.i) GROUP BY r)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(a.n, 0))::BIGINT AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (r)
+""",
+    "op10_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
 }
