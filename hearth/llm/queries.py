@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import hashing, langid, packing, pieces, quality, simhash, substrings, topk
+from hearth.llm import extraction, hashing, langid, packing, pieces, quality, simhash, substrings, topk
 from hearth.llm.common import remainder, table
 
 
@@ -37,6 +37,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", kept)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extraction.extract(pages, extraction.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the 20 largest inner products of every vector whose id is divisible by 20."""
     return hashing.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
