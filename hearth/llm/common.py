@@ -36,9 +36,9 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def bundle_count(df: DataFrame) -> int:
+def bundle_count(df: DataFrame, per_split: int = BUNDLES_PER_SPLIT) -> int:
     """Bundles of rows that one task works on at once; grows with the number of input splits."""
-    return BUNDLES_PER_SPLIT * max(1, df.rdd.getNumPartitions())
+    return per_split * max(1, df.rdd.getNumPartitions())
 
 
 def row_hash(df: DataFrame) -> Column:

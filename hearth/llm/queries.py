@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import extraction, hashing, langid, packing, pieces, quality, simhash, substrings, topk
+from hearth.llm import extraction, hashing, langid, packing, pieces, pitman_yor, quality, simhash, substrings, topk
 from hearth.llm.common import remainder, table
 
 
@@ -18,6 +18,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from those whose remainder modulo 7 is not 2."""
+    return pitman_yor.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and decision for every document, learnt from weak labels of all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +76,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
