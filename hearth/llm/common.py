@@ -13,10 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearth.session import materialised
+
 BUNDLES_PER_SPLIT = 8
 BATCH_BYTES = 4 << 20
 
 
+class Places(dict):
+    """Things numbered in the order they are first seen."""
+
+    def __missing__(self, thing: bytes) -> int:
+        self[thing] = place = len(self)
+        return place
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +46,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def bundle_count(df: DataFrame, per_split: int = BUNDLES_PER_SPLIT) -> int:
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; the shuffles that made it are removed at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return materialised(df, label)
+    finally:
+        conf.set(key, before)
+
+
+def bundle_count(df: DataFrame) -> int:
     """Bundles of rows that one task works on at once; grows with the number of input splits."""
-    return per_split * max(1, df.rdd.getNumPartitions())
+    return BUNDLES_PER_SPLIT * max(1, df.rdd.getNumPartitions())
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.session import materialised
+from hearth.llm.common import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -38,10 +38,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edge to another node do not appear. An empty list gives an empty table.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = materialised(ordered, "edges")
+    current = written(ordered, "edges")
     before = _state(current)
     while True:
-        current = materialised(_small_star(_large_star(current)), "stars")
+        current = written(_small_star(_large_star(current)), "stars")
         after = _state(current)
         if after == before:
             break

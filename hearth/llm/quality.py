@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import append_columns
-from hearth.session import materialised
+from hearth.llm.common import append_columns, written
 
 BUCKETS = 1 << 14
 SAMPLE = 3000
@@ -192,7 +191,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Scorer:
         found = [statistics(t) for t in texts]
         return [pa.array([None if f is None else votes(f[0]) for f in found], pa.int64())]
 
-    cast = materialised(append_columns(keyed, "text", vote, [("pattern", T.LongType())]).where("pattern IS NOT NULL").select("key", "pattern"), "votes")
+    cast = written(append_columns(keyed, "text", vote, [("pattern", T.LongType())]).where("pattern IS NOT NULL").select("key", "pattern"), "votes")
     counts = {r.pattern: r["count"] for r in cast.groupBy("pattern").count().collect()}  # at most 3 ** len(LIMITS) patterns
     good = expectation_maximisation(counts)
     n_good = sum(c for p, c in counts.items() if good[p] >= 0.5)

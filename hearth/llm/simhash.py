@@ -28,9 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import append_columns, bound_batches
+from hearth.llm.common import append_columns, bound_batches, written
 from hearth.llm.components import connected_components
-from hearth.session import materialised
 
 SEED = 42
 WORD = 64
@@ -246,7 +245,7 @@ def links(fps: DataFrame, radius: int, bits: int = WORD) -> DataFrame:
 
 def classes(rows: DataFrame, radius: int, id_col: str = "doc_id", bits: int = WORD) -> DataFrame:
     """(fp, component_id): the least id among all rows that links reach from a fingerprint."""
-    distinct = materialised(rows.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("node", F.xxhash64("fp")), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("node", F.xxhash64("fp")), "fingerprints")
     nodes = connected_components(links(distinct, radius, bits))
     rooted = distinct.join(nodes, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -255,7 +254,7 @@ def classes(rows: DataFrame, radius: int, id_col: str = "doc_id", bits: int = WO
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, bits: int = WORD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): one row per row of ``docs`` with its class."""
-    rows = materialised(fingerprints(docs.select(id_col, text_col), words, text_col, bits).select(id_col, "fp"), "rows")
+    rows = written(fingerprints(docs.select(id_col, text_col), words, text_col, bits).select(id_col, "fp"), "rows")
     return rows.join(classes(rows, radius, id_col, bits), "fp").select(id_col, "fp", "component_id")
 
 
@@ -266,7 +265,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, bits: int = WORD,
     """
     own = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)])
     names = dict(zip(docs.columns, own.columns, strict=True))
-    rows = materialised(fingerprints(own, words, names[text_col], bits).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = written(fingerprints(own, words, names[text_col], bits).withColumn("row", F.monotonically_increasing_id()), "rows")
     keyed = rows.select("fp", F.struct(F.col(names[id_col]).alias("id"), "row").alias("key"))
     chosen = classes(keyed, radius, "key", bits).select(F.col("component_id.row").alias("row")).distinct()
     return rows.join(chosen, "row", "left_semi").select(*[F.col(c).alias(n) for n, c in names.items()])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import bundle_count, raw, row_hash
+from hearth.llm.common import Places, bundle_count, raw, row_hash
 
 WINDOW = 35
 SKETCH_ROWS = 2
@@ -36,14 +36,6 @@ REQUEST = "`__bundle` long, shard long, payload binary"
 ANSWER = "`__bundle` long, shard long, n long, payload binary"
 
 
-class _Places(dict):
-    """Words numbered in the order they are first seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
-
-
 def window_codes(texts: list[bytes], window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of every text, its number of windows, and two 64-bit codes of every window in order.
 
@@ -51,7 +43,7 @@ def window_codes(texts: list[bytes], window: int) -> tuple[list[list[bytes]], np
     spans of one, two, four ... words and mixed at the end.
     """
     split = [t.split() for t in texts]
-    known = _Places()
+    known = Places()
     places = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in split]
     digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in known), dtype="<u8").reshape(-1, 2)
     counts = np.array([max(0, len(w) - window + 1) for w in split], dtype=np.int64)
