@@ -6,8 +6,10 @@ Words are the runs of bytes other than 0x20 and 0x09-0x0D, which is exactly how
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
         conf.set(key, before)
 
 
+def drop_written(*frames: DataFrame) -> None:
+    """Remove tables made by ``written`` that no later job reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte plane by byte plane, compressed."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
 def bundle_count(df: DataFrame) -> int:
     """Bundles of rows that one task works on at once; grows with the number of input splits."""
     return BUNDLES_PER_SPLIT * max(1, df.rdd.getNumPartitions())
