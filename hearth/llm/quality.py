@@ -3,7 +3,9 @@
 Overlapping heuristics vote good, bad or abstain on every text. Votes of all
 documents are counted by pattern; expectation-maximisation over the patterns
 estimates how often each heuristic votes which way on good and on bad texts, and
-so the probability that a text with a pattern is good. These posterior labels
+so the probability that a text with a pattern is good. Bad texts are of several kinds
+that fail different heuristics, so false alarms are bounded by ``MOST_FALSE``: one
+kind cannot be explained away as errors on good texts. These posterior labels
 train a linear scorer over hashed word shapes and text statistics by gradient
 descent, on a bounded sample of about ``SAMPLE`` rows of either kind. The scorer,
 not the votes, decides; what it scores below ``THRESHOLD`` is rejected.
@@ -32,6 +34,7 @@ BUCKETS = 1 << 14
 SAMPLE = 3000
 THRESHOLD = 0.2  # the two kinds weigh the same in training, so this favours keeping
 ROUNDS = 60
+MOST_FALSE = 0.01  # share of its votes in which a heuristic may call a good text bad
 EPOCHS = 6
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
@@ -131,6 +134,7 @@ def expectation_maximisation(counts: dict[int, int]) -> dict[int, float]:
                 own = table[:, k] == vote
                 voted = table[:, k] != ABSTAIN
                 rate = [(weight[own] @ side[own] + 1) / (weight[voted] @ side[voted] + 2) for side in (good, 1 - good)]
+                rate[0] = min(rate[0], MOST_FALSE) if vote == BAD else rate[0]
                 score[own] += np.log(rate[0] / rate[1])
         good = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return dict(zip(patterns.tolist(), good.tolist(), strict=True))
