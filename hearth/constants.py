@@ -121,7 +121,10 @@ MEMORY_REPLY_CHARS = 80
 MEMORIES_PER_QUERY = 10
 CONTEXTS_PER_QUERY = 5
 CONTEXTS_IN_PROMPT = 3
-NO_CONTEXT = "(no retrieved context)"
+NO_CONTEXT = "nothing was found"
+PROMPT_EMOTION = "The mood of the message is "
+PROMPT_CONTEXT = ". Passages that may help:\n"
+PROMPT_MESSAGE = "\n\nThe message reads: "
 TITLE_CHARS = 30
 SNIPPET_CHARS = 160
 PREVIEW_ITEMS = 20

@@ -54,16 +54,10 @@ def whole_word(word: str) -> str:
 
 
 def fix_typos(value: Column) -> Column:
-    """Whole-word spelling fixes. Plain substring searches decide whether a text may
-    need any; the two letters that fold to s and i outside ASCII count as a maybe."""
-    fixed = value
+    """Whole-word spelling fixes, applied to every text."""
     for wrong, right in C.TYPOS.items():
-        fixed = F.regexp_replace(fixed, whole_word(wrong), right)
-    lower = F.lower(value)
-    maybe = value.contains("\u017f") | value.contains("\u0131")
-    for wrong in C.TYPOS:
-        maybe = maybe | lower.contains(wrong)
-    return F.when(maybe, fixed).otherwise(value)
+        value = F.regexp_replace(value, whole_word(wrong), right)
+    return value
 
 
 def clean_text(value: Column | str, null_literal: str = "") -> Column:

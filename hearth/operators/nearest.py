@@ -240,15 +240,12 @@ def nearest(
 # ---- clustered search --------------------------------------------------------------
 
 
-def fit_cells(points: DataFrame, n_cells: int, vector: str = "embedding", train_rows: int = 200_000, seed: int = 42) -> np.ndarray:
-    """Cell centres from k-means. Training on a sample moves the centres only; every
-    row is assigned to a cell, so no result depends on the sample being complete."""
+def fit_cells(points: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42) -> np.ndarray:
+    """Cell centres from distributed k-means over all points."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = points.count()
-    sample = points if rows <= train_rows else points.sample(train_rows / rows, seed)
-    features = sample.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    features = points.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(features)
     return np.array(model.clusterCenters(), dtype=np.float64)
 

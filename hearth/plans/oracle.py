@@ -234,8 +234,8 @@ BLOCKS_ALL = [*HITS_ALL, PLACED, BLOCKS]
 def prompt(safety: str) -> str:
     return (
         f"{quoted(C.SYSTEM_TEXT + chr(10))} || CASE WHEN {safety} THEN {quoted(C.SAFETY_ON_TEXT)} ELSE {quoted(C.SAFETY_OFF_TEXT)} END"
-        " || 'Detected emotion: ' || coalesce(emotion, 'unknown') || '.' || chr(10) || 'Context (may be partial):' || chr(10)"
-        f" || coalesce(bullets, {quoted(C.NO_CONTEXT)}) || chr(10) || chr(10) || 'User: ' || user_message || {quoted(chr(10) + C.CLOSING_TEXT)}"
+        f" || {quoted(C.PROMPT_EMOTION)} || coalesce(emotion, 'unknown') || {quoted(C.PROMPT_CONTEXT)}"
+        f" || coalesce(bullets, {quoted(C.NO_CONTEXT)}) || {quoted(C.PROMPT_MESSAGE)} || user_message || {quoted(chr(10) + C.CLOSING_TEXT)}"
     )
 
 

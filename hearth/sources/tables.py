@@ -38,9 +38,13 @@ def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
-def has_multiline_records(spark: SparkSession, path: str) -> bool:
-    """Does any line leave a quote open? Decides whether files may be split while reading."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+def has_multiline_records(spark: SparkSession, path: str, escape: str = "\\") -> bool:
+    """Does any line leave a quote open? Decides whether files may be split while reading.
+
+    Escaped quotes do not count, so the answer follows the scan's own rules.
+    """
+    bare = F.col("value") if escape in ("", '"') else F.regexp_replace("value", rf"(?s)\Q{escape}\E.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
@@ -70,7 +74,7 @@ def scan_csv(
         )
     ]
     if multi_line is None:
-        multi_line = has_multiline_records(spark, path)
+        multi_line = has_multiline_records(spark, path, escape)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW, CORRUPT]])
     rows = (
         spark.read.schema(schema)

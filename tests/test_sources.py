@@ -104,3 +104,10 @@ def test_result_json(spark):
     assert len(json.loads(df.select(R.result_json(df, R.SHORT_RESULT_FIELDS)).first()[0])) == 5
     with pytest.raises(ValueError):
         R.result_json(df.drop("emotion"))
+
+
+def test_escaped_quotes_across_lines(spark, tmp_path):
+    path = tmp_path / "two_lines.csv"
+    path.write_text('text,response\n"a\\"b\nc\\"d",y\n')
+    assert S.has_multiline_records(spark, str(path))
+    assert [tuple(r) for r in S.scan_csv(spark, str(path)).collect()] == [('a"b\nc"d', "y")]

@@ -16,6 +16,7 @@ from hearth.operators import corpus
         ("unloosing", "unloosing"),
         ("éloosing loosingé loosing", "éloosing loosingé losing"),
         ("loo\u017fing", "losing"),
+        ("DEFEN\u0130TELY", "definitely"),
         ("   ", ""),
         (None, ""),
         ("loosing loosing", "losing losing"),
@@ -115,7 +116,7 @@ def test_fallback_and_prompt(one):
     assert "(fallback: off)" in reply and C.FALLBACK_LABEL in reply
     assert "fallback" not in one(prompts.fallback_response("e", "r"), e="sad", r=None)
     prompt = one(prompts.prompt_text("m", "e", "c", F.lit(True)), m="hi", e="", c=None)
-    assert "Detected emotion: unknown." in prompt and C.NO_CONTEXT in prompt and "User: hi\n" in prompt
+    assert C.PROMPT_EMOTION + "unknown" in prompt and C.NO_CONTEXT in prompt and C.PROMPT_MESSAGE + "hi\n" in prompt
 
 
 @pytest.mark.parametrize("dim", [64, 200])
