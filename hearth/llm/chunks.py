@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-STORE = 800_000
+STORE = 400_000
 
 
 class _Pieces(dict):
