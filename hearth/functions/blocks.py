@@ -36,11 +36,12 @@ def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(gaps, 0.0), DISTANCE_DECIMALS)
 
 
-def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None):
+def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None, times: tuple[np.ndarray, np.ndarray] | None = None):
     """Row, column and distance of the k nearest points of every query.
 
     ``points`` must be in id order: equal distances are then settled by column.
     ``same`` holds codes of the unique ids of both sides; equal ids are left out.
+    ``times`` holds whole numbers of both sides; only points of a smaller one count.
     """
     rows, cols, dists = [], [], []
     query_squares, point_squares = (queries**2).sum(1), (points**2).sum(1)
@@ -58,6 +59,8 @@ def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarr
         if own is not None:
             mine = own[start : start + step]
             part[np.nonzero(mine >= 0)[0], mine[mine >= 0]] = np.inf
+        if times is not None:
+            part[times[1] >= times[0][start : start + step, None]] = np.inf
         if k < len(points):
             # rounding may turn a near miss into a tie, hence the margin
             bound = np.partition(part, k - 1, axis=1)[:, k - 1] + 2 * 10.0**-DISTANCE_DECIMALS

@@ -114,8 +114,10 @@ def memory_records(turns: DataFrame, embed=None, strict_names: bool = False) ->
 
 
 def new_records(records: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Records whose id is not stored yet; the stored record wins."""
-    return records.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """Records whose id is not stored yet; the stored record wins, and of several new ones the smallest row."""
+    first = records.groupBy(key).agg(F.min(F.struct(*[c for c in records.columns if c != key])).alias("_row"))
+    unique = first.select(key, "_row.*").select(*records.columns)
+    return unique.join(existing.select(key), key, "left_anti")
 
 
 def upsert(existing: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
@@ -210,9 +212,13 @@ def clear_conversations(messages: DataFrame, cleared: DataFrame, key: str = "con
     return messages.join(cleared.select(key).distinct(), key, "left_anti")
 
 
-def retrieve_memories(queries: DataFrame, memory: DataFrame, k: int = C.MEMORIES_PER_QUERY, **options) -> DataFrame:
-    """Top ``k`` memories of the asking user for queries ``(query_id, user_id, embedding)``."""
-    hits = nearest(queries, memory, k, by="user_id", **options)
+def retrieve_memories(queries: DataFrame, memory: DataFrame, k: int = C.MEMORIES_PER_QUERY, asked_at: str | None = None, **options) -> DataFrame:
+    """Top ``k`` memories of the asking user for queries ``(query_id, user_id, embedding)``.
+
+    With ``asked_at``, a time column of the queries, only memories created before
+    it count, as in a turn that retrieves before it is saved.
+    """
+    hits = nearest(queries, memory, k, by="user_id", earlier=(asked_at, "created_at") if asked_at else None, **options)
     details = memory.select(
         "id", F.col("document").alias("content"), "type", "user_message", "bot_response", "emotion", "created_at"
     )

@@ -179,12 +179,17 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
     return _best(points.select(point_id, vector).mapInArrow(scan, schema), k)
 
 
-def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows) -> DataFrame:
+def _moment(column: str, missing: int) -> F.Column:
+    return F.coalesce(F.unix_micros(column), F.lit(missing).cast("long")).alias("_time")
+
+
+def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier=None) -> DataFrame:
     """``queries`` may hold one row per (query, key); hits carry the query id only."""
     schema = _hit_schema(queries, points, query_id, point_id)
     extra = [by] if by else []
-    left = queries.select(query_id, vector, *extra)
-    right = points.select(point_id, vector, *extra)
+    limits = np.iinfo(np.int64)
+    left = queries.select(query_id, vector, *extra, *([_moment(earlier[0], limits.min)] if earlier else []))
+    right = points.select(point_id, vector, *extra, *([_moment(earlier[1], limits.max)] if earlier else []))
     left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows, by))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
@@ -200,10 +205,11 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
             else:
                 groups = iter([(np.arange(len(qid)), np.arange(len(pid)))])
             codes = codes_of(qid, pid) if skip_self else None
+            asked, known = (ls.column("_time").to_numpy(), rs.column("_time").to_numpy()[order]) if earlier else (None, None)
             for li, ri in groups:
                 if len(ri):
                     same = (codes[0][li], codes[1][ri]) if codes else None
-                    r, c, d = k_best(qs[li], ps[ri], k, same)
+                    r, c, d = k_best(qs[li], ps[ri], k, same, (asked[li], known[ri]) if earlier else None)
                     out.append((qid.to_numpy()[li[r]], pid.to_numpy()[ri[c]], d))
         q, p, d = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         names = ["query_id", "id", "distance"]
@@ -224,17 +230,20 @@ def nearest(
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int | None = None,
+    earlier: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``(query_id, id, distance, rank)`` of the exact k nearest points per query.
 
-    With ``by`` a query only sees points of its own key. Ids must be unique on
-    each side. Rows without a vector are ignored.
+    With ``by`` a query only sees points of its own key; with ``earlier``, the
+    time columns of queries and points, only points of an earlier time, and none
+    where a time is null. Ids must be unique on each side. Rows without a vector
+    are ignored.
     """
-    if by is None:
+    if by is None and earlier is None:
         # counting rows needs no vector, so that computed vectors are not computed for it
         if queries.count() * _dimension(queries, vector) * 8 <= broadcast_bytes:
             return _broadcast_search(queries, points, query_id, point_id, vector, k, skip_self)
-    return _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows)
+    return _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier)
 
 
 # ---- clustered search --------------------------------------------------------------

@@ -129,12 +129,13 @@ def chat_turns(
     reason: str = "generation disabled",
 ) -> DataFrame:
     """Every step of a turn as columns, for requests
-    ``(query_id, user_id, message, emotion, use_filter, embedding)``.
+    ``(query_id, user_id, message, emotion, use_filter, asked_at, embedding)``.
+    Only memories from before ``asked_at`` are retrieved.
 
     ``replies`` is ``(query_id, reply)``; a request without one gets the fallback reply.
     """
     # at most a few rows per request, used three times
-    memories = materialised(retrieve_memories(requests, memory, skip_self=True), "memories")
+    memories = materialised(retrieve_memories(requests, memory, asked_at="asked_at"), "memories")
     used = memories.groupBy("query_id").agg(F.count("*").cast("int").alias("memories_used"))
     contexts = retrieve_contexts(requests, collection)
     blocks = memory_block(memories)

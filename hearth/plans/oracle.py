@@ -203,7 +203,7 @@ VECTORS = "vectors AS (SELECT vec_id AS id, embedding, vec_id % 20 AS user_id FR
 DOC_VECTORS = embedded("doc_vectors", "documents", "text", C.PASSAGE_PREFIX, "doc_id AS id, text AS document")
 ASKED = f"""asked AS (
   SELECT user_id || '_' || {STAMP} AS id, user_id, user_message, bot_response, CASE WHEN emotion <> '' THEN emotion END AS emotion,
-    conv_id % 2 = 0 AS use_filter FROM turns)"""
+    conv_id % 2 = 0 AS use_filter, created_at FROM turns)"""
 ASKED_VECTORS = embedded("asked_vectors", "asked", "user_message", C.QUERY_PREFIX, "*")
 ASKED_VECTORS = ASKED_VECTORS.replace("SELECT *, list_transform(c,", "SELECT * EXCLUDE (b, c, n), list_transform(c,")
 MEMORY_VECTORS = embedded(
@@ -214,7 +214,7 @@ CONTEXTS = f"""contexts AS MATERIALIZED (
   SELECT h.query_id, h.rank, h.id, h.distance, d.document FROM {top('asked_vectors', 'doc_vectors', 5)} h JOIN doc_vectors d ON d.id = h.id)"""
 HITS = f"""hits AS MATERIALIZED (
   SELECT h.*, round(1 - h.distance, 6) AS relevance, m.document AS content, m.type, m.user_message, m.bot_response, m.emotion
-  FROM {top('asked_vectors', 'memory_vectors', 10, 'q.user_id = p.user_id AND q.id <> p.id')} h JOIN memory_vectors m ON m.id = h.id)"""
+  FROM {top('asked_vectors', 'memory_vectors', 10, 'q.user_id = p.user_id AND p.created_at < q.created_at')} h JOIN memory_vectors m ON m.id = h.id)"""
 PLACED = """placed AS (
   SELECT *, count(*) FILTER (type = 'extracted_fact' AND place <= 4) OVER (PARTITION BY query_id) AS used
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY rank) AS place FROM hits)),
@@ -526,9 +526,14 @@ ORACLE: dict[str, str] = {
     "stream_memory_ingest": with_ctes(f"SELECT DISTINCT id, user_id, type, document, {SECONDS} AS created_at FROM (SELECT DISTINCT ON (id) * FROM repeated)", TURNS, MESSAGES, STREAMED),
     "stream_memory_stats": with_ctes(
         f"""SELECT user_id, count(*) AS total, count(*) FILTER (type = '{C.TURN}') AS conversations, count(*) FILTER (type = '{C.FACT}') AS facts
-        FROM (SELECT user_id, type FROM repeated UNION ALL SELECT user_id, '{C.TURN}' FROM turns WHERE emotion = 'sad') GROUP BY user_id""",
+        FROM (SELECT DISTINCT id, user_id, type FROM repeated) GROUP BY user_id""",
         TURNS, MESSAGES, STREAMED,
     ),
+    "stream_retrieve": with_ctes(
+        """SELECT query_id, 'memory' AS source, rank, id, distance FROM hits
+        UNION ALL SELECT query_id, 'context', rank, id::VARCHAR, distance FROM contexts""",
+        *HITS_ALL, DOC_VECTORS, CONTEXTS,
+    ),
     "stream_guard": f"""SELECT doc_id, word <> '' AS toxic, CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE text END AS final_text
       FROM (SELECT doc_id, text, {LEXICON_HIT} AS word FROM documents)""",
 }

@@ -388,7 +388,7 @@ def _requests(spark, folder):
 
 def _memory_hits(spark, folder, requests=None):
     asked = requests if requests is not None else _requests(spark, folder)
-    return materialised(memory.retrieve_memories(asked, _stored_memory(spark, folder), skip_self=True), "hits")
+    return materialised(memory.retrieve_memories(asked, _stored_memory(spark, folder), asked_at="asked_at"), "hits")
 
 
 @query
@@ -570,17 +570,17 @@ def _turn_files(spark, folder) -> str:
 @query
 def stream_memory_ingest(spark, folder):
     out, state = scratch_path(spark, "memory"), scratch_path(spark, "state")
-    turns = streams.read_stream(spark, _turn_files(spark, folder))
-    streams.ingest_memory(turns, out, state, late="36500 days").awaitTermination()
+    turns = streams.read_stream(spark, _turn_files(spark, folder), files_per_batch=3)
+    streams.ingest_memory(turns, out, state).awaitTermination()
     return spark.read.parquet(out).select("id", "user_id", "type", "document", _stamp("created_at").alias("created_at"))
 
 
 @query
 def stream_memory_stats(spark, folder):
-    out, state = scratch_path(spark, "stats"), scratch_path(spark, "state")
+    out, stats, state = (scratch_path(spark, n) for n in ("memory", "stats", "state"))
     turns = streams.read_stream(spark, _turn_files(spark, folder), files_per_batch=4)
-    streams.running_stats(turns, out, state).awaitTermination()
-    return streams.latest_stats(spark.read.parquet(out))
+    streams.ingest_memory(turns, out, state, stats=stats).awaitTermination()
+    return streams.latest_stats(spark.read.parquet(stats))
 
 
 @query

@@ -175,5 +175,6 @@ def turn_queries(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("emotion") != "", F.col("emotion")).alias("emotion"),
         (F.col("conv_id") % 2 == 0).alias("use_filter"),
         "bot_response",
+        F.col("created_at").alias("asked_at"),
         hash_embed("user_message", prefix=C.QUERY_PREFIX).alias("embedding"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hearth import constants as C
 from hearth.functions.safety import guard
 from hearth.functions.vectors import hash_embed
-from hearth.operators.memory import memory_records, memory_stats, retrieve_memories, with_bucket
+from hearth.operators.memory import memory_records, memory_stats, new_records, retrieve_memories, stamp, with_bucket
 from hearth.operators.nearest import nearest
 
 TURN_SCHEMA = T.StructType(
@@ -45,20 +45,6 @@ def _start(writer, checkpoint: str, drain: bool) -> StreamingQuery:
     return writer.trigger(availableNow=True).start() if drain else writer.start()
 
 
-def ingest_memory(turns: DataFrame, path: str, checkpoint: str, late: str = "1 hour", drain: bool = True, **options) -> StreamingQuery:
-    """Turn and fact records appended once per id through the exactly-once file sink.
-
-    Ids repeated within ``late`` of event time are dropped; state is kept per id,
-    so a busy user is spread over all tasks.
-    """
-    records = memory_records(turns, **options).withWatermark("created_at", late)
-    unique = with_bucket(records.dropDuplicatesWithinWatermark(["id"]))
-    # few files per folder and batch, and a busy user in several tasks
-    salt = F.pmod(F.xxhash64("id"), F.lit(4))
-    writer = unique.repartition("user_bucket", salt).writeStream.outputMode("append").format("parquet").partitionBy("user_bucket")
-    return _start(writer.option("path", path), checkpoint, drain)
-
-
 def _per_batch(path: str, job: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         job(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -66,17 +52,39 @@ def _per_batch(path: str, job: Callable[[DataFrame], DataFrame]) -> Callable[[Da
     return write
 
 
-def running_stats(turns: DataFrame, path: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Statistics of the users each micro-batch touched; partial counts precede the state."""
-    stats = memory_stats(memory_records(turns, embed=lambda _: F.lit(None).cast("array<float>")))
-    writer = stats.writeStream.outputMode("update").foreachBatch(_per_batch(path, lambda batch: batch))
-    return _start(writer, checkpoint, drain)
+def ingest_memory(turns: DataFrame, path: str, checkpoint: str, stats: str | None = None, drain: bool = True, **options) -> StreamingQuery:
+    """Turn and fact records stored once per id, however often or late a turn arrives.
+
+    A micro-batch writes the records whose id no earlier one has stored, found by
+    an anti join with the stored ids of the user buckets it touches, so no state is
+    kept besides the table. It lies below ``batch_id`` and ``user_bucket`` folders
+    and belongs to one checkpoint. With ``stats`` the counts of the new records per
+    user are written there, see :func:`latest_stats`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        records = with_bucket(memory_records(batch, **options))
+        folder, stored = f"{path}/batch_id={batch_id}", records.limit(0)
+        if batch_id > 0:
+            schema = T.StructType([*records.schema.fields, T.StructField("batch_id", T.LongType())])
+            # at most as many values as there are buckets
+            touched = [r[0] for r in records.select("user_bucket").distinct().collect()]
+            before = (F.col("batch_id") < batch_id) & F.col("user_bucket").isin(touched)
+            stored = spark.read.schema(schema).parquet(path).filter(before)
+        fresh = new_records(records, stored)
+        # few files per folder and batch, and a busy user in several tasks
+        fresh.hint("rebalance", "user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(folder)
+        if stats:
+            written = spark.read.schema(records.schema).parquet(folder)
+            memory_stats(written).write.mode("overwrite").parquet(f"{stats}/batch_id={batch_id}")
+
+    return _start(turns.writeStream.foreachBatch(write), checkpoint, drain)
 
 
 def latest_stats(written: DataFrame) -> DataFrame:
-    """Newest row per user of what :func:`running_stats` wrote."""
-    newest = F.max_by(F.struct("total", "conversations", "facts"), "batch_id").alias("s")
-    return written.groupBy("user_id").agg(newest).select("user_id", "s.*")
+    """Statistics per user from the counts that :func:`ingest_memory` wrote batch by batch."""
+    return written.groupBy("user_id").agg(*[F.sum(n).alias(n) for n in ("total", "conversations", "facts")])
 
 
 def guard_replies(replies: DataFrame, text: str, path: str, checkpoint: str, drain: bool = True, **options) -> StreamingQuery:
@@ -97,16 +105,19 @@ def retrieve_for_turns(
 ) -> StreamingQuery:
     """Memories and contexts of every arriving turn, ``source`` naming which.
 
-    Both tables are read anew per micro-batch, so a turn sees the memory as it
-    was when its micro-batch began.
+    Both tables are read anew per micro-batch. A turn sees the memories created
+    before it; ``query_id`` is the id its own memory record has or will have.
     """
 
     def job(batch: DataFrame) -> DataFrame:
         queries = batch.select(
-            F.col("turn_id").alias("query_id"), "user_id", hash_embed("user_message", prefix=C.QUERY_PREFIX).alias("embedding")
+            F.concat_ws("_", "user_id", stamp(F.col("created_at"))).alias("query_id"),
+            "user_id",
+            F.col("created_at").alias("asked_at"),
+            hash_embed("user_message", prefix=C.QUERY_PREFIX).alias("embedding"),
         )
         columns = ["query_id", "source", "rank", F.col("id").cast("string").alias("id"), "distance"]
-        known = retrieve_memories(queries, memory(), memories, skip_self=True).withColumn("source", F.lit("memory"))
+        known = retrieve_memories(queries, memory(), memories, asked_at="asked_at").withColumn("source", F.lit("memory"))
         found = nearest(queries, collection(), contexts).withColumn("source", F.lit("context"))
         return known.select(*columns).unionByName(found.select(*columns))
 

@@ -3,6 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from hearth import constants as C
 from hearth.functions import safety
 from hearth.operators import memory as M
 from hearth.session import scratch_path
@@ -44,11 +45,20 @@ def test_ingest_goes_on_where_it_stopped(spark):
     assert spark.read.parquet(out).count() == before + M.memory_records(late).count()
 
 
-def test_running_stats_end_at_batch_stats(spark):
-    path, turns = turn_files(spark)
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    S.running_stats(S.read_stream(spark, path, files_per_batch=1), out, state).awaitTermination()
-    got = {tuple(r) for r in S.latest_stats(spark.read.parquet(out)).collect()}
+def test_late_turns_are_stored(spark):
+    path, out, state = (scratch_path(spark, n) for n in ("late", "out", "state"))
+    for hour in (0, 10, 20, 1, 10):
+        row = (f"t{hour}", "u", "c", "hello", None, None, datetime(2024, 1, 1, hour))
+        spark.createDataFrame([row], S.TURN_SCHEMA).write.mode("append").parquet(path)
+        S.ingest_memory(S.read_stream(spark, path), out, state).awaitTermination()
+    assert sorted(r.created_at.hour for r in spark.read.parquet(out).collect()) == [0, 1, 10, 20]
+
+
+def test_running_stats_count_repeats_once(spark):
+    path, turns = turn_files(spark, copies=2)
+    out, stats, state = (scratch_path(spark, n) for n in ("out", "stats", "state"))
+    S.ingest_memory(S.read_stream(spark, path, files_per_batch=1), out, state, stats=stats).awaitTermination()
+    got = {tuple(r) for r in S.latest_stats(spark.read.parquet(stats)).collect()}
     assert got == {tuple(r) for r in M.memory_stats(M.memory_records(turns)).collect()}
 
 
@@ -81,6 +91,9 @@ def test_retrieval_sees_only_own_memory(spark):
     S.retrieve_for_turns(S.read_stream(spark, path), lambda: memory, lambda: collection, out, state, 3, 2).awaitTermination()
     hits = spark.read.parquet(out)
     assert hits.groupBy("query_id", "source").count().filter("count > 3").isEmpty()
-    own = hits.filter("source = 'memory'").join(turns, hits.query_id == turns.turn_id)
-    assert own.filter(~F.col("id").startswith(F.concat("user_id", F.lit("_")))).isEmpty()
+    asked = memory.filter(F.col("type") == C.TURN).select(F.col("id").alias("query_id"), "user_id", "created_at")
+    known = memory.select("id", F.col("user_id").alias("owner"), F.col("created_at").alias("saved_at"))
+    own = hits.filter("source = 'memory'").join(asked, "query_id").join(known, "id")
+    assert own.count() == hits.filter("source = 'memory'").count() > 0
+    assert own.filter("user_id <> owner OR saved_at >= created_at").isEmpty()
     assert hits.filter("source = 'context'").count() == 40
