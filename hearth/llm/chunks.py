@@ -8,7 +8,7 @@ look-up. The memory held is bounded: the store is emptied when it is full.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -28,7 +28,7 @@ class _Pieces(dict):
 class ChunkStore:
     """Ids of the distinct pieces met so far; ``encode`` turns a list of pieces into lists of ids."""
 
-    def __init__(self, encode: Callable[[list[str | None]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str | None]], Iterable[list[int]]]):
         self.encode = encode
         self.clear()
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,7 @@ AT_SPACE = re.compile(r"(?<=[^ ])(?= )")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 GROUP_BYTES = 4 << 20
+ENCODED_AT_ONCE = 16_384
 
 
 def read_model(path: str):
@@ -97,14 +99,19 @@ class Encoder:
     def __init__(self, path: str, verify: bool):
         from sentencepiece import SentencePieceProcessor
 
-        self.model = read_model(path)
-        self.tokenizer = build_tokenizer(self.model)
+        model = read_model(path)
+        self.tokenizer = build_tokenizer(model)
         self.peer = SentencePieceProcessor(model_file=path) if verify else None
-        self.by_piece = cuts_at_markers(self.model)
+        self.by_piece = cuts_at_markers(model)
         self.store = ChunkStore(self._encode)
         self.equal = np.ones(0, bool)
 
-    def _encode(self, pieces: list[str | None]) -> list[list[int]]:
+    def _encode(self, pieces: list[str | None]) -> Iterator[list[int]]:
+        # the library's result per piece takes far more memory than its ids
+        for low in range(0, len(pieces), ENCODED_AT_ONCE):
+            yield from self._encode_batch(pieces[low : low + ENCODED_AT_ONCE])
+
+    def _encode_batch(self, pieces: list[str | None]) -> list[list[int]]:
         texts = [p or "" for p in pieces]
         ids = [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         equal = [True] * len(ids)
@@ -173,10 +180,14 @@ class Decoder:
 
     def __init__(self, path: str):
         model = read_model(path)
-        self.tokenizer = build_tokenizer(model)
+        self.path = path
         self.strip = 1 if model.normalizer_spec.add_dummy_prefix else 0
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARKER, " ").encode() for p in model.pieces]
 
+    @cached_property
+    def tokenizer(self):
+        return build_tokenizer(read_model(self.path))
+
     def text(self, ids: list[int]) -> str:
         joined = b"".join(map(self.bytes.__getitem__, ids))
         try:
