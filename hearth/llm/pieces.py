@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -152,21 +152,25 @@ class Encoder:
         return np.array([*map(self.store.first.__getitem__, pieces[:-1]), self.store.rest[""]], dtype=np.int64)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, verify: bool) -> Encoder:
+    """The encoder of a worker, kept for its next tasks: one per task would linger until it is collected."""
+    return Encoder(path, verify)
+
+
 def encode(docs: DataFrame, model_path: str | None = None, verify: bool = True, text_col: str = "text") -> DataFrame:
     """``docs`` and ids (little-endian unsigned 32-bit numbers), n_ids, parity."""
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    made: list[Encoder] = []
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        if not made:
-            made.append(Encoder(path, verify))
+        encoder = encoder_of(path, verify)
         ids, parity, low = [], [], 0
         while low < len(texts):
             size, high = 0, low
             while high < len(texts) and size < GROUP_BYTES:
                 size += len(texts[high])
                 high += 1
-            for found, equal in made[0].group([t.decode() for t in texts[low:high]]):
+            for found, equal in encoder.group([t.decode() for t in texts[low:high]]):
                 ids.append(found.astype("<u4").tobytes())
                 parity.append(equal)
             low = high
@@ -197,14 +201,17 @@ class Decoder:
         return text[self.strip :] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def decode(encoded: DataFrame, model_path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` and decoded, the text of the ids; no ids give an empty text."""
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    made: list[Decoder] = []
 
     def compute(rows: list[bytes]) -> list[pa.Array]:
-        if not made:
-            made.append(Decoder(path))
-        return [pa.array([made[0].text(np.frombuffer(r, "<u4").tolist()) for r in rows], pa.string())]
+        decoder = decoder_of(path)
+        return [pa.array([decoder.text(np.frombuffer(r, "<u4").tolist()) for r in rows], pa.string())]
 
     return append_columns(encoded, ids_col, compute, [("decoded", T.StringType())])
