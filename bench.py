@@ -22,7 +22,8 @@ HEADLINE = [
     "knn_topk", "knn_topk_blocks", "knn_per_user", "retrieve_contexts", "turn_pairs", "memory_turns",
     "memory_facts", "memory_stats", "memory_listing", "memory_block", "prompt_table", "lexicon_toxicity",
     "toxicity_reduction", "bleu_corpus", "rouge_l_stemmed", "greedy_match_score", "emotion_alignment",
-    "evaluation_run", "training_set", "stream_guard",
+    "evaluation_run", "training_set", "stream_guard", "chat_turns", "memory_hits", "knn_clustered_exact",
+    "evaluation_report", "classify_label", "stream_memory_ingest", "stream_retrieve",
 ]
 
 

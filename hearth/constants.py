@@ -114,6 +114,9 @@ LISTING_LIMIT = 100
 LISTING_MESSAGE_CHARS = 50
 LISTING_OTHER_CHARS = 60
 MEMORY_HEADER = "Here's what I remember from our previous conversations:"
+MEMORY_FACT_LINE = "- "
+MEMORY_SAID = '- Previously you said: "'
+MEMORY_ANSWERED = '\n  I responded: "'
 MEMORY_ITEMS = 8
 MEMORY_FACTS = 4
 MEMORY_MESSAGE_CHARS = 100

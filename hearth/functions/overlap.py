@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -164,6 +165,26 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def clipped_ngrams(pred: list[str], ref: list[str], orders: int) -> list[int]:
+    """Clipped matches of every order, n-grams of every order in ``pred``, length of ``ref``."""
+    matches = []
+    for n in range(1, orders + 1):
+        p, r = (Counter(zip(*(side[i:] for i in range(n)))) for side in (pred, ref))
+        matches.append((p & r).total())
+    return [*matches, *(max(0, len(pred) - n + 1) for n in range(1, orders + 1)), len(ref)]
+
+
+def ngram_overlap(pred: Column, ref: Column, orders: int) -> Column:
+    """:func:`clipped_ngrams` of two token arrays."""
+
+    @F.pandas_udf("array<long>")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p_side, r_side in batches:
+            yield pd.Series([clipped_ngrams(list(p), list(r), orders) for p, r in zip(p_side, r_side)])
+
+    return measure(pred, ref)
+
+
 def stems(tokens: list[str]) -> list[str]:
     return [porter_stem(t) if len(t) > 3 else t for t in tokens]
 

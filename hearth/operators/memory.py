@@ -11,7 +11,7 @@ from hearth.functions.prompts import non_empty
 from hearth.functions.text import cut, strip_blanks
 from hearth.functions.vectors import hash_embed, relevance
 from hearth.operators.nearest import nearest
-from hearth.operators.ordering import gather_lines, top_per_group, with_next
+from hearth.operators.ordering import top_per_group, with_next
 from hearth.session import materialised
 
 MEMORY_COLUMNS = [
@@ -225,40 +225,45 @@ def retrieve_memories(queries: DataFrame, memory: DataFrame, k: int = C.MEMORIES
     return hits.withColumn("relevance", relevance("distance")).join(details, "id")
 
 
-def memory_prompt_lines(hits: DataFrame, max_items: int = C.MEMORY_ITEMS, max_facts: int = C.MEMORY_FACTS) -> DataFrame:
-    """Hits that enter the prompt, with ``slot``: facts first, then turns in what is left.
+def _prompt_hits(hits: DataFrame, max_items: int, max_facts: int) -> DataFrame:
+    """``(query_id, kept)``: the hits of every query that enter the prompt, facts first,
+    then turns in what is left. The few hits of a query are gathered once, in rank order."""
+    fields = [c for c in hits.columns if c not in ("query_id", "rank")]
+    ranked = F.array_sort(F.collect_list(F.struct("rank", *fields)))
+    gathered = hits.groupBy("query_id").agg(ranked.alias("hits"))
 
-    Both kinds are cut to their largest possible quota per query before the
-    number of facts taken is compared with it.
-    """
-    kinds = hits.filter(F.col("type").isin(C.FACT, C.TURN))
-    ranked = top_per_group(kinds, ["query_id", "type"], [F.col("rank")], max(max_items, max_facts), "place")
-    used = ranked.filter(F.col("type") == C.FACT).groupBy("query_id").agg(
-        F.least(F.count("*"), F.lit(max_facts)).alias("facts_used")
+    def of_type(kind: str) -> Column:
+        return F.filter("hits", lambda h: h.getField("type") == kind)
+
+    facts = F.slice(of_type(C.FACT), 1, max_facts)
+    left = F.greatest(F.lit(max_items) - F.size(facts), F.lit(0))
+    return gathered.select("query_id", F.concat(facts, F.slice(of_type(C.TURN), F.lit(1), left)).alias("kept"))
+
+
+def memory_prompt_lines(hits: DataFrame, max_items: int = C.MEMORY_ITEMS, max_facts: int = C.MEMORY_FACTS) -> DataFrame:
+    """Hits that enter the prompt, with ``slot`` from 1: facts first, then turns in what is left."""
+    placed = _prompt_hits(hits, max_items, max_facts).select("query_id", F.posexplode("kept").alias("_place", "_hit"))
+    return placed.select("query_id", "_hit.*", (F.col("_place") + 1).alias("slot"))
+
+
+def _memory_line(hit: Column) -> Column:
+    """The printed line of a hit; null for a turn without a message."""
+    message = F.coalesce(hit.getField("user_message"), F.lit(""))
+    reply = F.coalesce(hit.getField("bot_response"), F.lit(""))
+    said = F.concat(F.lit(C.MEMORY_SAID), cut(message, C.MEMORY_MESSAGE_CHARS), F.lit('"'))
+    answered = F.concat(F.lit(C.MEMORY_ANSWERED), cut(reply, C.MEMORY_REPLY_CHARS), F.lit('"'))
+    return F.when(hit.getField("type") == C.FACT, F.concat(F.lit(C.MEMORY_FACT_LINE), hit.getField("content"))).when(
+        message != "", F.concat(said, F.when(reply != "", answered).otherwise(F.lit("")))
     )
-    ranked = ranked.join(used, "query_id", "left").fillna({"facts_used": 0})
-    is_fact = F.col("type") == C.FACT
-    quota = F.when(is_fact, F.lit(max_facts)).otherwise(F.lit(max_items) - F.col("facts_used"))
-    slot = F.when(is_fact, F.col("place")).otherwise(F.col("place") + F.col("facts_used"))
-    return ranked.filter(F.col("place") <= quota).withColumn("slot", slot.cast("int")).drop("place", "facts_used")
 
 
 def memory_block(hits: DataFrame, max_items: int = C.MEMORY_ITEMS, max_facts: int = C.MEMORY_FACTS) -> DataFrame:
     """``(query_id, memory_block)``: prompt text of the retrieved memories; queries
-    without hits have no row."""
-    lines = memory_prompt_lines(hits, max_items, max_facts)
-    message = F.coalesce("user_message", F.lit(""))
-    reply = F.coalesce("bot_response", F.lit(""))
-    said = F.concat(F.lit('- Previously you said: "'), cut(message, C.MEMORY_MESSAGE_CHARS), F.lit('"'))
-    answered = F.concat(F.lit('\n  I responded: "'), cut(reply, C.MEMORY_REPLY_CHARS), F.lit('"'))
-    line = F.when(F.col("type") == C.FACT, F.concat(F.lit("- "), F.col("content"))).when(
-        message != "", F.concat(said, F.when(reply != "", answered).otherwise(F.lit("")))
-    )
-    printed = lines.select("query_id", "slot", line.alias("line"))
-    body = gather_lines(printed.filter(F.col("line").isNotNull()), ["query_id"], "slot", "line", "body")
-    asked = hits.select("query_id").distinct()
-    block = F.concat(F.lit(C.MEMORY_HEADER), F.coalesce(F.concat(F.lit("\n"), F.col("body")), F.lit("")))
-    return asked.join(body, "query_id", "left").select("query_id", block.alias("memory_block"))
+    without hits have no row. One grouping of the hits, whose lines are then made in place."""
+    printed = hits.select("query_id", "rank", "type", "content", "user_message", "bot_response")
+    lines = F.array_compact(F.transform("kept", _memory_line))
+    block = F.array_join(F.concat(F.array(F.lit(C.MEMORY_HEADER)), lines), "\n")
+    return _prompt_hits(printed, max_items, max_facts).select("query_id", block.alias("memory_block"))
 
 
 def conversation_summary(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:

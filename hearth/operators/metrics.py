@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth import constants as C
-from hearth.functions.overlap import lcs_sizes, tokens_13a, words_az09
+from hearth.functions.overlap import lcs_sizes, ngram_overlap, tokens_13a, words_az09
 from hearth.functions.safety import max_score
-from hearth.functions.text import bind
 from hearth.operators.nearest import greedy_match
-from hearth.session import shuffle_width
 
 MAX_ORDER = 4
 
@@ -20,58 +18,21 @@ def pair_on_id(predictions: DataFrame, references: DataFrame, row_id: str = "row
     return predictions.join(references, row_id)
 
 
-def _ngrams(tokens: Column, side: str) -> Column:
-    """Array of ``(side, n, gram)`` of all orders."""
-    def of_order(words: Column, n: int) -> Column:
-        last = F.size(words) - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                F.lit(side).alias("side"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")
-            ),
-        )
-
-    return bind(tokens, lambda words: F.concat(*[of_order(words, n) for n in range(1, MAX_ORDER + 1)]))
-
-
-def bleu(pairs: DataFrame, row_id: str = "row_id", pred: str = "pred", ref: str = "ref", fallback: str | None = None) -> DataFrame:
+def bleu(pairs: DataFrame, pred: str = "pred", ref: str = "ref", fallback: str | None = None) -> DataFrame:
     """Corpus BLEU with 13a tokens, four orders and exponential smoothing.
 
-    The texts are partitioned by row once; n-grams are then expanded, counted
-    and clipped inside that partitioning, so no n-gram is shuffled.
+    Both texts of a pair stand in one row, so its n-grams are counted and clipped
+    there; a row needs no key, and only sums leave a task.
     """
     flag = F.col(fallback).cast("boolean") if fallback else F.lit(False)
-    texts = pairs.select(
-        F.col(row_id).alias("row_id"),
-        F.coalesce(pred, F.lit("")).alias("p"),
-        F.coalesce(ref, F.lit("")).alias("r"),
-        flag.alias("used"),
-    )
-    # order 0 stands for the row itself, so that rows without tokens count as samples
-    row = F.struct(
-        F.lit("row").alias("side"), F.lit(0).alias("n"), F.when(F.col("used"), "fallback").otherwise("").alias("gram")
-    )
-    # a given number of partitions: this stage expands its input and must not be coalesced
-    parts = shuffle_width(pairs.sparkSession)
-    grams = texts.repartition(parts, "row_id").select(
-        "row_id",
-        F.explode_outer(F.concat(F.array(row), _ngrams(tokens_13a("p"), "p"), _ngrams(tokens_13a("r"), "r"))).alias("g"),
-    )
-    clipped = grams.groupBy("row_id", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.count_if(F.col("g.side") == "p").alias("in_pred"), F.count_if(F.col("g.side") == "r").alias("in_ref")
-    )
-    of = {n: F.col("n") == n for n in range(1, MAX_ORDER + 1)}
+    sides = [tokens_13a(F.coalesce(side, F.lit(""))) for side in (pred, ref)]
+    counted = pairs.select(ngram_overlap(*sides, MAX_ORDER).alias("counts"), flag.alias("used"))
+    orders = range(1, MAX_ORDER + 1)
+    names = [*(f"match_{n}" for n in orders), *(f"total_{n}" for n in orders), "ref_len"]
     zero = F.lit(0).cast("long")
-    sums = [F.coalesce(F.sum(F.when(c, F.least("in_pred", "in_ref"))), zero).alias(f"match_{n}") for n, c in of.items()]
-    sums += [F.coalesce(F.sum(F.when(c, F.col("in_pred"))), zero).alias(f"total_{n}") for n, c in of.items()]
-    sums.append(F.coalesce(F.sum(F.when(of[1], F.col("in_ref"))), zero).alias("ref_len"))
-    is_row = F.col("n") == 0
-    sums.append(F.count_if(is_row).alias("samples"))
-    sums.append(F.count_if(is_row & (F.col("gram") == "fallback")).alias("fallback_responses"))
-    return clipped.agg(*sums).select(
-        F.lit("bleu").alias("metric"), *bleu_score(), "samples", "fallback_responses"
-    )
+    sums = [F.coalesce(F.sum(F.get("counts", F.lit(i))), zero).alias(name) for i, name in enumerate(names)]
+    totals = counted.agg(*sums, F.count("*").alias("samples"), F.count_if("used").alias("fallback_responses"))
+    return totals.select(F.lit("bleu").alias("metric"), *bleu_score(), "samples", "fallback_responses")
 
 
 def bleu_score() -> list[Column]:

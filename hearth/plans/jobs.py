@@ -17,7 +17,7 @@ from hearth.functions.vectors import hash_embed
 from hearth.operators.corpus import clean_corpus, dedup_corpus, infer_index_text, training_examples
 from hearth.operators.memory import memory_block, retrieve_memories
 from hearth.operators.nearest import nearest, with_content
-from hearth.operators.ordering import gather_lines, top_per_group, with_dense_index
+from hearth.operators.ordering import gather_lines, with_dense_index
 from hearth.session import materialised
 from hearth.sources.tables import scan_corpus_splits
 
@@ -107,18 +107,25 @@ def retrieve_contexts(queries: DataFrame, collection: DataFrame, k: int = C.CONT
     return with_content(nearest(queries, collection, k, **options), collection)
 
 
-def context_list(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Memory block first (rank 0), then the retrieved contexts: ``(query_id, rank, document)``."""
+def context_lists(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(query_id, context)``: the memory block first, then the retrieved contexts, as one array per query."""
     block = blocks.select("query_id", F.lit(0).alias("rank"), F.col("memory_block").alias("document"))
-    return block.unionByName(contexts.select("query_id", "rank", "document"))
+    listed = block.unionByName(contexts.select("query_id", "rank", "document"))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "document")))
+    return listed.groupBy("query_id").agg(F.transform(ranked, lambda c: c.getField("document")).alias("context"))
+
+
+def bulleted(context: str, kept: int) -> Column:
+    """The first ``kept`` entries of an array as bullets, null for none."""
+    lines = F.transform(F.slice(context, 1, kept), lambda c: F.concat(F.lit("- "), c))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
 def prompt_table(queries: DataFrame, contexts: DataFrame, blocks: DataFrame, kept: int = C.CONTEXTS_IN_PROMPT, **wording) -> DataFrame:
     """``(query_id, prompt)`` for queries ``(query_id, message, emotion, safety_mode)``."""
-    listed = top_per_group(context_list(contexts, blocks), ["query_id"], [F.col("rank")], kept, "place")
-    bullets = context_block(listed, "place")
-    joined = queries.join(bullets, "query_id", "left")
-    return joined.select("query_id", prompt_text("message", "emotion", "context_block", "safety_mode", **wording).alias("prompt"))
+    lists = context_lists(contexts.filter(F.col("rank") <= kept), blocks)
+    joined = queries.join(lists, "query_id", "left")
+    return joined.select("query_id", prompt_text("message", "emotion", bulleted("context", kept), "safety_mode", **wording).alias("prompt"))
 
 
 def chat_turns(
@@ -127,23 +134,23 @@ def chat_turns(
     collection: DataFrame,
     replies: DataFrame | None = None,
     reason: str = "generation disabled",
+    words: list[str] = C.TOXIC_WORDS,
+    kept: int = C.CONTEXTS_IN_PROMPT,
 ) -> DataFrame:
     """Every step of a turn as columns, for requests
     ``(query_id, user_id, message, emotion, use_filter, asked_at, embedding)``.
     Only memories from before ``asked_at`` are retrieved.
 
     ``replies`` is ``(query_id, reply)``; a request without one gets the fallback reply.
+    ``context`` holds the memory block, if any, and the retrieved texts.
     """
-    # at most a few rows per request, used three times
+    # at most a few rows per request, used twice
     memories = materialised(retrieve_memories(requests, memory, asked_at="asked_at"), "memories")
     used = memories.groupBy("query_id").agg(F.count("*").cast("int").alias("memories_used"))
-    contexts = retrieve_contexts(requests, collection)
-    blocks = memory_block(memories)
-    prompts = prompt_table(
-        requests.select("query_id", "message", "emotion", F.col("use_filter").alias("safety_mode")), contexts, blocks
-    )
-    rows = requests.drop("embedding").join(prompts, "query_id").join(used, "query_id", "left").fillna({"memories_used": 0})
-    return respond(rows, replies, reason)
+    lists = context_lists(retrieve_contexts(requests, collection), memory_block(memories))
+    rows = requests.drop("embedding").join(lists, "query_id", "left").join(used, "query_id", "left").fillna({"memories_used": 0})
+    prompt = prompt_text("message", "emotion", bulleted("context", kept), "use_filter")
+    return respond(rows.withColumn("prompt", prompt), replies, reason, words)
 
 
 def respond(rows: DataFrame, replies: DataFrame | None, reason: str, words: list[str] = C.TOXIC_WORDS) -> DataFrame:
@@ -175,7 +182,7 @@ def evaluation_rows(
     rows = pairs.select("query_id", "text", F.col("response").alias("ref"), "emotion", F.lit(use_filter).alias("use_filter"))
     answered = respond(rows.join(prompts, "query_id"), replies, reason, words)
     return answered.select(
-        F.col("query_id").alias("row_id"), "prompt", F.col("final_text").alias("pred"), "ref", "used_fallback", "toxic"
+        F.col("query_id").alias("row_id"), "prompt", F.col("final_text").alias("pred"), "ref", "used_fallback", "toxic", "scores"
     )
 
 

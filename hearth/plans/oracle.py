@@ -271,8 +271,7 @@ def tokens_13a(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[{BLANK}]+'), lambda w: w <> '')"
 
 
-BLEU = with_ctes(
-    """SELECT 'bleu' AS metric, round(CASE WHEN m1 + m2 + m3 + m4 = 0 OR least(t1, t2, t3, t4) = 0 THEN 0 ELSE
+BLEU_BODY = """SELECT 'bleu' AS metric, round(CASE WHEN m1 + m2 + m3 + m4 = 0 OR least(t1, t2, t3, t4) = 0 THEN 0 ELSE
     100 * bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 6) AS bleu, round(bp, 6) AS brevity_penalty,
     t1::DOUBLE AS sys_len, ref_len::DOUBLE AS ref_len, (SELECT count(*) FROM pairs) AS samples, 0::BIGINT AS fallback_responses
   FROM (SELECT *, CASE WHEN t1 >= ref_len THEN 1 WHEN t1 > 0 THEN exp(1 - ref_len / t1) ELSE 0 END AS bp,
@@ -280,8 +279,8 @@ BLEU = with_ctes(
     CASE WHEN m2 > 0 THEN m2 / t2 ELSE 1 / (pow(2, (m1 = 0)::INT + (m2 = 0)::INT) * t2) END AS p2,
     CASE WHEN m3 > 0 THEN m3 / t3 ELSE 1 / (pow(2, (m1 = 0)::INT + (m2 = 0)::INT + (m3 = 0)::INT) * t3) END AS p3,
     CASE WHEN m4 > 0 THEN m4 / t4 ELSE 1 / (pow(2, (m1 = 0)::INT + (m2 = 0)::INT + (m3 = 0)::INT + (m4 = 0)::INT) * t4) END AS p4
-  FROM sums)""",
-    TURNS, PAIRS,
+  FROM sums)"""
+BLEU_CTES = [
     f"toks AS (SELECT row_id, 'p' AS side, {tokens_13a('pred')} AS t FROM pairs UNION ALL SELECT row_id, 'r', {tokens_13a('ref')} FROM pairs)",
     """grams AS (SELECT row_id, side, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g
       FROM toks, (SELECT unnest([1, 2, 3, 4]) AS n))""",
@@ -289,13 +288,13 @@ BLEU = with_ctes(
     "sums AS (SELECT " + ", ".join(
         f"sum(least(cp, cr)) FILTER (n = {n}) AS m{n}, sum(cp) FILTER (n = {n}) AS t{n}" for n in (1, 2, 3, 4)
     ) + ", sum(cr) FILTER (n = 1) AS ref_len FROM counts)",
-)
+]
+BLEU = with_ctes(BLEU_BODY, TURNS, PAIRS, *BLEU_CTES)
 
-ROUGE = with_ctes(
-    """SELECT 'rougeL' AS metric, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS rougeL_f1,
+ROUGE_BODY = """SELECT 'rougeL' AS metric, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS rougeL_f1,
     round(avg(p), 6) AS rougeL_precision, round(avg(r), 6) AS rougeL_recall, count(*) AS samples, 0::BIGINT AS fallback_responses
-  FROM (SELECT CASE WHEN len(a) > 0 THEN l / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN l / len(b) ELSE 0 END AS r FROM lcs)""",
-    TURNS, PAIRS,
+  FROM (SELECT CASE WHEN len(a) > 0 THEN l / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN l / len(b) ELSE 0 END AS r FROM lcs)"""
+ROUGE_CTES = [
     """words AS (SELECT list_filter(regexp_split_to_array(lower(pred), '[^a-z0-9]+'), lambda w: w <> '') AS a,
       list_filter(regexp_split_to_array(lower(ref), '[^a-z0-9]+'), lambda w: w <> '') AS b FROM pairs)""",
     """coded AS (SELECT a, b, list_transform(a, lambda w: [coalesce(list_position(b, w), 0)]) AS ca,
@@ -303,7 +302,8 @@ ROUGE = with_ctes(
     """lcs AS (SELECT a, b, list_reduce(ca, lambda prev, x: list_reduce(js, lambda acc, e:
         list_append(acc, greatest(acc[e[1]], prev[e[1] + 1], CASE WHEN cb[e[1]] = x[1] THEN prev[e[1]] + 1 ELSE 0 END)::INTEGER), [0::INTEGER]),
         list_transform(range(len(b) + 1), lambda i: 0::INTEGER))[len(b) + 1] AS l FROM coded)""",
-)
+]
+ROUGE = with_ctes(ROUGE_BODY, TURNS, PAIRS, *ROUGE_CTES)
 
 GREEDY = with_ctes(
     """SELECT 'bertscore' AS metric, round(avg(p), 6) AS bertscore_precision, round(avg(r), 6) AS bertscore_recall,
@@ -352,24 +352,46 @@ repeated AS (
 BODIES = f"""parsed AS (
   SELECT turn_id, conv_id % 7 AS kind, conv_id, user_message, user_id, conversation_id FROM turns)"""
 
+REPLY = "CASE WHEN {given} THEN trim(bot_response) ELSE " + fallback("emotion", quoted("generation disabled")) + " END"
+REPLY_HIT = LEXICON_HIT.replace("text", "reply")
+
+TOLD = f"""lists AS (SELECT query_id, list(document ORDER BY rank) AS context FROM (
+    SELECT query_id, 0 AS rank, memory_block AS document FROM blocks UNION ALL SELECT query_id, rank, document FROM contexts) GROUP BY query_id),
+told AS (SELECT *, CASE WHEN use_filter THEN {REPLY_HIT} ELSE '' END AS word FROM (
+  SELECT a.id AS query_id, a.user_id, a.emotion, a.use_filter, context, coalesce(n, 0)::INTEGER AS memories_used, bot_response IS NULL AS used_fallback,
+    {REPLY.format(given='bot_response IS NOT NULL')} AS reply, md5({prompt('use_filter')}) AS prompt_md5
+  FROM asked a LEFT JOIN bullets b ON b.query_id = a.id LEFT JOIN lists l ON l.query_id = a.id
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) h ON h.query_id = a.id))"""
+
 RESULT_JSON = with_ctes(
-    f"""SELECT turn_id, json_object('emotion', t.emotion, 'response', CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE reply END,
+    f"""SELECT query_id, json_object('emotion', emotion, 'response', CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE reply END,
       'toxic', word <> '', 'toxicity_scores', CASE WHEN word <> '' THEN json_object(word, 1.0::DOUBLE) ELSE json('{{}}') END,
-      'context', [user_message], 'use_filter', conv_id % 2 = 0, 'using_fallback', bot_response IS NULL, 'llm_enabled', FALSE,
-      'llm_error', CASE WHEN bot_response IS NULL THEN 'no reply' END, 'llm_model', NULL, 'llm_candidates', NULL,
-      'filter_applied', conv_id % 2 = 0 AND word <> '', 'memories_used', 1, 'conversation_saved', TRUE,
+      'context', context, 'use_filter', use_filter, 'using_fallback', used_fallback, 'llm_enabled', NOT used_fallback,
+      'llm_error', CASE WHEN used_fallback THEN 'generation disabled' END, 'llm_model', NULL, 'llm_candidates', NULL,
+      'filter_applied', use_filter AND word <> '', 'memories_used', memories_used,
+      'conversation_saved', query_id IN (SELECT id FROM turn_records),
       'memory_stats', json_object('total', total, 'conversations', conversations, 'facts', facts))::VARCHAR AS body
-    FROM guarded t JOIN stats USING (user_id)""",
-    TURNS,
-    f"replied AS (SELECT *, coalesce(bot_response, {fallback('emotion', quoted('no reply'))}) AS reply FROM turns)",
-    f"guarded AS (SELECT * EXCLUDE (w), CASE WHEN conv_id % 2 = 0 THEN w ELSE '' END AS word FROM (SELECT *, {LEXICON_HIT.replace('text', 'reply')} AS w FROM replied))",
-    f"""stats AS (SELECT user_id, count(*) + sum(len({facts('user_message')}))::BIGINT AS total, count(*) AS conversations,
-      sum(len({facts('user_message')}))::BIGINT AS facts FROM turns GROUP BY user_id)""",
+    FROM told JOIN (SELECT user_id, count(*) AS total, count(*) FILTER (type = '{C.TURN}') AS conversations,
+      count(*) FILTER (type = '{C.FACT}') AS facts FROM memory GROUP BY user_id) USING (user_id)""",
+    *PROMPTS_ALL, TOLD,
 )
 
-KNN = with_ctes(f"SELECT * FROM {top('vectors', 'vectors', 5, 'q.id <> p.id')}", VECTORS)
+EVALUATED = f"""SELECT id AS row_id, CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE reply END AS pred, bot_response AS ref,
+    NOT use_filter AS used_fallback, word <> '' AS toxic, prompt_md5
+  FROM (SELECT *, {REPLY_HIT} AS word FROM (
+    SELECT id, bot_response, use_filter, {REPLY.format(given='use_filter')} AS reply, md5({prompt('TRUE')}) AS prompt_md5
+    FROM asked JOIN bullets ON query_id = id WHERE bot_response IS NOT NULL))"""
+EVALUATED_ALL = [TURNS, ASKED, ASKED_VECTORS, DOC_VECTORS, CONTEXTS, bullets("SELECT query_id, rank, document FROM contexts")]
+
+REPORT = with_ctes(
+    f"""SELECT metric, score, samples, (SELECT count(*) FILTER (used_fallback) FROM pairs) AS fallback_responses FROM (
+      SELECT metric, bleu AS score, samples FROM ({BLEU_BODY})
+      UNION ALL SELECT metric, rougeL_f1, samples FROM ({ROUGE_BODY})
+      UNION ALL SELECT 'toxicity', round(avg(toxic::INT), 6), count(*) FROM pairs)""",
+    *EVALUATED_ALL, f"pairs AS MATERIALIZED ({EVALUATED})", *BLEU_CTES, *ROUGE_CTES,
+)
 
-REPLY = "CASE WHEN {given} THEN trim(bot_response) ELSE " + fallback("emotion", quoted("generation disabled")) + " END"
+KNN = with_ctes(f"SELECT * FROM {top('vectors', 'vectors', 5, 'q.id <> p.id')}", VECTORS)
 
 DERIVED = taxonomy(f"lower({token('context')})", C.CORPUS_SYNONYMS)
 
@@ -378,14 +400,20 @@ ORACLE: dict[str, str] = {
     "corpus_roundtrip": with_ctes("SELECT DISTINCT text, emotion FROM cleaned", RAW, CLEANED),
     "load_pairs_limited": with_ctes(
         f"""SELECT conv_id, turn, {strip('user_message')} AS text, {strip('bot_response')} AS response FROM (
-          SELECT * FROM turns WHERE user_message NOT IN {in_list(C.MISSING_SPELLINGS)} AND bot_response NOT IN {in_list(C.MISSING_SPELLINGS)}
-          ORDER BY conv_id, turn LIMIT 1000) WHERE {strip('user_message')} <> '' AND {strip('bot_response')} <> ''""",
+          SELECT * FROM (SELECT * REPLACE (CASE WHEN conv_id % 9 = 0 THEN '  ' ELSE bot_response END AS bot_response) FROM turns)
+          WHERE user_message NOT IN {in_list(C.MISSING_SPELLINGS)} AND bot_response NOT IN {in_list(C.MISSING_SPELLINGS)}
+          ORDER BY conv_id, turn LIMIT 100) WHERE {strip('user_message')} <> '' AND {strip('bot_response')} <> ''""",
         TURNS,
     ),
     "collection_upsert": """SELECT id, CASE WHEN stored IS NOT NULL THEN stored ELSE offered END AS doc_id FROM (
       SELECT md5(text) AS id, min(doc_id) FILTER (lang = 'en') AS stored, max(doc_id) AS offered FROM documents GROUP BY ALL)""",
     "collection_count": "SELECT count(*) AS size FROM documents",
-    "metric_report_long": "SELECT 'metric' AS metric, 'emotion_alignment' AS value UNION ALL SELECT 'samples', count(*)::VARCHAR FROM documents",
+    "metric_report_long": with_ctes(
+        "SELECT 'metric' AS metric, metric AS value FROM a" + "".join(
+            f" UNION ALL SELECT '{n}', {n}::VARCHAR FROM a" for n in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "samples")
+        ),
+        f"a AS ({ALIGNMENT})",
+    ),
     "chat_requests_parse": with_ctes(
         f"""SELECT turn_id, CASE WHEN kind IN (1, 2, 3) THEN '' ELSE {strip('user_message')} END AS message,
           CASE WHEN kind IN (1, 2) THEN FALSE WHEN kind IN (0, 3) THEN TRUE ELSE conv_id % 2 = 0 END AS use_filter,
@@ -493,25 +521,17 @@ ORACLE: dict[str, str] = {
         SCORED,
     ),
     "chat_turns": with_ctes(
-        f"""SELECT a.id AS query_id, coalesce(n, 0)::INTEGER AS memories_used, bot_response IS NULL AS used_fallback, FALSE AS toxic,
-          {REPLY.format(given='bot_response IS NOT NULL')} AS final_text, md5({prompt('use_filter')}) AS prompt_md5
-        FROM asked a LEFT JOIN bullets b ON b.query_id = a.id
-        LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) h ON h.query_id = a.id""",
-        *PROMPTS_ALL,
+        f"""SELECT query_id, memories_used, used_fallback, word <> '' AS toxic,
+          CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE reply END AS final_text, prompt_md5 FROM told""",
+        *PROMPTS_ALL, TOLD,
     ),
     "bleu_corpus": BLEU,
     "rouge_l": ROUGE,
     "greedy_match_score": GREEDY,
     "emotion_alignment": ALIGNMENT,
     "toxicity_reduction": TOXICITY,
-    "evaluation_run": with_ctes(
-        f"""SELECT id AS row_id, CASE WHEN word <> '' THEN {quoted(C.REFUSAL)} ELSE reply END AS pred, bot_response AS ref,
-          NOT use_filter AS used_fallback, word <> '' AS toxic, prompt_md5
-        FROM (SELECT *, {LEXICON_HIT.replace('text', 'reply')} AS word FROM (
-          SELECT id, bot_response, use_filter, {REPLY.format(given='use_filter')} AS reply, md5({prompt('TRUE')}) AS prompt_md5
-          FROM asked JOIN bullets ON query_id = id WHERE bot_response IS NOT NULL))""",
-        TURNS, ASKED, ASKED_VECTORS, DOC_VECTORS, CONTEXTS, bullets("SELECT query_id, rank, document FROM contexts"),
-    ),
+    "evaluation_run": with_ctes(EVALUATED, *EVALUATED_ALL),
+    "evaluation_report": REPORT,
     "training_set": with_ctes(
         f"""SELECT array_to_string(t[1:128], ' ') AS input, least(len(t), 128)::INTEGER AS n_tokens, emotion AS target FROM (
           SELECT list_filter(regexp_split_to_array('emotion: ' || text, '[{BLANK}]+'), lambda w: w <> '') AS t, emotion FROM (

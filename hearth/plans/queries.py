@@ -17,6 +17,8 @@ from hearth.session import materialised, scratch_path
 from hearth.sources import requests, tables
 from hearth.streaming import turns as streams
 
+NO_REPLY = "generation disabled"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -65,10 +67,10 @@ def corpus_roundtrip(spark, folder):
 
 @query
 def load_pairs_limited(spark, folder):
-    rows = views.turns(spark, folder).select(
-        "conv_id", "turn", F.col("user_message").alias("text"), F.col("bot_response").alias("response")
-    )
-    return tables.load_pairs(rows, limit=1000, order_by=["conv_id", "turn"])
+    """The first 100 pairs, counted before those with a blank side go."""
+    response = F.when(F.col("conv_id") % 9 == 0, "  ").otherwise(F.col("bot_response"))
+    rows = views.turns(spark, folder).select("conv_id", "turn", F.col("user_message").alias("text"), response.alias("response"))
+    return tables.load_pairs(rows, limit=100, order_by=["conv_id", "turn"])
 
 
 @query
@@ -88,9 +90,7 @@ def collection_count(spark, folder):
 
 @query
 def metric_report_long(spark, folder):
-    return tables.metric_report(
-        metrics.emotion_alignment(views.emotion_pairs(spark, folder)).select("metric", "samples")
-    )
+    return tables.metric_report(_rounded(metrics.emotion_alignment(views.emotion_pairs(spark, folder))))
 
 
 @query
@@ -101,36 +101,32 @@ def chat_requests_parse(spark, folder):
 
 @query
 def chat_result_json(spark, folder):
-    turns = views.turns(spark, folder)
-    guarded = safety.guard(
-        turns.withColumn("reply", F.coalesce("bot_response", fallback_response("emotion", F.lit("no reply")))),
-        "reply",
-        use_filter=F.col("conv_id") % 2 == 0,
-        words=views.TEST_LEXICON,
-    )
-    stats = memory.memory_stats(memory.memory_records(turns, embed=lambda _: F.lit(None).cast("array<float>")))
+    """Results of whole turns: retrieval and guard of each, and the memory with all of them saved."""
+    stored = _stored_memory(spark, folder)
+    done = _chat_turns(spark, folder, stored)
+    saved = stored.select(F.col("id").alias("query_id"), F.lit(True).alias("conversation_saved"))
+    stats = memory.memory_stats(stored).select("user_id", F.struct("total", "conversations", "facts").alias("memory_stats"))
     none = F.lit(None).cast("string")
-    rows = guarded.join(
-        stats.select("user_id", F.struct("total", "conversations", "facts").alias("memory_stats")), "user_id"
-    ).select(
-        "turn_id",
+    whole = done.join(saved, "query_id", "left").fillna({"conversation_saved": False}).join(stats, "user_id", "left")
+    rows = whole.select(
+        "query_id",
         "emotion",
         F.col("final_text").alias("response"),
         "toxic",
         F.col("scores").alias("toxicity_scores"),
-        F.array("user_message").alias("context"),
-        (F.col("conv_id") % 2 == 0).alias("use_filter"),
-        F.col("bot_response").isNull().alias("using_fallback"),
-        F.lit(False).alias("llm_enabled"),
-        F.when(F.col("bot_response").isNull(), "no reply").alias("llm_error"),
+        "context",
+        "use_filter",
+        F.col("used_fallback").alias("using_fallback"),
+        (~F.col("used_fallback")).alias("llm_enabled"),
+        F.when(F.col("used_fallback"), NO_REPLY).alias("llm_error"),
         none.alias("llm_model"),
         none.alias("llm_candidates"),
-        requests.filter_applied(F.col("conv_id") % 2 == 0, "toxic", "scores").alias("filter_applied"),
-        F.lit(1).alias("memories_used"),
-        F.lit(True).alias("conversation_saved"),
+        requests.filter_applied("use_filter", "toxic", "scores").alias("filter_applied"),
+        "memories_used",
+        "conversation_saved",
         "memory_stats",
     )
-    return rows.select("turn_id", requests.result_json(rows).alias("body"))
+    return rows.select("query_id", requests.result_json(rows).alias("body"))
 
 
 # ---- corpus -----------------------------------------------------------------------
@@ -466,12 +462,17 @@ def sanitize(spark, folder):
     return guarded.select("doc_id", "toxic", "final_text")
 
 
+def _chat_turns(spark, folder, stored):
+    queries = _requests(spark, folder)
+    replies = queries.filter(F.col("bot_response").isNotNull()).select("query_id", F.col("bot_response").alias("reply"))
+    asked = queries.drop("bot_response")
+    return jobs.chat_turns(asked, stored, views.collection(spark, folder), replies, NO_REPLY, views.TEST_LEXICON)
+
+
 @query
 def chat_turns(spark, folder):
     """Retrieval, prompt, reply and guard of every turn as one plan."""
-    queries = _requests(spark, folder)
-    replies = queries.filter(F.col("bot_response").isNotNull()).select("query_id", F.col("bot_response").alias("reply"))
-    done = jobs.chat_turns(queries.drop("bot_response"), _stored_memory(spark, folder), views.collection(spark, folder), replies)
+    done = _chat_turns(spark, folder, _stored_memory(spark, folder))
     return done.select("query_id", "memories_used", "used_fallback", "toxic", "final_text", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -514,16 +515,34 @@ def toxicity_reduction(spark, folder):
     return _rounded(metrics.toxicity_reduction(views.toxicity_scores(spark, folder)))
 
 
-@query
-def evaluation_run(spark, folder):
-    """Retrieve, respond, guard and pair every turn that has a reply, then score the predictions."""
+def _evaluation_rows(spark, folder):
     turns = _requests(spark, folder).filter(F.col("bot_response").isNotNull())
     pairs = turns.select("query_id", F.col("message").alias("text"), F.col("bot_response").alias("response"), "emotion", "embedding")
     replies = turns.filter("use_filter").select("query_id", F.col("bot_response").alias("reply"))
-    rows = jobs.evaluation_rows(pairs, views.collection(spark, folder), replies, words=views.TEST_LEXICON)
+    return jobs.evaluation_rows(pairs, views.collection(spark, folder), replies, words=views.TEST_LEXICON, reason=NO_REPLY)
+
+
+@query
+def evaluation_run(spark, folder):
+    """Retrieve, respond, guard and pair every turn that has a reply."""
+    rows = _evaluation_rows(spark, folder)
     return rows.select("row_id", "pred", "ref", "used_fallback", "toxic", F.md5("prompt").alias("prompt_md5"))
 
 
+@query
+def evaluation_report(spark, folder):
+    """Scores of the evaluation run's predictions: BLEU, ROUGE-L without stems, toxicity before the filter."""
+    rows = materialised(_evaluation_rows(spark, folder).select("pred", "ref", "used_fallback", "scores"), "predictions")
+    used = "used_fallback"
+    reports = [
+        (metrics.bleu(rows, fallback=used), "bleu"),
+        (metrics.rouge_l(rows, stem=False, fallback=used), "rougeL_f1"),
+        (metrics.toxicity_reduction(rows, fallback=used), "avg_toxicity_raw"),
+    ]
+    columns = [r.select("metric", F.round(score, 6).alias("score"), "samples", "fallback_responses") for r, score in reports]
+    return columns[0].unionByName(columns[1]).unionByName(columns[2])
+
+
 # ---- training ---------------------------------------------------------------------------------------------
 
 

@@ -81,6 +81,15 @@ def test_memory_block(spark):
     assert M.memory_block(long).first()["memory_block"].endswith("a" * 100 + '..."\n  I responded: "' + "b" * 80 + '..."')
 
 
+def test_memory_block_groups_once(spark):
+    plan = M.memory_block(hits(spark, 3, 3).repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(query_id") == 1 and "Join" not in plan
+
+
+def test_small_quota(spark):
+    assert M.memory_prompt_lines(hits(spark, 3, 3), max_items=2, max_facts=3).filter(F.col("type") == C.TURN).isEmpty()
+
+
 def test_retrieve_only_own_memories(spark):
     t = turns(spark, [("u", "c", f"tea number {i}", None, None) for i in range(4)] + [("v", "c", "tea number 0", None, None)])
     memory = M.turn_records(t)

@@ -58,6 +58,15 @@ def test_bleu_against_plain_python(spark, words):
         assert got.bleu == pytest.approx(plain_bleu(rows), abs=1e-9)
 
 
+def test_bleu_needs_no_key(spark):
+    rows = pairs(spark, [("the cat sat on mat", "the cat sat on the mat"), ("a b c d", "a b c d")])
+    same_id = rows.withColumn("row_id", F.lit(1))
+    assert metrics.bleu(same_id).first() == metrics.bleu(rows).first()
+    assert metrics.bleu(same_id).first().samples == 2
+    empty = metrics.bleu(rows.filter("false")).first()
+    assert (empty.bleu, empty.samples) == (0.0, 0)
+
+
 def test_fallback_counts(spark):
     rows = pairs(spark, [("a", "b"), ("", "b")]).withColumn("used", F.col("row_id") == 1)
     assert metrics.bleu(rows, fallback="used").first().fallback_responses == 1
