@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import extraction, hashing, langid, packing, pieces, pitman_yor, quality, simhash, substrings, topk
+from hearth.llm import conversations, extraction, hashing, langid, packing, pieces, pitman_yor, quality, simhash, substrings, topk
 from hearth.llm.common import remainder, table
 
 
@@ -74,6 +74,16 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after the damage of the contract."""
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(rows)).withColumnRenamed("conv_id", "own_id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("own_id")), "left")
+    counts = [F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pitman_yor": op2_pitman_yor,
@@ -85,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -104,5 +115,40 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+k AS (SELECT *, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+h AS (SELECT k.conv_id, k.turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 20 AS kind FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) FROM h)),
+n AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS prior,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS mark FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again FROM n),
+f AS (SELECT *, mark = '' AS blank, mark <> '' AND again AS duplicate, mark <> '' AND NOT again AND mark NOT IN ('.', '!', '?') AS truncated FROM m),
+moves AS (SELECT * FROM (VALUES (0, 'u', 2), (0, 's', 1), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(a, role, b)),
+inserts AS (SELECT * FROM (VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])) v(a, b, audit, added)),
+s(c, i, state, cost, audit, kept) AS (
+  SELECT c, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM f GROUP BY c
+  UNION ALL
+  SELECT c, i, state, (x).cost, (x).audit, (x).kept FROM (SELECT c, i, state, min({'cost': cost, 'audit': audit, 'kept': kept}) AS x FROM (
+    SELECT s.c, f.i, v.b AS state, s.cost + 2 * len(e.audit) + CASE v.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN v.edit <> 'D' AND f.truncated THEN 1 ELSE 0 END AS cost, s.audit || e.audit || v.edit AS audit,
+      list_concat(s.kept, list_concat(e.added, CASE WHEN v.edit = 'D' THEN [] ELSE [v.put || ':' || f.text] END)) AS kept
+    FROM s JOIN f ON f.c = s.c AND f.i = s.i + 1 JOIN inserts e ON e.a = s.state,
+    LATERAL (SELECT e.b AS b, 'D' AS edit, '' AS put UNION ALL
+      SELECT moves.b, CASE WHEN left(f.role, 1) = moves.role THEN 'K' ELSE 'R' END, CASE WHEN left(f.role, 1) = moves.role THEN f.role WHEN moves.role = 'u' THEN 'user' ELSE 'assistant' END
+      FROM moves WHERE moves.a = e.b AND NOT f.blank AND NOT f.duplicate AND (moves.role <> 's' OR left(f.role, 1) = 's')) v
+  ) GROUP BY c, i, state)
+),
+r AS (SELECT c, min({'cost': s.cost + 2 * len(e.audit), 'audit': s.audit || e.audit, 'kept': list_concat(s.kept, e.added)}) AS x
+  FROM s JOIN (SELECT c, max(i) AS i FROM f GROUP BY c) l USING (c, i) JOIN inserts e ON e.a = s.state AND e.b IN (0, 3) GROUP BY c),
+g AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+    count_if(prior IS NOT NULL AND prior || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce((x).cost, 0)::BIGINT AS cost, coalesce((x).audit, '') AS audit, sha256(coalesce(array_to_string((x).kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c FROM conversations) o LEFT JOIN g USING (c) LEFT JOIN r USING (c)
 """,
 }
