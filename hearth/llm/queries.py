@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import conversations, extraction, hashing, langid, packing, pieces, pitman_yor, quality, simhash, substrings, topk
+from hearth.llm import alignment, conversations, extraction, hashing, langid, packing, pieces, pitman_yor, quality, simhash, substrings, topk, urls
 from hearth.llm.common import remainder, table
 
 
@@ -74,6 +74,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, per document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every conversation after the damage of the contract."""
     rows = table(spark, sf_dir, "conversations")
@@ -95,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_url_filter": op12_url_filter,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
