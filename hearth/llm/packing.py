@@ -9,14 +9,13 @@ the best multiset leaves a gap, one more remainder is cut to fill it. What is
 left at the end of a split, less than a window, is cut at powers of two, where
 a sequence needs no padding.
 
-A null or empty text is the end token alone. Repeated rows are packed like any
+Ids are those of the tokenizers library with its defaults, so the string of a
+special token in a text is that token. A null or empty text is the end token alone. Repeated rows are packed like any
 others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,59 +25,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from hearth.llm.byte_bpe import ByteBpe
 from hearth.llm.common import bound_batches
 
-
 CAPACITY = 2048
 END_ID = 1
 POOL = 2048
-LONG_SPACE = re.compile(r"\s{4096}")
 OUT_IDS = 1 << 20
+GROUP_BYTES = 1 << 20
 
 Piece = tuple[int, int]  # document, start; the length is the key it is stored under
 
 
-class ByteBpe:
-    """Ids of a byte-level BPE file of the tokenizers library.
-
-    The merges are run by tiktoken from the same vocabulary, which takes a third
-    of the time; the first texts of every task are encoded by both, and a
-    difference is an error. Long runs of white space, which tiktoken's splitting
-    may refuse, and other vocabularies are left to tokenizers.
-    """
-
-    def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
-        byte = {c: b for b, c in byte_letters().items()}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.to_verify = 200
-
-    def encode(self, text: str) -> np.ndarray:
-        if LONG_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        ids = self.fast.encode_to_numpy(text, disallowed_special=())
-        if self.to_verify:
-            self.to_verify -= 1
-            if ids.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
-                raise ValueError("the two libraries differ on this vocabulary")
-        return ids
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte: itself if printable, else one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 def best_fill(counts: list[tuple[int, int]], target: int) -> tuple[int, list[tuple[int, int]]]:
     """Largest sum up to ``target`` of (length, count) items, and how many of each length make it."""
     mask = (1 << (target + 1)) - 1
@@ -201,21 +159,28 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(tokenizer.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                held[number] = [key, ids, len(ids)]
-                whole = len(ids) // capacity * capacity
-                for start in range(0, whole, capacity):
-                    emit([(number, start, capacity)])
-                if whole < len(ids):
-                    packer.add(number, whole, len(ids) - whole)
-                number += 1
-                for pieces in packer.windows(POOL) if packer.size > 2 * POOL else ():
-                    emit(pieces)
+            keys, texts, low = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and size < GROUP_BYTES:
+                    size += len(texts[high] or "")
+                    high += 1
+                for key, found in zip(keys[low:high], tokenizer.group([t or "" for t in texts[low:high]]), strict=True):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    held[number] = [key, ids, len(ids)]
+                    whole = len(ids) // capacity * capacity
+                    for start in range(0, whole, capacity):
+                        emit([(number, start, capacity)])
+                    if whole < len(ids):
+                        packer.add(number, whole, len(ids) - whole)
+                    number += 1
+                    for pieces in packer.windows(POOL) if packer.size > 2 * POOL else ():
+                        emit(pieces)
+                        if waiting > OUT_IDS:
+                            yield flush()
                     if waiting > OUT_IDS:
                         yield flush()
-                if waiting > OUT_IDS:
-                    yield flush()
+                low = high
         for pieces in (p for part in (packer.windows(0), packer.tail()) for p in part):
             emit(pieces)
             if waiting > OUT_IDS:

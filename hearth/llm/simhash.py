@@ -7,11 +7,9 @@ machine word per bit plane; carry-save counters add up 64 distances at once, and
 a word is abandoned when all its counters have passed the radius. A bucket
 leaves a spanning star, never its pairs.
 
-Fingerprints of 64 bits are looked up without loss: by pigeonhole, two within
-the radius share one of radius + 1 blocks of bits and, within the rest, one of
-radius + 1 blocks again. Longer ones, for a similarity well below one, share a
-bucket if they agree on one of ``TABLES`` fixed samples of bits; at a tenth of
-all bits differing that finds all but one link in 2000, at 0.15 nine in ten.
+Fingerprints are looked up without loss: by pigeonhole, two within the radius
+share one of radius + 1 blocks of bits and, within the rest, one of radius + 1
+blocks again.
 
 Null and empty texts have no words and the fingerprint zero, linked like any
 other. Repeated rows and texts share a fingerprint, which is compared once.
@@ -33,44 +31,38 @@ from hearth.llm.components import connected_components
 
 SEED = 42
 WORD = 64
-TABLES = 48
-SAMPLED_BITS = 18
 TILE = 8192
 CHUNK = 1 << 18
 SLICE = 1 << 15
 
 
-def _hashes(joined: bytes, spans: list[tuple[int, int]], bits: int) -> np.ndarray:
+def _hashes(joined: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
     """Hashes of pieces of a text as rows of bytes, lowest bits first."""
-    if bits == WORD:
-        digest = xxhash.xxh64_intdigest
-        return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8").view(np.uint8).reshape(-1, 8)
-    wide = xxhash.xxh3_128_digest
-    parts = [b"".join([wide(joined[a:b], SEED + k) for a, b in spans]) for k in range(bits // 128)]
-    return np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 16) for p in parts], axis=1)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8").view(np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: bytes, words: int, bits: int = WORD) -> np.ndarray:
-    """Fingerprint of a text's shingles, repeats included, as 64-bit words with the lowest bits first."""
+def fingerprint(text: bytes, words: int) -> np.ndarray:
+    """Fingerprint of a text's shingles, repeats included, as one 64-bit word."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(bits // WORD, "<u8")
+        return np.zeros(1, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(tokens) - words + 1)]
     ends = ends[min(words, len(tokens)) - 1 :]
-    counts = np.zeros(bits, np.int64)
+    counts = np.zeros(WORD, np.int64)
     for low in range(0, len(starts), SLICE):
         spans = list(zip(starts[low : low + SLICE].tolist(), ends[low : low + SLICE].tolist(), strict=True))
-        counts += np.unpackbits(_hashes(joined, spans, bits), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(_hashes(joined, spans), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int, text_col: str = "text", bits: int = WORD) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
     """``docs`` and fp, the fingerprint of each row's text as little-endian bytes."""
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        return [pa.array([fingerprint(t, words, bits).tobytes() for t in texts], pa.binary())]
+        return [pa.array([fingerprint(t, words).tobytes() for t in texts], pa.binary())]
 
     return append_columns(docs, text_col, compute, [("fp", T.BinaryType())])
 
@@ -102,19 +94,6 @@ def pigeonhole_keys(fps: np.ndarray, radius: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def sampled_keys(fps: np.ndarray) -> np.ndarray:
-    """One column of keys per table: the table's number and its sample of the bits."""
-    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-    rng = np.random.default_rng(SEED)
-    columns = []
-    for table in range(TABLES):
-        key = np.full(len(fps), table, np.uint64)
-        for place in rng.choice(bits.shape[1], SAMPLED_BITS, replace=False):
-            key = (key << np.uint64(1)) | bits[:, place]
-        columns.append(key)
-    return np.stack(columns, axis=1)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """Fingerprints of a binary column as rows of 64-bit words."""
     rows = column.to_pylist()
@@ -204,7 +183,7 @@ def _links_of(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def links(fps: DataFrame, radius: int, bits: int = WORD) -> DataFrame:
+def links(fps: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between the nodes of distinct fingerprints (node, fp); their components are those of all links.
 
     A bucket of over ``TILE`` fingerprints is cut into tiles, and every pair of
@@ -216,7 +195,7 @@ def links(fps: DataFrame, radius: int, bits: int = WORD) -> DataFrame:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
                 rows = _matrix(part.column(1))
-                keys = pigeonhole_keys(rows[:, 0], radius) if bits == WORD else sampled_keys(rows)
+                keys = pigeonhole_keys(rows[:, 0], radius)
                 again = np.repeat(np.arange(len(rows)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(0).take(pa.array(again)), part.column(1).take(pa.array(again))], ["key", "node", "fp"])
 
@@ -243,29 +222,29 @@ def links(fps: DataFrame, radius: int, bits: int = WORD) -> DataFrame:
     return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def classes(rows: DataFrame, radius: int, id_col: str = "doc_id", bits: int = WORD) -> DataFrame:
+def classes(rows: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
     """(fp, component_id): the least id among all rows that links reach from a fingerprint."""
     distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("node", F.xxhash64("fp")), "fingerprints")
-    nodes = connected_components(links(distinct, radius, bits))
+    nodes = connected_components(links(distinct, radius))
     rooted = distinct.join(nodes, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, bits: int = WORD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): one row per row of ``docs`` with its class."""
-    rows = written(fingerprints(docs.select(id_col, text_col), words, text_col, bits).select(id_col, "fp"), "rows")
-    return rows.join(classes(rows, radius, id_col, bits), "fp").select(id_col, "fp", "component_id")
+    rows = written(fingerprints(docs.select(id_col, text_col), words, text_col).select(id_col, "fp"), "rows")
+    return rows.join(classes(rows, radius, id_col), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, bits: int = WORD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the first of the least id, a null id before all others.
 
     Rows are written once with their fingerprint and number, so that later jobs see the same numbers.
     """
     own = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)])
     names = dict(zip(docs.columns, own.columns, strict=True))
-    rows = written(fingerprints(own, words, names[text_col], bits).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = written(fingerprints(own, words, names[text_col]).withColumn("row", F.monotonically_increasing_id()), "rows")
     keyed = rows.select("fp", F.struct(F.col(names[id_col]).alias("id"), "row").alias("key"))
-    chosen = classes(keyed, radius, "key", bits).select(F.col("component_id.row").alias("row")).distinct()
+    chosen = classes(keyed, radius, "key").select(F.col("component_id.row").alias("row")).distinct()
     return rows.join(chosen, "row", "left_semi").select(*[F.col(c).alias(n) for n, c in names.items()])

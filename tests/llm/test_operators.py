@@ -40,7 +40,8 @@ def test_packing_is_whole_and_tight(documents):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(4)
     rows = [r for r in AWKWARD if r[0] not in (2, None)] + [(100 + i, prose(rng, rng.randrange(1, 900)), None, None, None) for i in range(60)]
-    rows.append((900, " \n" * 5000 + "x", None, None, None))
+    odd = [" \n" * 5000 + "x", "hello <|endoftext|> world<|endoftext|>", "<|endoftext|>", " ", "  a\n\n b's  ", "\x1c x\x85y 　z"]
+    rows += [(900 + i, t, None, None, None) for i, t in enumerate(odd)]
     ids = {r[0]: np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows}
     at, ends, sequences = Counter(), Counter(), {}
     for p in sorted(packing.pack(documents(rows, clash=CLASH)).collect(), key=lambda p: (p.doc_id, p.start)):
@@ -188,3 +189,51 @@ def test_pipeline_stages(documents, saved, spark):
     left = {r.doc_id for r in docs.collect()}
     assert set(range(100, 160)) <= left and not left & set(range(300, 310)) and 3 not in left
     assert corpus_pipeline.run(spark, saved(documents=documents([]))).count() == 0
+
+
+def test_pipeline_equals_brute_force(documents, saved, spark):
+    """Near copies, passages and packing by plain loops, after the two learned filters."""
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_simhash import slow_classes, slow_fingerprint
+
+    rng = random.Random(12)
+    passage = prose(rng, 60).rstrip(".")
+    rows = AWKWARD + [(100 + i, prose(rng, 90), "en", "s", 1) for i in range(60)]
+    rows += [(200 + i, f"{prose(rng, 50)} {passage} {prose(rng, 50)}", "en", "s", 1) for i in range(4)]
+    rows += [(300 + i, rows[20 + i][1], "en", "s", 1) for i in range(10)] + [(310, rows[31][1] + " indeed", "en", "s", 1)]
+    folder = saved(documents=documents(rows, clash=("fp", "ids", "accepted", "row", "bundle")))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(kept) > 70
+    order = {key: n for n, key in enumerate(sorted({k for k, _ in kept}, key=lambda k: (k is not None, k)))}
+    classes = slow_classes([slow_fingerprint(t) for _, t in kept], [order[k] for k, _ in kept], 3)
+    chosen = {}
+    for (key, text), own in zip(kept, classes, strict=True):
+        if order[key] == own:
+            chosen.setdefault(own, (key, text))
+    texts = sorted(chosen.values(), key=str)
+    words = [t.split(" ") for _, t in texts]
+    starts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    expected = {}
+    for (key, text), w in zip(texts, words, strict=True):
+        gone = {i + j for i in range(len(w) - 34) if starts[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        expected[key] = (text, [x for i, x in enumerate(w) if i not in gone])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = {}
+    for p in sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda p: p.start):
+        assert p.start == len(found.setdefault(p.doc_id, []))
+        found[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert set(found) == set(expected)
+    removed = 0
+    for key, (text, left) in expected.items():
+        assert found[key][-1] == 1
+        back = tokenizer.decode(found[key][:-1], skip_special_tokens=False)
+        if text.split() == left:
+            assert back == text
+        elif text.count("long") < 1000:
+            removed += 1
+            assert back.split() == left
+    assert removed >= 2

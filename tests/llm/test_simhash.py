@@ -104,21 +104,6 @@ def test_keep_one(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
-def test_long_fingerprints_find_similar_texts(documents):
-    rng = random.Random(9)
-    words = [f"u{i}" for i in range(2000)]
-    rows = []
-    for i in range(40):
-        text = rng.choices(words, k=300)
-        other = list(text)
-        for at in rng.sample(range(300), 4):
-            other[at] = "else"
-        rows += [(2 * i, " ".join(text), None, None, None), (2 * i + 1, " ".join(other), None, None, None)]
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), words=5, radius=48, bits=256).collect()}
-    assert sum(found[2 * i + 1] == 2 * i for i in range(40)) >= 39
-    assert all(found[2 * i] == 2 * i for i in range(40))
-
-
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (5, 6)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
