@@ -14,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import langid, packing, quality, shingles, substrings
+from hearth.llm import langid, packing, quality, simhash, substrings
 from hearth.session import materialised
 
-NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+NEAR_WORDS, NEAR_BITS = 3, 3
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,8 +40,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that links of a similarity of 0.8 between sets of five-word shingles reach."""
-    return shingles.keep_one(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    """One document of each class that links of at most 3 differing fingerprint bits reach."""
+    return simhash.keep_one(docs, words=NEAR_WORDS, radius=NEAR_BITS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
