@@ -215,7 +215,7 @@ def test_pipeline_equals_brute_force(documents, saved, spark):
         if order[key] == own:
             chosen.setdefault(own, (key, text))
     texts = sorted(chosen.values(), key=str)
-    words = [t.split(" ") for _, t in texts]
+    words = [t.encode().split() for _, t in texts]
     starts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     expected = {}
     for (key, text), w in zip(texts, words, strict=True):
@@ -231,9 +231,9 @@ def test_pipeline_equals_brute_force(documents, saved, spark):
     for key, (text, left) in expected.items():
         assert found[key][-1] == 1
         back = tokenizer.decode(found[key][:-1], skip_special_tokens=False)
-        if text.split() == left:
+        if text.encode().split() == left:
             assert back == text
-        elif text.count("long") < 1000:
+        else:
             removed += 1
-            assert back.split() == left
+            assert back.encode().split() == left
     assert removed >= 2
