@@ -32,32 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.byte_bpe import ByteBpe
+from hearth.llm.byte_bpe import byte_bpe_of
 from hearth.llm.common import bound_batches, packed, raw, unpacked, written
-from hearth.llm.pieces import BYTE, MARKER, Encoder, read_model
+from hearth.llm.pieces import BYTE, MARKER, read_model
 
 GROUP_BYTES = 1 << 20
 BUNDLE_PAIRS = 2_000_000
 ROW_PAIRS = 65_536
-STORE = 100_000
-
-
-class PieceEncoder(Encoder):
-    """Pieces encoded by the sentencepiece library itself."""
-
-    def _encode_batch(self, pieces: list[str | None]) -> list[list[int]]:
-        ids = self.peer.encode([p or "" for p in pieces], num_threads=1)
-        if None in pieces:
-            ids[pieces.index(None)] = [self.peer.piece_to_id(MARKER)]
-        self.equal = np.ones(len(self.equal) + len(ids), bool)
-        return ids
 
 
 class Sides:
     """Both tokenizers: ids of texts, and the bytes of ids as arrays to take from."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteBpe(path_a, plain_specials=True, store=STORE), PieceEncoder(path_b, verify=True)
+        from sentencepiece import SentencePieceProcessor
+
+        self.a, self.b = byte_bpe_of(path_a, True), SentencePieceProcessor(model_file=path_b)
         bytes_a = self.a.token_bytes()
         bytes_b = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARKER, " ").encode() for p in read_model(path_b).pieces]
         self.tables = [pa.array(t, pa.large_binary()) for t in (bytes_a, bytes_b)]
@@ -66,10 +56,7 @@ class Sides:
 
     def ids(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         decoded = [t.decode() for t in texts]
-        if len(self.b.store.ends) > STORE:
-            self.b.store.clear()
-            self.b.equal = np.ones(0, bool)
-        found = self.a.group([" " + t for t in decoded]), [ids for ids, _ in self.b.group(decoded)]
+        found = [self.a.encode(" " + t) for t in decoded], [np.array(ids, np.uint32) for ids in self.b.encode(decoded, num_threads=1)]
         for n, text in enumerate(texts):
             if not text or any(self.joined(side, ids[n]) != b" " + text for side, ids in enumerate(found)):
                 found[0][n] = found[1][n] = np.zeros(0, np.uint32)
@@ -85,8 +72,11 @@ class Sides:
         marks = np.empty(len(a) + len(b), np.int64)
         last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(a)]
         last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
-        marks[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a.astype(np.int64) * 3 + last_a
-        marks[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b.astype(np.int64) * 3 + 2 * last_b
+        # tokens of the other side that stand before each group's own
+        before_a = np.cumsum(np.bincount(group_b, minlength=1)) - np.bincount(group_b, minlength=1)
+        upto_b = np.cumsum(np.bincount(group_a, minlength=1))
+        marks[np.arange(len(a)) + before_a[group_a]] = a.astype(np.int64) * 3 + last_a
+        marks[np.arange(len(b)) + upto_b[group_b]] = b.astype(np.int64) * 3 + 2 * last_b
         taken = self.marked.take(pa.array(marks))
         offsets = np.frombuffer(taken.buffers()[1], np.int64)
         return memoryview(taken.buffers()[2] or b""), offsets[edges]
@@ -111,6 +101,13 @@ def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b:
     return np.append(np.arange(len(over_a)), over_b[new]), np.append(over_a, np.flatnonzero(new))
 
 
+def _groups(n: int, ends: np.ndarray) -> np.ndarray:
+    """Group of each of n tokens, whose groups end with the tokens ``ends``."""
+    last = np.zeros(n, np.int64)
+    last[ends] = 1
+    return np.cumsum(last) - last
+
+
 class Aligned:
     """A group of texts aligned: numbers per document and the links of all."""
 
@@ -122,8 +119,8 @@ class Aligned:
         size = [sides.sizes[0][a], sides.sizes[1][b]]
         end = [np.cumsum(s) for s in size]
         start = [e - s for e, s in zip(end, size, strict=True)]
-        both = np.intersect1d(*end, assume_unique=True)
-        group = tuple(np.searchsorted(both, e, "left") for e in end)
+        _, *common = np.intersect1d(*end, assume_unique=True, return_indices=True)
+        group = tuple(_groups(len(e), at) for e, at in zip(end, common, strict=True))
         edges = np.concatenate(([0], np.cumsum(counts[0] + counts[1])))
         text, at = sides.groups_text((a, b), group, edges)
         self.digests = [hashlib.sha256(text[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -1,36 +1,21 @@
-"""Byte-level BPE files of the tokenizers library, encoded piece by piece.
-
-The splitting pattern of these vocabularies always ends a piece before a single
-space that follows one character other than white space and precedes another;
-merges never cross it. So texts are cut there, each distinct piece is encoded
-once by the library, and the ids of a text are those of its pieces in order.
-Special tokens hold no white space, so no cut falls into one. A file whose
-splitting, normaliser or special tokens differ has its texts encoded whole.
+"""Byte-level BPE files of the tokenizers library, run by tiktoken.
+
+The ids are those of the library: the same vocabulary, merge ranks, splitting
+pattern and special tokens, which tiktoken runs in a fifth of the time. Texts
+with long runs of white space, which its splitting may refuse, and files whose
+splitting, normaliser or special tokens differ are left to tokenizers.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 
-from hearth.llm.chunks import ChunkStore
-
-CUT = re.compile(r"(?<=\S)(?= \S)")
-ENCODED_AT_ONCE = 16_384
-
-
-class _Spaced(dict):
-    """Words by the number of the piece that is a space and the word."""
-
-    def __init__(self, store: ChunkStore):
-        super().__init__()
-        self.store = store
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = self.store.first[" " + word]
-        return place
+LONG_SPACE = re.compile(r"\s{4096}")
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,65 +25,52 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def cuts_at_spaces(spec: dict) -> bool:
-    split = spec.get("pre_tokenizer") or {}
+def is_usual(spec: dict) -> bool:
+    """Whether a file splits by the usual pattern and has no tokens but special ones besides its merges."""
+    split, core = spec.get("pre_tokenizer") or {}, spec["model"]
     usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-    bare = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens", []))
-    return bool(usual and bare and not spec.get("normalizer"))
+    bare = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    return bool(usual and bare and not spec.get("normalizer") and core["type"] == "BPE" and not core.get("dropout") and not core.get("ignore_merges"))
 
 
 class ByteBpe:
     """Ids of texts. ``plain_specials`` takes the strings of special tokens for plain text; by default they are tokens."""
 
-    def __init__(self, path: str, plain_specials: bool = False, store: int = 200_000):
+    def __init__(self, path: str, plain_specials: bool = False):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
-            self.by_piece = cuts_at_spaces(json.load(f))
-        self.limit = store
-        self._renew()
-
-    def _renew(self) -> None:
-        self.store = ChunkStore(self._encode)
-        self.spaced = _Spaced(self.store)
-
-    def _encode(self, pieces: list[str]):
-        for low in range(0, len(pieces), ENCODED_AT_ONCE):
-            for found in self.tokenizer.encode_batch_fast(pieces[low : low + ENCODED_AT_ONCE], add_special_tokens=False):
-                yield found.ids
-
-    def _places(self, text: str) -> np.ndarray:
-        words = text.split()
-        if " ".join(words) == text:
-            first, spaced = (words, []) if not words else (words[:1], words[1:])
-        elif words and text[:1] == " " and " ".join(words) == text[1:]:
-            first, spaced = [], words
-        else:
-            first, spaced = CUT.split(text), []
-        found = np.empty(len(first) + len(spaced), np.int64)
-        found[: len(first)] = [self.store.first[p] for p in first]
-        found[len(first) :] = np.fromiter(map(self.spaced.__getitem__, spaced), np.int64, len(spaced))
-        return found
-
-    def group(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit numbers."""
-        if len(self.store.ends) > self.limit:
-            self._renew()
-        if self.by_piece:
-            places = [self._places(t) for t in texts]
-        else:
-            places = [np.array([self.store.first[t]]) for t in texts]
-        self.store.settle()
-        return [self.store.gather(p) for p in places]
+            spec = json.load(f)
+        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.found = set() if plain_specials else set(self.specials)
+        self.fast = None
+        if is_usual(spec):
+            byte = {c: b for b, c in byte_letters().items()}
+            ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as unsigned 32-bit numbers."""
+        if self.fast is None or LONG_SPACE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        # the search for special tokens costs a quarter of the time
+        allowed = {s for s in self.found if s in text}
+        return self.fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id; special tokens are their own strings."""
         byte = {c: b for b, c in byte_letters().items()}
-        specials = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         found = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            found[i] = token.encode() if i in specials else bytes(byte[c] for c in token)
+            found[i] = token.encode() if token in self.specials else bytes(byte[c] for c in token)
         return found
+
+
+@lru_cache(maxsize=2)
+def byte_bpe_of(path: str, plain_specials: bool = False) -> ByteBpe:
+    """The encoder of a worker, kept for its next tasks."""
+    return ByteBpe(path, plain_specials)

@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from hearth.llm.byte_bpe import ByteBpe
+from hearth.llm.byte_bpe import byte_bpe_of
 from hearth.llm.common import bound_batches
 
 CAPACITY = 2048
 END_ID = 1
 POOL = 2048
 OUT_IDS = 1 << 20
-GROUP_BYTES = 1 << 20
 
 Piece = tuple[int, int]  # document, start; the length is the key it is stored under
 
@@ -128,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = ByteBpe(path), Packer(capacity)
+        tokenizer, packer = byte_bpe_of(path), Packer(capacity)
         held: dict[int, list] = {}
         number = next_id = 0
         base = TaskContext.get().partitionId() << 40
@@ -159,28 +158,21 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            keys, texts, low = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and size < GROUP_BYTES:
-                    size += len(texts[high] or "")
-                    high += 1
-                for key, found in zip(keys[low:high], tokenizer.group([t or "" for t in texts[low:high]]), strict=True):
-                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
-                    held[number] = [key, ids, len(ids)]
-                    whole = len(ids) // capacity * capacity
-                    for start in range(0, whole, capacity):
-                        emit([(number, start, capacity)])
-                    if whole < len(ids):
-                        packer.add(number, whole, len(ids) - whole)
-                    number += 1
-                    for pieces in packer.windows(POOL) if packer.size > 2 * POOL else ():
-                        emit(pieces)
-                        if waiting > OUT_IDS:
-                            yield flush()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.append(tokenizer.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                held[number] = [key, ids, len(ids)]
+                whole = len(ids) // capacity * capacity
+                for start in range(0, whole, capacity):
+                    emit([(number, start, capacity)])
+                if whole < len(ids):
+                    packer.add(number, whole, len(ids) - whole)
+                number += 1
+                for pieces in packer.windows(POOL) if packer.size > 2 * POOL else ():
+                    emit(pieces)
                     if waiting > OUT_IDS:
                         yield flush()
-                low = high
+                if waiting > OUT_IDS:
+                    yield flush()
         for pieces in (p for part in (packer.windows(0), packer.tail()) for p in part):
             emit(pieces)
             if waiting > OUT_IDS:
