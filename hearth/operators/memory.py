@@ -12,7 +12,7 @@ from hearth.functions.text import cut, strip_blanks
 from hearth.functions.vectors import hash_embed, relevance
 from hearth.operators.nearest import nearest
 from hearth.operators.ordering import top_per_group, with_next
-from hearth.session import materialised
+from hearth.operators.store import KeyedStore, Saved
 
 MEMORY_COLUMNS = [
     "id", "user_id", "conversation_id", "type", "document", "user_message",
@@ -143,6 +143,23 @@ def read_user(memory: DataFrame, user_id: str, buckets: int = USER_BUCKETS) -> D
     return memory.filter((F.col("user_bucket") == bucket) & (F.col("user_id") == user_id))
 
 
+def memory_store(spark: SparkSession, path: str, buckets: int = USER_BUCKETS) -> KeyedStore:
+    """Memory below ``path``: one record per id, in buckets of users."""
+    return KeyedStore(spark, path, key="id", bucket_by="user_id", buckets=buckets)
+
+
+def save_memory(store: KeyedStore, records: DataFrame, txn: tuple[str, int] | None = None) -> Saved:
+    """Store records once per id. How many turns and facts were saved is counted by the write itself."""
+    kinds = {"turns": F.count_if(F.col("type") == C.TURN), "facts": F.count_if(F.col("type") == C.FACT)}
+    return store.append(records.select(*MEMORY_COLUMNS), txn, **kinds)
+
+
+def saved_per_user(store: KeyedStore, version: int) -> DataFrame:
+    """``(user_id, turns, facts)`` that one save has stored; users with none have no row."""
+    kinds = [F.count_if(F.col("type") == kind).alias(name) for name, kind in (("turns", C.TURN), ("facts", C.FACT))]
+    return store.saved_in(version).groupBy("user_id").agg(*kinds)
+
+
 def memory_stats(memory: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """``(user_id, total, conversations, facts)``; with ``users`` also those without records."""
     stats = memory.groupBy("user_id").agg(
@@ -189,40 +206,25 @@ def clear_users(memory: DataFrame, cleared: DataFrame) -> DataFrame:
     return memory.join(last, gone, "left_anti")
 
 
-def delete_users(spark: SparkSession, path: str, users: list[str], buckets: int = USER_BUCKETS) -> None:
-    """Delete users from the memory files at ``path``, rewriting only their buckets.
-
-    The survivors are written elsewhere first, so no folder is read and replaced
-    in one step, and a run that broke off can be repeated. Buckets without
-    survivors are removed, which an overwrite by partition would leave in place.
-    """
-    names = spark.createDataFrame([(u,) for u in users], "user_id string")
-    touched = [r[0] for r in with_bucket(names, buckets).select("user_bucket").distinct().collect()]
-    part = spark.read.parquet(path).filter(F.col("user_bucket").isin(touched))
-    kept = materialised(clear_users(part, names), "kept")
-    left = {r[0] for r in kept.select("user_bucket").distinct().collect()}
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for bucket in sorted(set(touched) - left):
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"user_bucket={bucket}"), True)
-
-
 def clear_conversations(messages: DataFrame, cleared: DataFrame, key: str = "conv_id") -> DataFrame:
     return messages.join(cleared.select(key).distinct(), key, "left_anti")
 
 
-def retrieve_memories(queries: DataFrame, memory: DataFrame, k: int = C.MEMORIES_PER_QUERY, asked_at: str | None = None, **options) -> DataFrame:
+def retrieve_memories(queries: DataFrame, memory: DataFrame | KeyedStore, k: int = C.MEMORIES_PER_QUERY, asked_at: str | None = None, **options) -> DataFrame:
     """Top ``k`` memories of the asking user for queries ``(query_id, user_id, embedding)``.
 
     With ``asked_at``, a time column of the queries, only memories created before
-    it count, as in a turn that retrieves before it is saved.
+    it count, as in a turn that retrieves before it is saved. Of a stored memory
+    only the buckets of the asking users are scanned, for vectors and for texts.
     """
+    if isinstance(memory, KeyedStore):
+        memory = memory.read().join(F.broadcast(memory.touched(queries)), "bucket", "left_semi")
     hits = nearest(queries, memory, k, by="user_id", earlier=(asked_at, "created_at") if asked_at else None, **options)
     details = memory.select(
-        "id", F.col("document").alias("content"), "type", "user_message", "bot_response", "emotion", "created_at"
+        "user_id", "id", F.col("document").alias("content"), "type", "user_message", "bot_response", "emotion", "created_at"
     )
-    return hits.withColumn("relevance", relevance("distance")).join(details, "id")
+    owned = hits.withColumn("relevance", relevance("distance")).join(queries.select("query_id", "user_id"), "query_id")
+    return owned.join(details, ["user_id", "id"]).drop("user_id")
 
 
 def _prompt_hits(hits: DataFrame, max_items: int, max_facts: int) -> DataFrame:

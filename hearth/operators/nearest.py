@@ -8,8 +8,8 @@ smaller id. Three ways lead to the same exact answer:
 * many queries, or queries restricted to a key: both sides are cut into blocks,
   a block pair is one small matrix product, and only the k best rows of each
   pair leave the task. A key with very many rows is cut into several blocks;
-* clustered: k-means cells, where cells that cannot hold a closer row are left
-  out by the triangle inequality.
+* clustered (``cells``): k-means cells, where cells that cannot hold a closer row
+  are left out by the triangle inequality.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.blocks import CHUNK_CELLS, DISTANCE_DECIMALS, by_key, codes_of, distances, k_best, matrix, with_vector
+from hearth.functions.blocks import CHUNK_CELLS, by_key, codes_of, k_best, matrix, with_vector
 from hearth.operators.ordering import top_per_group
-from hearth.session import materialised, parallelism
+from hearth.session import parallelism
 
 BROADCAST_BYTES = 32 << 20
 # vectors of one side of a block; the more fit, the less often rows are copied to other blocks
@@ -126,7 +126,7 @@ def _hit_schema(queries: DataFrame, points: DataFrame, query_id: str, point_id:
     )
 
 
-def _best(hits: DataFrame, k: int) -> DataFrame:
+def best_hits(hits: DataFrame, k: int) -> DataFrame:
     return top_per_group(hits, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
@@ -176,14 +176,14 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
                 names=["query_id", "id", "distance"],
             )
 
-    return _best(points.select(point_id, vector).mapInArrow(scan, schema), k)
+    return best_hits(points.select(point_id, vector).mapInArrow(scan, schema), k)
 
 
 def _moment(column: str, missing: int) -> F.Column:
     return F.coalesce(F.unix_micros(column), F.lit(missing).cast("long")).alias("_time")
 
 
-def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier=None) -> DataFrame:
+def blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier=None) -> DataFrame:
     """``queries`` may hold one row per (query, key); hits carry the query id only."""
     schema = _hit_schema(queries, points, query_id, point_id)
     extra = [by] if by else []
@@ -216,7 +216,7 @@ def _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, b
         arrow = [ls.schema.field(0).type, rs.schema.field(0).type, pa.float64()]
         return pa.table([pa.array(x, type=t) for x, t in zip((q, p, d), arrow)], names=names)
 
-    return _best(_grouped(left, right).applyInArrow(search, schema), k)
+    return best_hits(_grouped(left, right).applyInArrow(search, schema), k)
 
 
 def nearest(
@@ -243,94 +243,7 @@ def nearest(
         # counting rows needs no vector, so that computed vectors are not computed for it
         if queries.count() * _dimension(queries, vector) * 8 <= broadcast_bytes:
             return _broadcast_search(queries, points, query_id, point_id, vector, k, skip_self)
-    return _blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier)
-
-
-# ---- clustered search --------------------------------------------------------------
-
-
-def fit_cells(points: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42) -> np.ndarray:
-    """Cell centres from distributed k-means over all points."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    features = points.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(features)
-    return np.array(model.clusterCenters(), dtype=np.float64)
-
-
-def assign_cells(df: DataFrame, centres: np.ndarray, n: int, vector: str = "embedding", skip: int = 0) -> DataFrame:
-    """One row per (row, cell) for the ``n`` nearest cells after the first ``skip``, with
-    ``cell, cell_gap`` (distance to the centre). The centres are bounded by the number of cells."""
-    shared = df.sparkSession.sparkContext.broadcast(centres)
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("cell_gap", T.DoubleType())])
-    place = df.columns.index(vector)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middles = shared.value
-        for batch in batches:
-            batch = with_vector(batch, place)
-            if batch.num_rows == 0:
-                continue
-            gaps = np.sqrt(distances(matrix(batch.column(place)), middles))
-            cells = np.argsort(gaps, axis=1, kind="stable")[:, skip:n]
-            rows = np.repeat(np.arange(batch.num_rows), cells.shape[1])
-            out = batch.take(pa.array(rows))
-            columns = [*out.columns, pa.array(cells.ravel(), pa.int32()), pa.array(gaps[rows, cells.ravel()])]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.append(pa.field("cell", pa.int32())).append(pa.field("cell_gap", pa.float64())))
-
-    return df.mapInArrow(assign, schema)
-
-
-def nearest_clustered(
-    queries: DataFrame,
-    points: DataFrame,
-    k: int = 3,
-    n_cells: int = 16,
-    n_probe: int = 4,
-    exact: bool = False,
-    query_id: str = "query_id",
-    point_id: str = "id",
-    vector: str = "embedding",
-    skip_self: bool = False,
-    block_rows: int | None = None,
-    seed: int = 42,
-) -> DataFrame:
-    """Search in the ``n_probe`` cells nearest to each query.
-
-    With ``exact`` a second search covers every further cell whose centre minus
-    radius is not beyond the k-th hit, which makes the answer equal to
-    :func:`nearest`.
-    """
-    queries = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    points = points.select(F.col(point_id).alias("id"), F.col(vector).alias("v"))
-    centres = fit_cells(points, n_cells, "v", seed=seed)
-    # read by every search and for the radii
-    celled = materialised(assign_cells(points, centres, 1, "v"), "cells")
-
-    def search(asked: DataFrame) -> DataFrame:
-        hits = _blocked_search(asked, celled, "query_id", "id", "v", k, skip_self, "cell", block_rows)
-        return hits.drop("rank")
-
-    first = search(assign_cells(queries, centres, n_probe, "v"))
-    if not exact:
-        return _best(first, k)
-
-    first = materialised(first, "hits")
-    radii = celled.groupBy("cell").agg(F.max("cell_gap").alias("radius"))
-    reach = first.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.sqrt(F.max("distance"))).alias("reach")
-    )
-    # rounding of distances must not exclude a cell
-    slack = 10.0 ** (-DISTANCE_DECIMALS / 2 + 1)
-    rest = (
-        assign_cells(queries, centres, len(centres), "v", skip=n_probe)
-        .join(F.broadcast(radii), "cell")
-        .join(reach, "query_id", "left")
-        .filter(F.col("reach").isNull() | (F.col("cell_gap") - F.col("radius") <= F.col("reach") + slack))
-        .select("query_id", "v", "cell")
-    )
-    return _best(first.unionByName(search(rest)), k)
+    return blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from hearth.functions.safety import guard
 from hearth.functions.text import blank_tokens, with_prefix
 from hearth.functions.vectors import hash_embed
 from hearth.operators.corpus import clean_corpus, dedup_corpus, infer_index_text, training_examples
+from hearth.operators.cells import CellIndex
 from hearth.operators.memory import memory_block, retrieve_memories
 from hearth.operators.nearest import nearest, with_content
 from hearth.operators.ordering import gather_lines, with_dense_index
@@ -102,8 +103,10 @@ def context_block(contexts: DataFrame, rank: str = "rank", text: str = "document
     return gather_lines(lines, ["query_id"], rank, "line", "context_block")
 
 
-def retrieve_contexts(queries: DataFrame, collection: DataFrame, k: int = C.CONTEXTS_PER_QUERY, **options) -> DataFrame:
-    """The ``k`` nearest documents of every query, with their text."""
+def retrieve_contexts(queries: DataFrame, collection: DataFrame | CellIndex, k: int = C.CONTEXTS_PER_QUERY, **options) -> DataFrame:
+    """The ``k`` nearest documents of every query, with their text; of a stored index only the cells that can hold one are read."""
+    if isinstance(collection, CellIndex):
+        return collection.contents(collection.nearest(queries, k, **options))
     return with_content(nearest(queries, collection, k, **options), collection)
 
 

@@ -407,6 +407,8 @@ ORACLE: dict[str, str] = {
     ),
     "collection_upsert": """SELECT id, CASE WHEN stored IS NOT NULL THEN stored ELSE offered END AS doc_id FROM (
       SELECT md5(text) AS id, min(doc_id) FILTER (lang = 'en') AS stored, max(doc_id) AS offered FROM documents GROUP BY ALL)""",
+    "collection_append": """SELECT id, CASE WHEN first IS NOT NULL THEN '1' ELSE '2' END AS wave, coalesce(first, second) AS source, n_chars FROM (
+      SELECT md5(text) AS id, min(source) FILTER (lang = 'en') AS first, min(source) AS second, length(any_value(text)) AS n_chars FROM documents GROUP BY md5(text))""",
     "collection_count": "SELECT count(*) AS size FROM documents",
     "metric_report_long": with_ctes(
         "SELECT 'metric' AS metric, metric AS value FROM a" + "".join(
@@ -463,6 +465,7 @@ ORACLE: dict[str, str] = {
     "knn_topk": KNN,
     "knn_topk_blocks": KNN,
     "knn_clustered_exact": KNN,
+    "knn_lsh_recall": f"SELECT count(*) AS truth_rows, TRUE AS recalled FROM ({KNN})",
     "knn_per_user": with_ctes(
         f"SELECT *, round(1 - distance, 6) AS relevance FROM {top('vectors', 'vectors', 10, 'q.id <> p.id AND q.user_id = p.user_id')}", VECTORS
     ),
@@ -494,6 +497,15 @@ ORACLE: dict[str, str] = {
     "memory_clear_user": with_ctes(
         "SELECT id, user_id, type FROM memory WHERE user_id NOT IN (SELECT n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 1)", *MEMORY_ALL
     ),
+    "memory_save": with_ctes(
+        "SELECT user_id, count_if(type = 'conversation_turn')::BIGINT AS turns, count_if(type = 'extracted_fact')::BIGINT AS facts, 0::BIGINT AS again FROM memory GROUP BY user_id", *MEMORY_ALL
+    ),
+    "memory_delete_stored": with_ctes(
+        "SELECT id, user_id, type FROM memory WHERE user_id NOT IN (SELECT n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 1)", *MEMORY_ALL
+    ),
+    "memory_user_lookup": with_ctes(
+        "SELECT id, user_id, type, document FROM memory WHERE user_id IN (SELECT n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 1)", *MEMORY_ALL
+    ),
     "memory_hits": with_ctes("SELECT query_id, rank, id, type, content, emotion, distance, relevance FROM hits", *HITS_ALL),
     "memory_prompt_lines": with_ctes("SELECT query_id, slot, id, type FROM lines", *HITS_ALL, PLACED),
     "memory_block": with_ctes("SELECT * FROM blocks", *BLOCKS_ALL),

@@ -11,7 +11,8 @@ from hearth import constants as C
 from hearth.functions import labels, overlap, safety, text, vectors
 from hearth.functions.facts import extract_facts
 from hearth.functions.prompts import fallback_response
-from hearth.operators import corpus, memory, metrics, nearest, ordering
+from hearth.operators import cells, corpus, memory, metrics, nearest, ordering
+from hearth.operators.store import KeyedStore
 from hearth.plans import jobs, views
 from hearth.session import materialised, scratch_path
 from hearth.sources import requests, tables
@@ -283,15 +284,17 @@ def knn_topk_blocks(spark, folder):
 def knn_clustered_exact(spark, folder):
     """The same answer by k-means cells and the triangle inequality."""
     v = views.vectors(spark, folder)
-    return nearest.nearest_clustered(v, v, 5, 8, 2, True, "id", skip_self=True)
+    return cells.nearest_clustered(v, v, 5, 8, 2, True, "id", skip_self=True)
 
 
 @query
 def knn_lsh_recall(spark, folder):
-    """Recall of the cell search without the exact second step."""
+    """Whether six of eight stored cells hold nine tenths of the true neighbours."""
     v = views.vectors(spark, folder)
-    found = nearest.nearest_clustered(v, v, 5, 8, 3, False, "id", skip_self=True)
-    return nearest.recall(found, nearest.nearest(v, v, 5, "id", "id", skip_self=True))
+    index = cells.CellIndex(spark, scratch_path(spark, "vector-cells")).build(v.select("id", "embedding"), 8)
+    found = index.nearest(v, 5, 6, exact=False, query_id="id", skip_self=True)
+    report = nearest.recall(found, nearest.nearest(v, v, 5, "id", "id", skip_self=True))
+    return report.select("truth_rows", (F.col("recall") >= 0.9).alias("recalled"))
 
 
 @query
@@ -301,18 +304,46 @@ def knn_per_user(spark, folder):
     return hits.withColumn("relevance", vectors.relevance("distance"))
 
 
+_INDEXES: dict[tuple[str, str], cells.CellIndex] = {}
+
+
+def _index(spark, folder) -> cells.CellIndex:
+    """The documents as a stored index, built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = cells.CellIndex(spark, scratch_path(spark, "index")).build(views.collection(spark, folder), 16)
+    return _INDEXES[key]
+
+
 @query
 def retrieve_contexts(spark, folder):
-    hits = jobs.retrieve_contexts(_requests(spark, folder), views.collection(spark, folder))
+    """Contexts from the stored index: cells that cannot hold one are not read."""
+    hits = jobs.retrieve_contexts(_requests(spark, folder), _index(spark, folder))
     return hits.select("query_id", "rank", "id", "distance", "document")
 
 
 @query
 def context_block(spark, folder):
-    contexts = jobs.retrieve_contexts(_requests(spark, folder), views.collection(spark, folder))
+    contexts = jobs.retrieve_contexts(_requests(spark, folder), _index(spark, folder).rows())
     return jobs.context_block(contexts)
 
 
+@query
+def collection_append(spark, folder):
+    """Documents with metadata stored twice under their text's digest: what was stored first stays."""
+    docs = views.texts(spark, folder)
+    store = KeyedStore(spark, scratch_path(spark, "collection"), buckets=32)
+
+    def wave(rows, number):
+        metadata = F.create_map(F.lit("wave"), F.lit(number), F.lit("source"), F.col("source"))
+        return rows.select(F.md5("text").alias("id"), F.col("text").alias("document"), vectors.hash_embed("text", prefix=C.PASSAGE_PREFIX).alias("embedding"), metadata.alias("metadata"))
+
+    store.append(wave(docs.filter("lang = 'en'"), "1"))
+    store.append(wave(docs, "2"))
+    found = store.read()
+    return found.select("id", F.col("metadata")["wave"].alias("wave"), F.col("metadata")["source"].alias("source"), F.length("document").alias("n_chars"))
+
+
 @query
 def index_build(spark, folder):
     raw = views.texts(spark, folder).select("doc_id", "text")
@@ -377,6 +408,40 @@ def _stored_memory(spark, folder):
     return materialised(_memory(spark, folder), "memory")
 
 
+def _memory_store(spark, folder) -> KeyedStore:
+    store = memory.memory_store(spark, scratch_path(spark, "memory"), buckets=16)
+    memory.save_memory(store, _memory(spark, folder))
+    return store
+
+
+def _some_users(spark, folder):
+    nations = views.table(spark, folder, "nation").filter("n_regionkey = 1")
+    return nations.select(F.col("n_nationkey").cast("string").alias("user_id"))
+
+
+@query
+def memory_save(spark, folder):
+    """Turns and facts that a save has stored per user, and what storing them again adds."""
+    store = _memory_store(spark, folder)
+    first = memory.saved_per_user(store, store.listing().number)
+    again = memory.save_memory(store, _memory(spark, folder))
+    return first.select("user_id", "turns", "facts", F.lit(again.saved).cast("long").alias("again"))
+
+
+@query
+def memory_delete_stored(spark, folder):
+    """The stored memory after users were deleted from its files."""
+    store = _memory_store(spark, folder)
+    store.delete(_some_users(spark, folder))
+    return store.read().select("id", "user_id", "type")
+
+
+@query
+def memory_user_lookup(spark, folder):
+    """Stored records of some users; only their buckets are read."""
+    return _memory_store(spark, folder).of(_some_users(spark, folder)).select("id", "user_id", "type", "document")
+
+
 def _requests(spark, folder):
     """User messages with their vectors, stored since every step of a turn reads them."""
     return materialised(views.turn_queries(spark, folder), "requests")
@@ -422,7 +487,7 @@ def conversation_summary(spark, folder):
 @query
 def prompt_table(spark, folder):
     queries = _requests(spark, folder)
-    contexts = jobs.retrieve_contexts(queries, views.collection(spark, folder))
+    contexts = jobs.retrieve_contexts(queries, _index(spark, folder).rows())
     asked = queries.select("query_id", "message", "emotion", F.col("use_filter").alias("safety_mode"))
     return jobs.prompt_table(asked, contexts, memory.memory_block(_memory_hits(spark, folder, queries)))
 
@@ -466,7 +531,7 @@ def _chat_turns(spark, folder, stored):
     queries = _requests(spark, folder)
     replies = queries.filter(F.col("bot_response").isNotNull()).select("query_id", F.col("bot_response").alias("reply"))
     asked = queries.drop("bot_response")
-    return jobs.chat_turns(asked, stored, views.collection(spark, folder), replies, NO_REPLY, views.TEST_LEXICON)
+    return jobs.chat_turns(asked, stored, _index(spark, folder).rows(), replies, NO_REPLY, views.TEST_LEXICON)
 
 
 @query
@@ -519,7 +584,7 @@ def _evaluation_rows(spark, folder):
     turns = _requests(spark, folder).filter(F.col("bot_response").isNotNull())
     pairs = turns.select("query_id", F.col("message").alias("text"), F.col("bot_response").alias("response"), "emotion", "embedding")
     replies = turns.filter("use_filter").select("query_id", F.col("bot_response").alias("reply"))
-    return jobs.evaluation_rows(pairs, views.collection(spark, folder), replies, words=views.TEST_LEXICON, reason=NO_REPLY)
+    return jobs.evaluation_rows(pairs, _index(spark, folder).rows(), replies, words=views.TEST_LEXICON, reason=NO_REPLY)
 
 
 @query
@@ -588,17 +653,18 @@ def _turn_files(spark, folder) -> str:
 
 @query
 def stream_memory_ingest(spark, folder):
-    out, state = scratch_path(spark, "memory"), scratch_path(spark, "state")
+    store, state = memory.memory_store(spark, scratch_path(spark, "memory"), buckets=16), scratch_path(spark, "state")
     turns = streams.read_stream(spark, _turn_files(spark, folder), files_per_batch=3)
-    streams.ingest_memory(turns, out, state).awaitTermination()
-    return spark.read.parquet(out).select("id", "user_id", "type", "document", _stamp("created_at").alias("created_at"))
+    streams.ingest_memory(turns, store, state, merge_over=2).awaitTermination()
+    return store.read().select("id", "user_id", "type", "document", _stamp("created_at").alias("created_at"))
 
 
 @query
 def stream_memory_stats(spark, folder):
-    out, stats, state = (scratch_path(spark, n) for n in ("memory", "stats", "state"))
+    store = memory.memory_store(spark, scratch_path(spark, "memory"), buckets=16)
+    stats, state = scratch_path(spark, "stats"), scratch_path(spark, "state")
     turns = streams.read_stream(spark, _turn_files(spark, folder), files_per_batch=4)
-    streams.ingest_memory(turns, out, state, stats=stats).awaitTermination()
+    streams.ingest_memory(turns, store, state, stats=stats).awaitTermination()
     return streams.latest_stats(spark.read.parquet(stats))
 
 
@@ -616,11 +682,11 @@ def stream_retrieve(spark, folder):
     out, state = scratch_path(spark, "hits"), scratch_path(spark, "state")
     path = scratch_path(spark, "turns")
     views.turns(spark, folder).select(*streams.TURN_SCHEMA.fieldNames()).repartition(8).write.parquet(path)
-    known = _stored_memory(spark, folder)
+    known, index = _memory_store(spark, folder), _index(spark, folder)
     streams.retrieve_for_turns(
         streams.read_stream(spark, path),
         lambda: known,
-        lambda: views.collection(spark, folder),
+        lambda: index,
         out,
         state,
     ).awaitTermination()

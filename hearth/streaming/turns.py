@@ -16,8 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from hearth import constants as C
 from hearth.functions.safety import guard
 from hearth.functions.vectors import hash_embed
-from hearth.operators.memory import memory_records, memory_stats, new_records, retrieve_memories, stamp, with_bucket
+from hearth.operators.memory import memory_records, memory_stats, retrieve_memories, save_memory, stamp
+from hearth.operators.cells import CellIndex
 from hearth.operators.nearest import nearest
+from hearth.operators.store import MOST_VERSIONS, KeyedStore
 
 TURN_SCHEMA = T.StructType(
     [
@@ -52,32 +54,24 @@ def _per_batch(path: str, job: Callable[[DataFrame], DataFrame]) -> Callable[[Da
     return write
 
 
-def ingest_memory(turns: DataFrame, path: str, checkpoint: str, stats: str | None = None, drain: bool = True, **options) -> StreamingQuery:
+def ingest_memory(
+    turns: DataFrame, store: KeyedStore, checkpoint: str, stats: str | None = None, drain: bool = True, merge_over: int = MOST_VERSIONS, **options
+) -> StreamingQuery:
     """Turn and fact records stored once per id, however often or late a turn arrives.
 
-    A micro-batch writes the records whose id no earlier one has stored, found by
-    an anti join with the stored ids of the user buckets it touches, so no state is
-    kept besides the table. It lies below ``batch_id`` and ``user_bucket`` folders
-    and belongs to one checkpoint. With ``stats`` the counts of the new records per
-    user are written there, see :func:`latest_stats`.
+    A micro-batch stores the records whose id no earlier one has stored; a replayed
+    one finds itself done. No state is kept besides the table. Once more than
+    ``merge_over`` micro-batches have left files of their own, the smallest are
+    merged. With ``stats`` the counts of the new records per user are written
+    there, see :func:`latest_stats`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        records = with_bucket(memory_records(batch, **options))
-        folder, stored = f"{path}/batch_id={batch_id}", records.limit(0)
-        if batch_id > 0:
-            schema = T.StructType([*records.schema.fields, T.StructField("batch_id", T.LongType())])
-            # at most as many values as there are buckets
-            touched = [r[0] for r in records.select("user_bucket").distinct().collect()]
-            before = (F.col("batch_id") < batch_id) & F.col("user_bucket").isin(touched)
-            stored = spark.read.schema(schema).parquet(path).filter(before)
-        fresh = new_records(records, stored)
-        # few files per folder and batch, and a busy user in several tasks
-        fresh.hint("rebalance", "user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(folder)
+        here = KeyedStore(batch.sparkSession, store.path, store.key, store.bucket_by, store.buckets)
+        saved = save_memory(here, memory_records(batch, **options), txn=(checkpoint, batch_id))
         if stats:
-            written = spark.read.schema(records.schema).parquet(folder)
-            memory_stats(written).write.mode("overwrite").parquet(f"{stats}/batch_id={batch_id}")
+            memory_stats(here.saved_in(saved.version)).write.mode("overwrite").parquet(f"{stats}/batch_id={batch_id}")
+        here.merge(merge_over)
 
     return _start(turns.writeStream.foreachBatch(write), checkpoint, drain)
 
@@ -95,8 +89,8 @@ def guard_replies(replies: DataFrame, text: str, path: str, checkpoint: str, dra
 
 def retrieve_for_turns(
     turns: DataFrame,
-    memory: Callable[[], DataFrame],
-    collection: Callable[[], DataFrame],
+    memory: Callable[[], DataFrame | KeyedStore],
+    collection: Callable[[], DataFrame | CellIndex],
     path: str,
     checkpoint: str,
     memories: int = C.MEMORIES_PER_QUERY,
@@ -105,8 +99,10 @@ def retrieve_for_turns(
 ) -> StreamingQuery:
     """Memories and contexts of every arriving turn, ``source`` naming which.
 
-    Both tables are read anew per micro-batch. A turn sees the memories created
-    before it; ``query_id`` is the id its own memory record has or will have.
+    Both tables are read anew per micro-batch; of a stored memory only the buckets
+    of the asking users, of a stored index only the cells that can hold a hit. A
+    turn sees the memories created before it; ``query_id`` is the id its own memory
+    record has or will have.
     """
 
     def job(batch: DataFrame) -> DataFrame:
@@ -118,7 +114,9 @@ def retrieve_for_turns(
         )
         columns = ["query_id", "source", "rank", F.col("id").cast("string").alias("id"), "distance"]
         known = retrieve_memories(queries, memory(), memories, asked_at="asked_at").withColumn("source", F.lit("memory"))
-        found = nearest(queries, collection(), contexts).withColumn("source", F.lit("context"))
+        points = collection()
+        hits = points.nearest(queries, contexts) if isinstance(points, CellIndex) else nearest(queries, points, contexts)
+        found = hits.withColumn("source", F.lit("context"))
         return known.select(*columns).unionByName(found.select(*columns))
 
     return _start(turns.writeStream.foreachBatch(_per_batch(path, job)), checkpoint, drain)

@@ -116,11 +116,6 @@ def test_written_memory(spark):
     assert one.count() == 3
     scan = [x for x in one._jdf.queryExecution().toString().split("\n") if "PartitionFilters" in x]
     assert "user_bucket" in scan[-1].split("PartitionFilters")[1].split("]")[0]
-    M.delete_users(spark, path, ["user3", "user4"], buckets=6)
-    left = spark.read.parquet(path)
-    assert left.count() == 21 and left.filter("user_id in ('user3', 'user4')").isEmpty()
-    M.delete_users(spark, path, [f"user{i}" for i in range(8)], buckets=6)
-    assert {r.user_id for r in spark.read.parquet(path).collect()} == {"user8"}
 
 
 @pytest.mark.parametrize("span", [1, 3, 1000])

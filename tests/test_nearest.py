@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from hearth.operators import cells as K
 from hearth.operators import nearest as N
 
 
@@ -88,16 +89,16 @@ def test_distance_and_relevance(spark):
 @pytest.mark.parametrize("n_probe", [1, 3])
 def test_clustered_exact(spark, data, n_probe):
     f = frame(spark, range(len(data)), data)
-    hits = N.nearest_clustered(f, f, 4, 6, n_probe, True, "id", skip_self=True, block_rows=50)
+    hits = K.nearest_clustered(f, f, 4, 6, n_probe, True, "id", skip_self=True, block_rows=50)
     assert answer(hits) == brute(data, data, 4, skip_self=True)
 
 
 def test_clustered_recall(spark, data):
     f = frame(spark, range(len(data)), data)
     truth = N.nearest(f, f, 4, "id")
-    full = N.nearest_clustered(f, f, 4, 6, 6, False, "id")
+    full = K.nearest_clustered(f, f, 4, 6, 6, False, "id")
     assert N.recall(full, truth).first()["recall"] == 1.0
-    part = N.nearest_clustered(f, f, 4, 6, 1, False, "id")
+    part = K.nearest_clustered(f, f, 4, 6, 1, False, "id")
     assert 0 < N.recall(part, truth).first()["recall"] <= 1.0
 
 

@@ -26,37 +26,39 @@ def turn_files(spark, copies=1):
 
 def test_ingest_equals_batch_and_drops_repeats(spark):
     path, turns = turn_files(spark, copies=2)
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    out, state = M.memory_store(spark, scratch_path(spark, "out")), scratch_path(spark, "state")
     S.ingest_memory(S.read_stream(spark, path, files_per_batch=2), out, state).awaitTermination()
     columns = ["id", "type", "document", "user_message", "created_at"]
-    got = sorted(map(str, spark.read.parquet(out).select(columns).collect()))
+    got = sorted(map(str, out.read().select(columns).collect()))
     assert got == sorted(map(str, M.memory_records(turns).select(columns).collect()))
 
 
 def test_ingest_goes_on_where_it_stopped(spark):
     path, turns = turn_files(spark)
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    out, state = M.memory_store(spark, scratch_path(spark, "out")), scratch_path(spark, "state")
     S.ingest_memory(S.read_stream(spark, path), out, state).awaitTermination()
-    before = spark.read.parquet(out).count()
+    before = out.read().count()
     turns.write.mode("append").parquet(path)
     late = turns.limit(1).withColumn("user_id", F.lit("new")).withColumn("created_at", F.lit(datetime(2024, 1, 1, 0, 30)))
     late.write.mode("append").parquet(path)
     S.ingest_memory(S.read_stream(spark, path), out, state).awaitTermination()
-    assert spark.read.parquet(out).count() == before + M.memory_records(late).count()
+    assert out.read().count() == before + M.memory_records(late).count()
 
 
 def test_late_turns_are_stored(spark):
-    path, out, state = (scratch_path(spark, n) for n in ("late", "out", "state"))
+    path, state = scratch_path(spark, "late"), scratch_path(spark, "state")
+    out = M.memory_store(spark, scratch_path(spark, "out"))
     for hour in (0, 10, 20, 1, 10):
         row = (f"t{hour}", "u", "c", "hello", None, None, datetime(2024, 1, 1, hour))
         spark.createDataFrame([row], S.TURN_SCHEMA).write.mode("append").parquet(path)
         S.ingest_memory(S.read_stream(spark, path), out, state).awaitTermination()
-    assert sorted(r.created_at.hour for r in spark.read.parquet(out).collect()) == [0, 1, 10, 20]
+    assert sorted(r.created_at.hour for r in out.read().collect()) == [0, 1, 10, 20]
 
 
 def test_running_stats_count_repeats_once(spark):
     path, turns = turn_files(spark, copies=2)
-    out, stats, state = (scratch_path(spark, n) for n in ("out", "stats", "state"))
+    out = M.memory_store(spark, scratch_path(spark, "out"))
+    stats, state = scratch_path(spark, "stats"), scratch_path(spark, "state")
     S.ingest_memory(S.read_stream(spark, path, files_per_batch=1), out, state, stats=stats).awaitTermination()
     got = {tuple(r) for r in S.latest_stats(spark.read.parquet(stats)).collect()}
     assert got == {tuple(r) for r in M.memory_stats(M.memory_records(turns)).collect()}
@@ -97,3 +99,15 @@ def test_retrieval_sees_only_own_memory(spark):
     assert own.count() == hits.filter("source = 'memory'").count() > 0
     assert own.filter("user_id <> owner OR saved_at >= created_at").isEmpty()
     assert hits.filter("source = 'context'").count() == 40
+
+
+def test_twenty_batches_leave_a_bounded_number_of_versions(spark):
+    path, state = scratch_path(spark, "many"), scratch_path(spark, "state")
+    rows = [(f"t{i}", f"u{i % 3}", "c", f"hello {i}", None, None, datetime(2024, 1, 1, 0, i)) for i in range(20)]
+    turns = spark.createDataFrame(rows, S.TURN_SCHEMA)
+    turns.repartition(20, "turn_id").write.option("maxRecordsPerFile", 1).parquet(path)
+    store = M.memory_store(spark, scratch_path(spark, "out"), buckets=2)
+    S.ingest_memory(S.read_stream(spark, path, files_per_batch=1), store, state, merge_over=4).awaitTermination()
+    listing = store.listing()
+    assert listing.done[state][0] >= 19 and len(listing.live) <= 5
+    assert store.read().count() == M.memory_records(turns).count()
