@@ -152,3 +152,11 @@ SYSTEM_TEXT = (
 SAFETY_ON_TEXT = "Safety mode: ON. Decline harmful requests and offer a safe alternative.\n"
 SAFETY_OFF_TEXT = "Safety mode: OFF. Match the user's tone, but never insult or endanger anyone.\n"
 CLOSING_TEXT = "Instructions:\n- Stay with the facts, stay brief, and do not repeat the question.\n"
+
+# --- fixed values: keys of the result records ---------------------------------
+RESULT_FIELDS = [
+    "emotion", "response", "toxic", "toxicity_scores", "context", "use_filter",
+    "using_fallback", "llm_enabled", "llm_error", "llm_model", "llm_candidates",
+    "filter_applied", "memories_used", "conversation_saved", "memory_stats",
+]
+SHORT_RESULT_FIELDS = ["emotion", "response", "toxic", "toxicity_scores", "context"]

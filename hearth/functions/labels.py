@@ -30,8 +30,7 @@ def normalize_emotion(label: Column | str) -> Column:
 
 def normalize_model_label(label: Column | str) -> Column:
     """Classifier output to taxonomy: first token without punctuation around it."""
-    # fixed value: the punctuation set of constants.MODEL_LABEL_PUNCTUATION as a class
-    edge = r"[.,!?;:\"'()\[\]{}]+"
+    edge = "[" + "".join(f"\\{c}" for c in C.MODEL_LABEL_PUNCTUATION) + "]+"
     token = first_token(F.lower(text_or_empty(label)))
     token = F.regexp_replace(token, f"^{edge}|{edge}$", "")
     known = F.when(in_taxonomy(token), token)

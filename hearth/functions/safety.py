@@ -45,10 +45,6 @@ def is_toxic_scores(scores: Column | str, threshold: float = C.TOXIC_THRESHOLD)
     return max_score(scores) >= F.lit(float(threshold))
 
 
-def is_toxic_lexicon(text: Column | str, words: list[str] = C.TOXIC_WORDS) -> Column:
-    return F.size(lexicon_scores(text, words)) > 0
-
-
 def sanitize(text: Column | str, toxic: Column | str, refusal: str = C.REFUSAL) -> Column:
     """The whole text is replaced when toxic."""
     return F.when(as_column(toxic), F.lit(refusal)).otherwise(as_column(text))

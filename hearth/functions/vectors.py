@@ -15,11 +15,6 @@ from hearth.functions.text import as_column, bind, with_prefix
 EMBED_DIM = 64
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    products = F.zip_with(as_column(a), as_column(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def l2_normalize(vector: Column | str) -> Column:
     """Unit-length vector as floats; a zero vector stays zero."""
 

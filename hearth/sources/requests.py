@@ -49,15 +49,7 @@ def filter_applied(use_filter: Column | str, toxic: Column | str, scores: Column
     return as_column(use_filter) & (as_column(toxic) | has_scores)
 
 
-RESULT_FIELDS = [
-    "emotion", "response", "toxic", "toxicity_scores", "context", "use_filter",
-    "using_fallback", "llm_enabled", "llm_error", "llm_model", "llm_candidates",
-    "filter_applied", "memories_used", "conversation_saved", "memory_stats",
-]
-SHORT_RESULT_FIELDS = ["emotion", "response", "toxic", "toxicity_scores", "context"]
-
-
-def result_json(df: DataFrame, fields: list[str] = RESULT_FIELDS) -> Column:
+def result_json(df: DataFrame, fields: list[str] = C.RESULT_FIELDS) -> Column:
     """JSON text of a chat result; null fields are written out."""
     missing = [f for f in fields if f not in df.columns]
     if missing:

@@ -75,7 +75,8 @@ def scan_csv(
     ]
     if multi_line is None:
         multi_line = has_multiline_records(spark, path, escape)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW, CORRUPT]])
+    extra = [CORRUPT] if keep_bad else [OVERFLOW, CORRUPT]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *extra]])
     rows = (
         spark.read.schema(schema)
         .option("header", True)
@@ -87,10 +88,16 @@ def scan_csv(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("enforceSchema", True)
         .option("unescapedQuoteHandling", "STOP_AT_CLOSING_QUOTE")
+        # a record is only compared with the header where all of it is parsed
+        .option("columnPruning", not keep_bad)
         .csv(path)
     )
     if keep_bad:
-        return rows.filter(F.col(OVERFLOW).isNotNull()).select(CORRUPT)
+        # short records are marked too: those with a field beyond the header are the dropped ones
+        options = {"sep": delimiter, "quote": '"', "escape": escape, "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"}
+        beyond = F.from_csv(CORRUPT, _string_schema(len(names) + 1), options)[f"c{len(names)}"]
+        record = F.coalesce(CORRUPT, f"`{names[0]}`")
+        return rows.filter(F.col(CORRUPT).isNotNull() & beyond.isNotNull()).select(record.alias(CORRUPT))
     readable = rows.filter(F.col(OVERFLOW).isNull())
     return readable.select(
         *[missing_to_null(F.replace(F.col(f"`{n}`"), F.lit("�"), F.lit(""))).alias(n) for n in names]

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from hearth import constants as C
 from hearth.sources import requests as R
 from hearth.sources import tables as S
 
@@ -20,7 +21,13 @@ def rows(df):
 def test_comma_quotes_and_missing(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'text,response\n"a, b","x"\nNA,null\n"",""\nshort\ntoo,many,fields\n')
     assert rows(S.scan_csv(spark, path)) == [("a, b", "x"), (None, None), (None, None), ("short", None)]
-    assert S.scan_csv(spark, path, keep_bad=True).count() == 1
+    assert rows(S.scan_csv(spark, path, keep_bad=True)) == [("too,many,fields",)]
+
+
+def test_dropped_records_come_back_as_text(spark, tmp_path):
+    path = write(tmp_path, "bad.csv", 'text;response\na;b\n"e; f";g;h\nshort\nx;y;\nq;r;s;t\n')
+    assert rows(S.scan_csv(spark, path)) == [("a", "b"), ("short", None), ("x", "y")]
+    assert sorted(rows(S.scan_csv(spark, path, keep_bad=True))) == [('"e; f";g;h',), ("q;r;s;t",)]
 
 
 @pytest.mark.parametrize("sep", [";", "\t", "|"])
@@ -96,12 +103,12 @@ def test_requests(spark):
 
 
 def test_result_json(spark):
-    fields = {f: F.lit(None).cast("string") for f in R.RESULT_FIELDS}
+    fields = {f: F.lit(None).cast("string") for f in C.RESULT_FIELDS}
     fields["toxicity_scores"] = F.create_map(F.lit("a"), F.lit(1.0))
     df = spark.range(1).select(*[c.alias(n) for n, c in fields.items()])
     body = json.loads(df.select(R.result_json(df)).first()[0])
-    assert list(body) == R.RESULT_FIELDS and body["emotion"] is None and body["toxicity_scores"] == {"a": 1.0}
-    assert len(json.loads(df.select(R.result_json(df, R.SHORT_RESULT_FIELDS)).first()[0])) == 5
+    assert list(body) == C.RESULT_FIELDS and body["emotion"] is None and body["toxicity_scores"] == {"a": 1.0}
+    assert len(json.loads(df.select(R.result_json(df, C.SHORT_RESULT_FIELDS)).first()[0])) == 5
     with pytest.raises(ValueError):
         R.result_json(df.drop("emotion"))
 
