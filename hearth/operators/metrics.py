@@ -87,12 +87,20 @@ def rouge_l(pairs: DataFrame, pred: str = "pred", ref: str = "ref", stem: bool =
     ).select(F.lit("rougeL").alias("metric"), "*")
 
 
-def greedy_match_score(tokens: DataFrame, model_type: str = "hashed", **names) -> DataFrame:
-    return greedy_match(tokens, **names).agg(
+def greedy_match_score(tokens: DataFrame, model_type: str = "hashed", row_id: str = "row_id", fallback: str | None = None, **names) -> DataFrame:
+    """Means over all rows; ``fallback`` is a column of the tokens that marks rows answered by the fallback reply."""
+    scored = greedy_match(tokens, row_id, **names)
+    if fallback:
+        marked = tokens.filter(F.col(fallback)).select(F.col(row_id), F.lit(True).alias("used")).distinct()
+        scored = scored.join(marked, row_id, "left")
+    else:
+        scored = scored.withColumn("used", F.lit(False))
+    return scored.agg(
         F.avg("precision").alias("bertscore_precision"),
         F.avg("recall").alias("bertscore_recall"),
         F.avg("f1").alias("bertscore_f1"),
         F.count("*").alias("samples"),
+        F.count_if("used").alias("fallback_responses"),
     ).select(F.lit("bertscore").alias("metric"), "*", F.lit(model_type).alias("model_type"))
 
 

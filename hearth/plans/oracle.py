@@ -307,7 +307,7 @@ ROUGE = with_ctes(ROUGE_BODY, TURNS, PAIRS, *ROUGE_CTES)
 
 GREEDY = with_ctes(
     """SELECT 'bertscore' AS metric, round(avg(p), 6) AS bertscore_precision, round(avg(r), 6) AS bertscore_recall,
-    round(avg(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS bertscore_f1, count(*) AS samples, 'hashed' AS model_type
+    round(avg(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS bertscore_f1, count(*) AS samples, count(*) FILTER (row_id % 7 = 0) AS fallback_responses, 'hashed' AS model_type
   FROM (SELECT ids.row_id, coalesce(p, 0) AS p, coalesce(r, 0) AS r FROM (SELECT DISTINCT row_id FROM tok) ids
     LEFT JOIN (SELECT row_id, avg(m) AS p FROM (SELECT row_id, a, max(s) AS m FROM sims GROUP BY ALL) GROUP BY row_id) USING (row_id)
     LEFT JOIN (SELECT row_id, avg(m) AS r FROM (SELECT row_id, b, max(s) AS m FROM sims GROUP BY ALL) GROUP BY row_id) USING (row_id))""",
@@ -383,12 +383,21 @@ EVALUATED = f"""SELECT id AS row_id, CASE WHEN word <> '' THEN {quoted(C.REFUSAL
     FROM asked JOIN bullets ON query_id = id WHERE bot_response IS NOT NULL))"""
 EVALUATED_ALL = [TURNS, ASKED, ASKED_VECTORS, DOC_VECTORS, CONTEXTS, bullets("SELECT query_id, rank, document FROM contexts")]
 
+_LONG = {
+    "bleu": ("bleu_report", ["bleu", "brevity_penalty", "sys_len", "ref_len", "samples"]),
+    "rougeL": ("rouge_report", ["rougeL_f1", "rougeL_precision", "rougeL_recall", "samples"]),
+    "toxicity": ("toxicity_report", [
+        "avg_toxicity_raw", "avg_toxicity_post", "absolute_reduction", "percent_reduction", "samples", "toxic_raw_count", "toxic_post_count",
+    ]),
+}
 REPORT = with_ctes(
-    f"""SELECT metric, score, samples, (SELECT count(*) FILTER (used_fallback) FROM pairs) AS fallback_responses FROM (
-      SELECT metric, bleu AS score, samples FROM ({BLEU_BODY})
-      UNION ALL SELECT metric, rougeL_f1, samples FROM ({ROUGE_BODY})
-      UNION ALL SELECT 'toxicity', round(avg(toxic::INT), 6), count(*) FROM pairs)""",
+    " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, '{name}' AS name, round({name}::DOUBLE, 6) AS value FROM {source}" for metric, (source, names) in _LONG.items() for name in names
+    ) + " UNION ALL SELECT unnest(['bleu', 'rougeL', 'toxicity']), 'fallback_responses', (SELECT count(*) FILTER (used_fallback) FROM pairs)::DOUBLE",
     *EVALUATED_ALL, f"pairs AS MATERIALIZED ({EVALUATED})", *BLEU_CTES, *ROUGE_CTES,
+    f"bleu_report AS MATERIALIZED ({BLEU_BODY})", f"rouge_report AS MATERIALIZED ({ROUGE_BODY})",
+    """toxicity_report AS (SELECT avg(toxic::INT) AS avg_toxicity_raw, 0 AS avg_toxicity_post, avg(toxic::INT) AS absolute_reduction,
+      CASE WHEN avg(toxic::INT) > 0 THEN 100 ELSE 0 END AS percent_reduction, count(*) AS samples, count(*) FILTER (toxic) AS toxic_raw_count, 0 AS toxic_post_count FROM pairs)""",
 )
 
 KNN = with_ctes(f"SELECT * FROM {top('vectors', 'vectors', 5, 'q.id <> p.id')}", VECTORS)

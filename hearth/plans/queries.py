@@ -567,7 +567,7 @@ def rouge_l_stemmed(spark, folder):
 
 @query
 def greedy_match_score(spark, folder):
-    return _rounded(metrics.greedy_match_score(views.token_vectors(spark, folder)))
+    return _rounded(metrics.greedy_match_score(views.token_vectors(spark, folder), fallback="used_fallback"))
 
 
 @query
@@ -596,16 +596,16 @@ def evaluation_run(spark, folder):
 
 @query
 def evaluation_report(spark, folder):
-    """Scores of the evaluation run's predictions: BLEU, ROUGE-L without stems, toxicity before the filter."""
+    """Every column of the reports on the evaluation run's predictions: BLEU, ROUGE-L without stems, toxicity."""
     rows = materialised(_evaluation_rows(spark, folder).select("pred", "ref", "used_fallback", "scores"), "predictions")
     used = "used_fallback"
-    reports = [
-        (metrics.bleu(rows, fallback=used), "bleu"),
-        (metrics.rouge_l(rows, stem=False, fallback=used), "rougeL_f1"),
-        (metrics.toxicity_reduction(rows, fallback=used), "avg_toxicity_raw"),
-    ]
-    columns = [r.select("metric", F.round(score, 6).alias("score"), "samples", "fallback_responses") for r, score in reports]
-    return columns[0].unionByName(columns[1]).unionByName(columns[2])
+    reports = [metrics.bleu(rows, fallback=used), metrics.rouge_l(rows, stem=False, fallback=used), metrics.toxicity_reduction(rows, fallback=used)]
+    parts = []
+    for report in reports:
+        names = [c for c in report.columns if c not in ("metric", "filter_applied")]
+        values = [F.round(F.col(c).cast("double"), 6).alias(c) for c in names]
+        parts.append(report.select("metric", *values).unpivot("metric", names, "name", "value"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- training ---------------------------------------------------------------------------------------------

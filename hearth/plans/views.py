@@ -131,6 +131,7 @@ def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("vec_id") % 2 == 0, "cand").otherwise("ref").alias("side"),
         F.col("vec_id").alias("pos"),
         F.col("embedding").alias("vec"),
+        (F.floor(F.col("vec_id") / 20) % 7 == 0).alias("used_fallback"),
     )
 
 
