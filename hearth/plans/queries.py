@@ -318,7 +318,7 @@ def _index(spark, folder) -> cells.CellIndex:
 @query
 def retrieve_contexts(spark, folder):
     """Contexts from the stored index: cells that cannot hold one are not read."""
-    hits = jobs.retrieve_contexts(_requests(spark, folder), _index(spark, folder))
+    hits = jobs.retrieve_contexts(_requests(spark, folder), _index(spark, folder), n_probe=6)
     return hits.select("query_id", "rank", "id", "distance", "document")
 
 
