@@ -4,16 +4,25 @@ A text's subwords are the letter n-grams of its words, with word edges, hashed
 into buckets. The mean of their embeddings goes through a linear softmax. Both
 are trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows, of up to ``PER_LANGUAGE`` expected rows of each language; one part
-of the sample is held out to fit the temperature of the softmax and the score
-below which a prediction is rejected.
-
-A null text, or one without a letter, is ``und`` with score 0 and rejected. Rows
+of the sample is held out to fit the temperature of the softmax.
+
+A prediction is rejected where the text's subwords are strange to the language
+predicted. Their mean surprise in that language's sample is put in units of the
+deviation that held-out texts of its length show. The limit lies halfway between
+what ``COVERAGE`` of the held-out texts stay below and what all but
+``STRANGERS`` of known strangers exceed: every held-out text judged as if its own
+language had not been learnt, and with its letters shuffled. Where the two
+overlap, the held-out texts decide. Texts of a few words can be too short for a
+rejection.
+
+Whole texts are read, in slices that lose no n-gram. A null text, or one without a letter, is ``und`` with score 0 and rejected. Rows
 without a label are predicted but not learnt from. Without any labelled row,
 every text is ``und``. Ties go to the language first in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +41,8 @@ PER_LANGUAGE = 800
 EPOCHS = 4
 RATE = 4.0
 COVERAGE = 0.999
-CEILING = 0.5
+STRANGERS = 0.02
+SMOOTHING = 0.1
 SLICE = 1 << 20
 PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 _letters: list[np.ndarray] = []
@@ -44,39 +54,44 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def subwords(text: str) -> np.ndarray:
-    """Buckets of all letter n-grams of a text's words, repeats included; empty without a letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
-    letter = letter_table()[codes]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    codes = np.concatenate(([0], np.where(letter, codes, 0), [0])).astype(np.uint32)
-    letter = codes > 0
-    parts = []
-    for n in SIZES:
-        starts = len(codes) - n + 1
-        mixed = np.full(starts, n * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
-        for k in range(n):
-            mixed = (mixed ^ codes[k : k + starts]) * PRIMES[k]
-            mixed ^= mixed >> np.uint32(15)
-        if n == 1:
-            valid = letter
-        elif n == 2:
-            valid = letter[:-1] | letter[1:]
-        else:
-            valid = letter[1 : 1 + starts]  # an edge can stand at either end only
-            for k in range(2, n - 1):
-                valid = valid & letter[k : k + starts]
-        parts.append(mixed[valid] >> np.uint32(32 - BUCKET_BITS))
-    return np.concatenate(parts).astype(np.int64)
+def subword_slices(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all letter n-grams of a text's words, those that start within a slice at a time."""
+    padded = f"\0{text.lower()}\0"
+    for low in range(0, len(padded), SLICE):
+        codes = np.frombuffer(padded[low : low + SLICE + max(SIZES) - 1].encode("utf-32-le"), dtype="<u4")
+        letter = letter_table()[codes]
+        codes = np.where(letter, codes, 0).astype(np.uint32)
+        parts = []
+        for n in SIZES:
+            starts = max(0, min(SLICE, len(codes) - n + 1))
+            mixed = np.full(starts, n * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                mixed = (mixed ^ codes[k : k + starts]) * PRIMES[k]
+                mixed ^= mixed >> np.uint32(15)
+            if n == 2:
+                valid = letter[:starts] | letter[1 : 1 + starts]
+            else:  # an edge can stand at either end of three only
+                valid = letter[n // 2 : n // 2 + starts]
+            parts.append(mixed[valid] >> np.uint32(32 - BUCKET_BITS))
+        yield np.concatenate(parts).astype(np.int64)
 
 
 def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(subwords(text), minlength=1)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for found in subword_slices(text):
+        counts += np.bincount(found, minlength=len(counts))
     found = np.flatnonzero(counts)
     return found, counts[found]
 
 
+def shuffled(text: str) -> str:
+    """The text with its letters dealt anew to the places of letters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").copy()
+    places = np.flatnonzero(letter_table()[codes])
+    codes[places] = codes[np.random.default_rng(len(places)).permutation(places)]
+    return codes.tobytes().decode("utf-32-le")
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -84,40 +99,72 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Scores of every bucket for every language, the temperature's inverse, and the least accepted score."""
+    """Scores and surprises of every bucket by language, the temperature's inverse, and what is usual.
+
+    ``usual`` holds for every language the mean surprise of a text and the two
+    parts of its variance: between texts, and shrinking with the number of subwords.
+    """
 
     languages: list[str]
     table: np.ndarray
+    surprise: np.ndarray
     sharpness: float
-    threshold: float
+    usual: np.ndarray
+    limit: float
+
+    def strangeness(self, best: int, mean: float, n: int) -> float:
+        centre, between, within = self.usual[best]
+        return float((mean - centre) / np.sqrt(between + within / n + 1e-12))
 
     def predict(self, text: str) -> tuple[str, float, bool]:
-        total, n = np.zeros(len(self.languages)), 0
-        for low in range(0, len(text), SLICE):  # a cut word only loses its own n-grams across the cut
-            found = subwords(text[low : low + SLICE])
+        total, odd, n = np.zeros(len(self.languages)), np.zeros(len(self.languages)), 0
+        for found in subword_slices(text):
             total += self.table[found].sum(axis=0)
+            odd += self.surprise[found].sum(axis=0)
             n += len(found)
         if not n or not self.languages:
             return UNKNOWN, 0.0, False
         p = _softmax(total / n * self.sharpness)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
+        return self.languages[best], float(p[best]), self.strangeness(best, odd[best] / n, n) <= self.limit
+
+
+def _usual(means: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
+    """Centre of the mean surprises, variance between texts, and variance times the number of subwords."""
+    if not len(means):
+        return 0.0, 1.0, 0.0
+    centre = float(np.average(means, weights=np.sqrt(sizes)))
+    square, inverse = (means - centre) ** 2, 1 / sizes
+    # both parts are fitted to the squares relative to their own size, so that short texts do not decide alone
+    parts = np.stack((np.ones(len(sizes)), inverse), axis=1)
+    weight = 1 / (inverse + inverse.mean())
+    within, between = 0.0, float(square.mean())
+    if len(sizes) > 1:
+        between, within = np.linalg.lstsq(parts * weight[:, None], square * weight, rcond=None)[0]
+        if between < 0:
+            between, within = 0.0, float((square * weight**2 * inverse).sum() / ((weight * inverse) ** 2).sum())
+        elif within < 0:
+            between, within = float(np.average(square, weights=weight**2)), 0.0
+    return centre, float(between), float(within)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Fit on (language, buckets, counts); every fifth row is held out for calibration."""
+Row = tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def train(rows: list[Row], seed: int = 7) -> Model:
+    """Fit on (language, buckets, counts, the same of its shuffled text); every fifth row is held out for calibration."""
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
     n = 1 << BUCKET_BITS
     if not languages:
-        return Model([], np.zeros((n, 0)), 1.0, CEILING)
+        return Model([], np.zeros((n, 0)), np.zeros((n, 0)), 1.0, np.zeros((0, 3)), 0.0)
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (n, DIMENSIONS))
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
     held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     steps = EPOCHS * len(used)
     for step, i in enumerate(i for _ in range(EPOCHS) for i in rng.permutation(len(used))):
-        language, buckets, counts = used[i]
+        language, buckets, counts = used[i][:3]
         share = counts / counts.sum()
         rate = RATE * (1 - step / steps)
         mean = share @ embed[buckets]
@@ -127,19 +174,43 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         weights -= rate * 0.1 * np.outer(mean, slope)
         embed[buckets] -= rate * share[:, None] * back
     table = embed @ weights
-    logits = np.array([(c / c.sum()) @ table[b] for _, b, c in held])
-    truth = np.array([languages.index(r[0]) for r in held])
-    grid = 2.0 ** np.arange(-4, 6.5, 0.5)
-    loss = [-np.log(_softmax(logits * s)[np.arange(len(truth)), truth] + 1e-12).mean() for s in grid]
-    sharpness = float(grid[int(np.argmin(loss))])
-    p = _softmax(logits * sharpness)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    least = float(np.quantile(right, 1 - COVERAGE)) if len(right) else CEILING
-    return Model(languages, table, sharpness, min(CEILING, least))
+    seen = np.full((n, len(languages)), SMOOTHING)
+    for language, buckets, counts, *_ in used:
+        seen[buckets, languages.index(language)] += counts
+    surprise = -np.log(seen / seen.sum(axis=0))
 
+    def average(of: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.array([(c / c.sum()) @ of[b] for b, c in texts])
 
-def sample(docs: DataFrame, usable, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Buckets and counts of about PER_LANGUAGE whole texts of each language, chosen by a hash of the text."""
+    own = [(r[1], r[2]) for r in held]
+    logits = average(table, own)
+    truth = np.array([languages.index(r[0]) for r in held])
+    places, sizes = np.arange(len(held)), np.array([r[2].sum() for r in held])
+    grid = 2.0 ** np.arange(-4, 6.5, 0.5)
+    loss = [-np.log(_softmax(logits * s)[places, truth] + 1e-12).mean() for s in grid]
+    odd = average(surprise, own)
+    usual = np.array([_usual(odd[truth == i, i], sizes[truth == i]) for i in range(len(languages))])
+    model = Model(languages, table, surprise, float(grid[int(np.argmin(loss))]), usual, 0.0)
+
+    def strangeness(scores: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        best = scores.argmax(axis=1)
+        return np.array([model.strangeness(b, odd[i, b], sizes[i]) for i, b in enumerate(best)])
+
+    members = strangeness(logits, odd)[logits.argmax(axis=1) == truth]
+    strangers = []
+    if len(languages) > 1:
+        without = logits.copy()
+        without[places, truth] = -np.inf
+        strangers.append(strangeness(without, odd))
+    mixed = [(r[3], r[4]) for r in held]
+    strangers.append(strangeness(average(table, mixed), average(surprise, mixed)))
+    high = float(np.quantile(members, COVERAGE)) if len(members) else 0.0
+    model.limit = max(high, (high + float(np.quantile(np.concatenate(strangers), STRANGERS))) / 2)
+    return model
+
+
+def sample(docs: DataFrame, usable, text_col: str, lang_col: str) -> list[Row]:
+    """Buckets and counts, of the text and with its letters shuffled, of about PER_LANGUAGE whole texts of each language, chosen by a hash of the text."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
@@ -149,12 +220,13 @@ def sample(docs: DataFrame, usable, text_col: str, lang_col: str) -> list[tuple[
     chosen = rows.where(draw < share[F.col("lang")])
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        found = [bucket_counts(t.decode()) for t in texts]
-        return [pa.array([f[i].astype("<i4").tobytes() for f in found], pa.binary()) for i in range(2)]
+        found = [(*bucket_counts(t), *bucket_counts(shuffled(t))) for t in map(bytes.decode, texts)]
+        return [pa.array([f[i].astype("<i4").tobytes() for f in found], pa.binary()) for i in range(4)]
 
-    got = append_columns(chosen, "text", compute, [("buckets", T.BinaryType()), ("counts", T.BinaryType())])
-    kept = got.select("lang", "buckets", "counts").orderBy(F.xxhash64("buckets", "counts"), "lang").limit(2 * PER_LANGUAGE * len(sizes))
-    return [(r.lang, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in kept.toLocalIterator()]
+    parts = ["buckets", "counts", "mixed_buckets", "mixed_counts"]
+    got = append_columns(chosen, "text", compute, [(c, T.BinaryType()) for c in parts])
+    kept = got.select("lang", *parts).orderBy(F.xxhash64("buckets", "counts"), "lang").limit(2 * PER_LANGUAGE * len(sizes))
+    return [(r.lang, *(np.frombuffer(r[c], "<i4") for c in parts)) for r in kept.toLocalIterator()]
 
 
 def fit(docs: DataFrame, usable=None, text_col: str = "text", lang_col: str = "lang") -> Model:
