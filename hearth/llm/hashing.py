@@ -13,7 +13,7 @@ its answer is never short. Every row is indexed.
 
 Inner products of vectors of different norms are brought to angles by one more
 component that gives all rows the largest norm. Null, zero and non-finite
-vectors take no part; repeated ids are rows of their own.
+vectors take no part; rows that repeat an id count once.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.vectors import matrix, search_blocks, usable
+from hearth.llm.vectors import matrix, one_per_id, search_blocks, usable
 
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
@@ -151,7 +151,7 @@ def fit(rows: DataFrame, k: int) -> dict[int, Codes]:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): about the k largest inner products of every query, ``is_query`` over ``id``."""
-    rows = usable(vectors, id_col, vector_col).where(F.exists("vector", lambda x: x != 0))
+    rows = one_per_id(usable(vectors, id_col, vector_col).where(F.exists("vector", lambda x: x != 0)))
     model = rows.sparkSession.sparkContext.broadcast(fit(rows, k))  # a few rotations, whatever the input
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

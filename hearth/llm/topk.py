@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from hearth.llm.vectors import matrix, search_blocks, usable
+from hearth.llm.vectors import matrix, one_per_id, search_blocks, usable
 
 SCALE = 64
 STEP = 8
@@ -77,7 +77,7 @@ def survivors(asked: np.ndarray, held: np.ndarray, k: int) -> Iterator[tuple[np.
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of every query, ``is_query`` over ``id``."""
-    rows = usable(vectors, id_col, vector_col)
+    rows = one_per_id(usable(vectors, id_col, vector_col))
 
     def search(queries: pa.Table, own: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         asked, held = np.floor(SCALE * matrix(queries.column("vector"))), np.floor(SCALE * matrix(own.column("vector")))

@@ -3,6 +3,10 @@
 Queries and rows are dealt into blocks of bounded size; each pair of blocks is
 one group of a cogroup, and only the k best rows of each query leave it. The
 best of all blocks are ranked per query. Vectors of different lengths never meet.
+
+An id stands for one vector: of several rows with the same id and length of
+vector the least vector counts, on both sides, so that no id is found twice by a
+query. Repeats are reduced before rows are dealt into blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return rows.where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").where(~bad)
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """One row of every id and length of vector, the least vector."""
+    found = rows.groupBy("id", F.size("vector").alias("width")).agg(F.min("vector").alias("vector"))
+    return found.select("id", "vector")
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of equally long arrays as rows of a matrix."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -49,7 +59,8 @@ def search_blocks(rows: DataFrame, is_query, search: Search, k: int, score_type:
 
     ``rows`` has id, vector and what ``search`` needs of both sides. ``search``
     yields (query ids, row ids, scores) of good candidates for a pair of blocks,
-    all k best of the block among them.
+    all k best of the block among them, besides the query itself. Ids are
+    unique among rows of one width (``one_per_id``).
     """
     total, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
