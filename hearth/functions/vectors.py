@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from hearth.functions.blocks import DISTANCE_DECIMALS
 from hearth.functions.text import as_column, bind, with_prefix
 
 EMBED_DIM = 64
+# vectors built at a time
+VECTOR_ROWS = 1024
 
 
 def l2_normalize(vector: Column | str) -> Column:
@@ -39,32 +43,41 @@ def relevance(distance: Column | str) -> Column:
     return F.round(F.lit(1.0) - as_column(distance), DISTANCE_DECIMALS)
 
 
-def hash_embed(text: Column | str, dim: int = EMBED_DIM, prefix: str = "") -> Column:
-    """Hashed token counts of a text as a unit vector.
+def bucket_vectors(dim: int) -> Callable[[Column], Column]:
+    """Arrays of bucket numbers to unit vectors of their counts, whose cost per token does not depend on ``dim``."""
 
-    The bucket numbers of all tokens are joined into one string, so that each
-    bucket is counted by native string search instead of a pass over an array
-    per token.
-    """
-    words = F.split(F.lower(with_prefix(prefix, text) if prefix else as_column(text)), r"[^\p{L}\p{N}]+")
-    words = F.array_remove(words, "")
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            parts = [_unit_counts(lists.slice(low, VECTOR_ROWS), dim) for low in range(0, len(lists), VECTOR_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    return run
 
-    def mark(bucket: Column) -> Column:
-        if dim <= 90:
-            return F.char(bucket + 33)
-        return F.concat(F.lit("<"), bucket.cast("string"), F.lit(">"))
 
-    def bucket_of(word: Column) -> Column:
-        return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dim))
+def _unit_counts(lists: pa.Array, dim: int) -> pa.Array:
+    sizes = pc.list_value_length(lists)
+    rows = np.repeat(np.arange(len(lists)), sizes.fill_null(0).to_numpy(zero_copy_only=False))
+    flat = rows * dim + lists.flatten().to_numpy(zero_copy_only=False)
+    counts = np.bincount(flat, minlength=len(lists) * dim).reshape(len(lists), dim).astype(np.float64)
+    norms = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+    unit = (counts / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+    ends = np.arange(len(lists) + 1, dtype=np.int32) * dim
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()), mask=sizes.is_null())
 
-    def counts(joined: Column) -> Column:
-        def count(bucket: Column) -> Column:
-            left = F.octet_length(F.replace(joined, mark(bucket), F.lit("")))
-            return (F.octet_length(joined) - left) / F.octet_length(mark(bucket))
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), count)
+def hash_embed(text: Column | str, dim: int = EMBED_DIM, prefix: str = "") -> Column:
+    """Hashed token counts of a text as a unit vector; null for a null text.
 
-    return l2_normalize(bind(F.array_join(F.transform(words, lambda w: mark(bucket_of(w))), ""), counts))
+    Tokens are cut and hashed natively; the bucket numbers of a batch of texts
+    are counted in one pass.
+    """
+    words = F.split(F.lower(with_prefix(prefix, text) if prefix else as_column(text)), r"[^\p{L}\p{N}]+")
+    buckets = F.transform(
+        F.array_remove(words, ""),
+        lambda word: F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"),
+    )
+    return bucket_vectors(dim)(buckets)
 
 
 def embed_with(load: Callable[[], Callable[[list[str]], np.ndarray]], text: Column | str, prefix: str = "") -> Column:

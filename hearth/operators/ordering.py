@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hearth.session import materialised, shuffle_width
+from hearth.session import shuffle_width
 
 # rows one window group may hold before it is split
 GROUP_SPAN = 100_000
+# keys looked at for each bound between ranges
+SAMPLED_KEYS = 20
 
 
 def with_next(
@@ -40,32 +45,49 @@ def with_next(
     )
 
 
-def with_dense_index(df: DataFrame, order_by: str, name: str = "index") -> DataFrame:
+def range_bounds(keys: DataFrame, key: str, ranges: int) -> list:
+    """At most ``ranges - 1`` keys that cut the distinct keys into ranges of about equal size.
+
+    They come from a sample of bounded size, chosen by a hash of the key: the
+    same on every run.
+    """
+    sample = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.xxhash64(F.first(key)).alias("_hash"))
+    sample = sample.orderBy("_hash", key).limit(SAMPLED_KEYS * ranges)
+    cuts = [r[0] for r in sample.orderBy(key).select(key).collect()]
+    places = sorted({len(cuts) * i // ranges for i in range(1, ranges)} - {0})
+    return [cuts[i] for i in places if i < len(cuts)]
+
+
+def range_of(key: Column, bounds: list, kind: T.DataType) -> Column:
+    """How many of the ascending ``bounds`` are not above the key, by bisection; null counts as below all."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*[F.lit(b) for b in bounds]).cast(T.ArrayType(kind))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        reached = F.coalesce(F.get(held, at + width - 1) <= key, F.lit(False))
+        return F.when(reached, at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_dense_index(df: DataFrame, order_by: str, name: str = "index", ranges: int | None = None) -> DataFrame:
     """Add a gap-free 0-based row number in ``order_by`` order, without a single-task sort.
 
-    Rows are range-partitioned and sorted, written with their place inside the
-    partition, and shifted by the row counts of the partitions before.
+    Bounds of ranges and the rows in each are found from the key column alone,
+    which a columnar scan reads by itself. Then the rows are shuffled once, to
+    their range, numbered there and shifted by the rows of the ranges before.
+    Rows of equal keys lie in one range, in any order; nulls come first.
     """
-    spark = df.sparkSession
-    placed = (
-        df.repartitionByRange(shuffle_width(spark), order_by)
-        .sortWithinPartitions(order_by)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    placed = materialised(placed, "dense-index")
-    # one row per partition: its number is the shuffle partition setting
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_part")
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_place") + F.col("_offset"))
-        .drop("_part", "_place", "_offset")
-    )
+    keys, kind = df.select(order_by), df.schema[order_by].dataType
+    bounds = range_bounds(keys, order_by, ranges or shuffle_width(df.sparkSession))
+    place = range_of(F.col(order_by), bounds, kind)
+    counts = {r["_range"]: r["count"] for r in keys.groupBy(place.alias("_range")).count().collect()}
+    before = list(accumulate((counts.get(i, 0) for i in range(len(bounds))), initial=0))
+    shift = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_range"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(order_by))
+    return df.withColumn("_range", place).withColumn(name, shift + number - 1).drop("_range")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

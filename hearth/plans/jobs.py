@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +14,14 @@ from hearth.functions.prompts import fallback_response, prompt_text
 from hearth.functions.safety import guard
 from hearth.functions.text import blank_tokens, with_prefix
 from hearth.functions.vectors import hash_embed
+from hearth.operators import metrics
 from hearth.operators.corpus import clean_corpus, dedup_corpus, infer_index_text, training_examples
 from hearth.operators.cells import CellIndex
 from hearth.operators.memory import memory_block, retrieve_memories
 from hearth.operators.nearest import nearest, with_content
 from hearth.operators.ordering import gather_lines, with_dense_index
 from hearth.session import materialised
-from hearth.sources.tables import scan_corpus_splits
+from hearth.sources.tables import load_emotion_pairs, scan_corpus_splits
 
 # ---- corpus and index ---------------------------------------------------------
 
@@ -85,6 +86,34 @@ def fit_classifier(corpus: DataFrame, features: int = 1 << 12, max_iter: int = 2
     return Pipeline(stages=stages).fit(corpus)
 
 
+def fit_bayes_classifier(corpus: DataFrame, words: int = 1 << 18, smoothing: float = 1.0) -> PipelineModel:
+    """Emotion classifier by multinomial naive Bayes over the ``words`` most frequent words.
+
+    Counts only, so that fitting is one pass for the words and one for the
+    labels, and the model is the same however rows are partitioned; bounded by
+    labels times words.
+    """
+    corpus = materialised(corpus.select("text", "emotion"), "training")
+    indexer = StringIndexer(inputCol="emotion", outputCol="label").fit(corpus)
+    stages = [
+        indexer,
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
+        CountVectorizer(inputCol="words", outputCol="features", vocabSize=words),
+        NaiveBayes(smoothing=smoothing),
+        IndexToString(inputCol="prediction", outputCol="raw_label", labels=indexer.labels),
+    ]
+    return Pipeline(stages=stages).fit(corpus)
+
+
+def save_classifier(model: PipelineModel, path: str) -> None:
+    """Store a fitted classifier; an existing one is an error."""
+    model.save(path)
+
+
+def load_classifier(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def classify(model: PipelineModel, texts: DataFrame) -> DataFrame:
     """Add ``predicted``: the model's label brought into the taxonomy."""
     keep = texts.columns
@@ -189,5 +218,17 @@ def evaluation_rows(
     )
 
 
+def emotion_report(pairs: DataFrame, model: PipelineModel, map_gold: bool = False, limit: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """Alignment of a fitted model's labels with the gold labels of a table ``(text, reference_emotion)``.
+
+    Gold labels are compared as they are, lower-cased, or brought into the
+    taxonomy as the model's are.
+    """
+    rows = load_emotion_pairs(pairs, limit, order_by).select("text", F.col("reference_emotion").alias("gold"))
+    if map_gold:
+        rows = rows.withColumn("gold", normalize_model_label("gold"))
+    return metrics.emotion_alignment(classify(model, rows), "gold", "predicted")
+
+
 def training_table(df: DataFrame) -> DataFrame:
     return with_split(training_examples(df))

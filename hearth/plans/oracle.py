@@ -315,16 +315,14 @@ GREEDY = with_ctes(
     "sims AS (SELECT c.row_id, c.pos AS a, r.pos AS b, list_dot_product(c.v, r.v) AS s FROM tok c JOIN tok r ON c.row_id = r.row_id AND c.cand AND NOT r.cand)",
 )
 
-ALIGNMENT = with_ctes(
-    """SELECT 'emotion_alignment' AS metric, round((SELECT avg((gold = pred)::INT) FROM emotions), 6) AS accuracy,
+ALIGNMENT_BODY = """SELECT 'emotion_alignment' AS metric, round((SELECT avg((gold = pred)::INT) FROM emotions), 6) AS accuracy,
     round(avg(p), 6) AS precision_macro, round(avg(r), 6) AS recall_macro,
     round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1_macro, (SELECT count(*) FROM emotions) AS samples
   FROM (SELECT label, coalesce(tp / nullif(n_pred, 0), 0) AS p, coalesce(tp / nullif(n_gold, 0), 0) AS r FROM (
     SELECT label, (SELECT count(*) FROM emotions WHERE gold = label AND pred = label) AS tp,
       (SELECT count(*) FROM emotions WHERE gold = label) AS n_gold, (SELECT count(*) FROM emotions WHERE pred = label) AS n_pred
-    FROM (SELECT gold AS label FROM emotions UNION SELECT pred FROM emotions)))""",
-    EMOTIONS,
-)
+    FROM (SELECT gold AS label FROM emotions UNION SELECT pred FROM emotions)))"""
+ALIGNMENT = with_ctes(ALIGNMENT_BODY, EMOTIONS)
 
 TOXICITY = with_ctes(
     """SELECT 'toxicity' AS metric, round(avg(raw), 6) AS avg_toxicity_raw, round(avg(post), 6) AS avg_toxicity_post,
@@ -404,6 +402,29 @@ KNN = with_ctes(f"SELECT * FROM {top('vectors', 'vectors', 5, 'q.id <> p.id')}",
 
 DERIVED = taxonomy(f"lower({token('context')})", C.CORPUS_SYNONYMS)
 
+SPLIT_BODY = f"""SELECT *, CASE WHEN ('0x' || substr(md5(text || '‖' || emotion), 1, 8))::BIGINT % 10 = 0 THEN 'valid' ELSE 'train' END AS split
+        FROM (SELECT DISTINCT {strip('text')} AS text, emotion FROM cleaned)"""
+
+
+def bayes(asked: str) -> list[str]:
+    """Multinomial naive Bayes with smoothing 1, fitted on the training split; ``guessed`` labels the distinct texts asked for."""
+    return [
+        f"split AS MATERIALIZED ({SPLIT_BODY})",
+        r"worded AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM split)",
+        "words AS MATERIALIZED (SELECT emotion, w, count(*) AS n FROM (SELECT emotion, unnest(ws) AS w FROM worded WHERE split = 'train') GROUP BY ALL)",
+        "known AS (SELECT w FROM words GROUP BY w)",
+        """classes AS MATERIALIZED (SELECT emotion, docs, ln(docs + 1) - ln(sum(docs) OVER () + count(*) OVER ()) AS prior, ln(coalesce(total, 0) + (SELECT count(*) FROM known)) AS norm
+          FROM (SELECT emotion, count(*) AS docs FROM split WHERE split = 'train' GROUP BY emotion) LEFT JOIN (SELECT emotion, sum(n) AS total FROM words GROUP BY emotion) USING (emotion))""",
+        f"asked AS MATERIALIZED (SELECT DISTINCT text, ws FROM worded WHERE {asked})",
+        "asked_words AS MATERIALIZED (SELECT text, w, count(*) AS k FROM (SELECT text, unnest(ws) AS w FROM asked) SEMI JOIN known USING (w) GROUP BY ALL)",
+        "sizes AS (SELECT text, sum(k) AS size FROM asked_words GROUP BY text)",
+        "gains AS (SELECT text, emotion, sum(k * ln(n + 1)) AS gain FROM asked_words JOIN words USING (w) GROUP BY ALL)",
+        """guessed AS MATERIALIZED (SELECT text, arg_max(emotion, place) AS predicted FROM (
+          SELECT a.text, c.emotion, (round(prior - coalesce(size, 0) * norm + coalesce(gain, 0), 9), docs, -row_number() OVER (ORDER BY c.emotion)) AS place
+          FROM asked a CROSS JOIN classes c LEFT JOIN sizes s ON s.text = a.text LEFT JOIN gains g ON g.text = a.text AND g.emotion = c.emotion) GROUP BY text)""",
+    ]
+
+
 ORACLE: dict[str, str] = {
     "scan_csv_tolerant": with_ctes("SELECT * FROM raw", RAW),
     "corpus_roundtrip": with_ctes("SELECT DISTINCT text, emotion FROM cleaned", RAW, CLEANED),
@@ -559,10 +580,12 @@ ORACLE: dict[str, str] = {
             SELECT DISTINCT {strip('text')} AS text, emotion FROM cleaned))""",
         RAW, CLEANED,
     ),
-    "train_valid_split": with_ctes(
-        f"""SELECT *, CASE WHEN ('0x' || substr(md5(text || '‖' || emotion), 1, 8))::BIGINT % 10 = 0 THEN 'valid' ELSE 'train' END AS split
-        FROM (SELECT DISTINCT {strip('text')} AS text, emotion FROM cleaned)""",
-        RAW, CLEANED,
+    "train_valid_split": with_ctes(SPLIT_BODY, RAW, CLEANED),
+    "classify_label_bayes": with_ctes("SELECT text, emotion, split, predicted FROM split JOIN guessed USING (text)", RAW, CLEANED, *bayes("TRUE")),
+    "emotion_alignment_predicted": with_ctes(
+        ALIGNMENT_BODY, RAW, CLEANED, *bayes("split = 'valid'"),
+        f"""emotions AS (SELECT emotion AS gold, predicted AS pred FROM split JOIN guessed USING (text)
+          WHERE split = 'valid' AND text NOT IN {in_list(C.MISSING_SPELLINGS)})""",
     ),
     "stream_memory_ingest": with_ctes(f"SELECT DISTINCT id, user_id, type, document, {SECONDS} AS created_at FROM (SELECT DISTINCT ON (id) * FROM repeated)", TURNS, MESSAGES, STREAMED),
     "stream_memory_stats": with_ctes(

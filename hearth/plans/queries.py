@@ -633,6 +633,31 @@ def classify_label(spark, folder):
     return jobs.classify(model, rows.select("text", "emotion", "split"))
 
 
+def _stored_classifier(spark, rows):
+    """The path of a classifier fitted on the training split."""
+    path = scratch_path(spark, "classifier")
+    jobs.save_classifier(jobs.fit_bayes_classifier(rows.filter("split = 'train'")), path)
+    return path
+
+
+@query
+def classify_label_bayes(spark, folder):
+    """Labels of the whole corpus by a stored model, read back."""
+    rows = jobs.training_table(_corpus(spark, folder))
+    model = jobs.load_classifier(_stored_classifier(spark, rows))
+    return jobs.classify(model, rows.select("text", "emotion", "split"))
+
+
+@query
+def emotion_alignment_predicted(spark, folder):
+    """Gold labels of a CSV file of unseen pairs against the labels a stored model predicts."""
+    rows = jobs.training_table(_corpus(spark, folder))
+    path = scratch_path(spark, "emotion-pairs")
+    tables.write_csv(rows.filter("split = 'valid'").select("text", F.col("emotion").alias("reference_emotion")), path)
+    model = jobs.load_classifier(_stored_classifier(spark, rows))
+    return _rounded(jobs.emotion_report(tables.scan_csv(spark, path, escape='"'), model))
+
+
 # ---- streams ------------------------------------------------------------------------------------------------
 
 

@@ -137,6 +137,25 @@ def test_dense_index(spark):
     assert [r["index"] for r in got] == list(range(1000))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_dense_index_of_repeated_and_missing_keys(spark, ranges):
+    rows = [(f"k{i % 37:02d}", i) for i in range(300)] + [(None, 300), (None, 301)] + [("k05", i) for i in range(400, 700)]
+    df = spark.createDataFrame(rows, "key string, n int").repartition(5)
+    got = O.with_dense_index(df, "key", ranges=ranges).orderBy("index").collect()
+    assert [r["index"] for r in got] == list(range(len(rows)))
+    assert [r.key for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+    assert sorted(r.n for r in got) == sorted(n for _, n in rows)
+    assert O.with_dense_index(df.limit(0), "key", ranges=ranges).count() == 0
+
+
+def test_dense_index_shuffles_texts_once_and_writes_nothing(spark, tmp_path):
+    spark.range(500).select("id", F.repeat(F.lit("x"), 50).alias("text")).write.parquet(f"{tmp_path}/t")
+    made = O.with_dense_index(spark.read.parquet(f"{tmp_path}/t"), "id")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and f"{tmp_path}/t" in plan
+    assert made.inputFiles()[0].startswith(f"file://{tmp_path}/t") or f"{tmp_path}/t" in made.inputFiles()[0]
+
+
 def test_preview(spark):
     df = spark.createDataFrame([("u", i, f"l{i}") for i in range(25)] + [("v", 1, "x")], "user_id string, o int, line string")
     got = {r.user_id: r for r in O.preview_with_overflow(df, "user_id", [F.col("o")], "line", 20).collect()}

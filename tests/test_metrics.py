@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearth.functions.overlap import lcs_length, porter_stem, tokens_13a
+from hearth.functions.labels import normalize_model_label
 from hearth.operators import metrics
+from hearth.plans import jobs
 
 
 def pairs(spark, rows):
@@ -165,3 +167,34 @@ def test_report_rows(spark):
     assert [tuple(r) for r in metric_report(report).collect()] == [("metric", "m"), ("samples", "3")]
 
 
+
+
+def test_labels_predicted_by_a_stored_model(spark, tmp_path):
+    """Counts of a small naive Bayes model against direct computation; gold labels as they are and mapped."""
+    rows = [("sun and joy", "joyful"), ("joy joy", "joyful"), ("rain and tears", "sad"), ("tears", "sad"), ("tears and rain", "sad")]
+    jobs.save_classifier(jobs.fit_bayes_classifier(spark.createDataFrame(rows, "text string, emotion string")), f"{tmp_path}/m")
+    model = jobs.load_classifier(f"{tmp_path}/m")
+    pairs = [("joy", "Joyful "), ("tears of rain", "sad"), ("unknown words", "happy"), (" ", "sad"), (None, "sad"), ("joy and joy", None), ("and", "sad")]
+    table = spark.createDataFrame(pairs, "text string, reference_emotion string")
+
+    def guess(text):
+        words = {w for t, _ in rows for w in t.split()}
+        scores = {}
+        for label in ("sad", "joyful"):  # the more frequent label wins a tie
+            own = [w for t, e in rows if e == label for w in t.split()]
+            n = sum(e == label for _, e in rows)
+            known = [w for w in text.split() if w in words]
+            scores[label] = math.log((n + 1) / (len(rows) + 2)) + sum(math.log((own.count(w) + 1) / (len(own) + len(words))) for w in known)
+        return max(scores, key=scores.get)
+
+    usable = [(t.strip(), g.strip().lower()) for t, g in pairs if t and t.strip() and g]
+    report = jobs.emotion_report(table, model).first()
+    assert report.samples == len(usable) == 4
+    assert report.accuracy == pytest.approx(sum(guess(t) == g for t, g in usable) / len(usable))
+    predicted = {r.text: r.predicted for r in jobs.classify(model, table.filter("trim(text) <> ''")).collect()}
+    assert predicted == {t: guess(t) for t in predicted}
+    # gold labels outside the taxonomy are brought into it
+    mapped = jobs.emotion_report(table, model, map_gold=True).first()
+    gold = {g: spark.range(1).select(normalize_model_label(F.lit(g))).first()[0] for _, g in usable}
+    assert mapped.accuracy == pytest.approx(sum(guess(t) == gold[g] for t, g in usable) / len(usable))
+    assert jobs.emotion_report(table, model, limit=2, order_by=["text"]).first().samples == 2

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,18 @@ def test_hash_embed(one, dim):
     assert set(one(vectors.hash_embed("x", dim), x="...")) == {0.0}
 
 
+def test_hash_embed_of_many_rows_and_nulls(spark, monkeypatch):
+    texts = [None, "", "a b", "b", "a a b"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r.id: r.v for r in df.select("id", vectors.hash_embed("text", 5).alias("v")).collect()}
+    for i, text in enumerate(texts):
+        assert (got[i] is None) if text is None else got[i] == got[i % 5] and len(got[i]) == 5
+    lists = pa.array([[0, 1, 1], None, [], [4]], pa.list_(pa.int32()))
+    assert vectors._unit_counts(lists, 5).to_pylist()[1:] == [None, [0.0] * 5, [0.0] * 4 + [1.0]]
+    # a slice that starts behind other rows
+    assert vectors._unit_counts(lists.slice(2), 5).to_pylist() == [[0.0] * 5, [0.0] * 4 + [1.0]]
+
+
 def test_embed_with_user_model(spark):
     def load():
         import numpy as np
