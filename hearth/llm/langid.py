@@ -6,9 +6,11 @@ are trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows, of up to ``PER_LANGUAGE`` expected rows of each language; one part
 of the sample is held out to fit the temperature of the softmax.
 
-A prediction is rejected where the text's subwords are strange to the language
-predicted. Their mean surprise in that language's sample is put in units of the
-deviation that held-out texts of its length show. The limit lies halfway between
+A prediction is rejected where the text's subwords are strange to all languages,
+so that a text of several learnt languages stays. A subword's surprise is the
+least that any language's sample gives it; the mean over the text is put in units
+of the deviation that held-out texts of its length show, in the language where
+it is least strange. The limit lies halfway between
 what ``COVERAGE`` of the held-out texts stay below and what all but
 ``STRANGERS`` of known strangers exceed: every held-out text judged as if its own
 language had not been learnt, and with its letters shuffled. Where the two
@@ -99,7 +101,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Scores and surprises of every bucket by language, the temperature's inverse, and what is usual.
+    """Scores of every bucket by language, its surprise, the temperature's inverse, and what is usual.
 
     ``usual`` holds for every language the mean surprise of a text and the two
     parts of its variance: between texts, and shrinking with the number of subwords.
@@ -112,21 +114,22 @@ class Model:
     usual: np.ndarray
     limit: float
 
-    def strangeness(self, best: int, mean: float, n: int) -> float:
-        centre, between, within = self.usual[best]
-        return float((mean - centre) / np.sqrt(between + within / n + 1e-12))
+    def strangeness(self, mean: float, n: int, but: int = -1) -> float:
+        """Deviations above what is usual in the language, other than ``but``, where the text is least strange."""
+        usual = np.delete(self.usual, but, axis=0) if but >= 0 else self.usual
+        return float(((mean - usual[:, 0]) / np.sqrt(usual[:, 1] + usual[:, 2] / n + 1e-12)).min())
 
     def predict(self, text: str) -> tuple[str, float, bool]:
-        total, odd, n = np.zeros(len(self.languages)), np.zeros(len(self.languages)), 0
+        total, odd, n = np.zeros(len(self.languages)), 0.0, 0
         for found in subword_slices(text):
             total += self.table[found].sum(axis=0)
-            odd += self.surprise[found].sum(axis=0)
+            odd += float(self.surprise[found].sum())
             n += len(found)
         if not n or not self.languages:
             return UNKNOWN, 0.0, False
         p = _softmax(total / n * self.sharpness)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), self.strangeness(best, odd[best] / n, n) <= self.limit
+        return self.languages[best], float(p[best]), self.strangeness(odd / n, n) <= self.limit
 
 
 def _usual(means: np.ndarray, sizes: np.ndarray) -> tuple[float, float, float]:
@@ -157,7 +160,7 @@ def train(rows: list[Row], seed: int = 7) -> Model:
     languages = sorted({r[0] for r in rows})
     n = 1 << BUCKET_BITS
     if not languages:
-        return Model([], np.zeros((n, 0)), np.zeros((n, 0)), 1.0, np.zeros((0, 3)), 0.0)
+        return Model([], np.zeros((n, 0)), np.zeros(n), 1.0, np.zeros((0, 3)), 0.0)
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (n, DIMENSIONS))
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
@@ -177,7 +180,8 @@ def train(rows: list[Row], seed: int = 7) -> Model:
     seen = np.full((n, len(languages)), SMOOTHING)
     for language, buckets, counts, *_ in used:
         seen[buckets, languages.index(language)] += counts
-    surprise = -np.log(seen / seen.sum(axis=0))
+    by_language = -np.log(seen / seen.sum(axis=0))
+    surprise = by_language.min(axis=1)
 
     def average(of: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return np.array([(c / c.sum()) @ of[b] for b, c in texts])
@@ -189,23 +193,17 @@ def train(rows: list[Row], seed: int = 7) -> Model:
     grid = 2.0 ** np.arange(-4, 6.5, 0.5)
     loss = [-np.log(_softmax(logits * s)[places, truth] + 1e-12).mean() for s in grid]
     odd = average(surprise, own)
-    usual = np.array([_usual(odd[truth == i, i], sizes[truth == i]) for i in range(len(languages))])
+    usual = np.array([_usual(odd[truth == i], sizes[truth == i]) for i in range(len(languages))])
     model = Model(languages, table, surprise, float(grid[int(np.argmin(loss))]), usual, 0.0)
 
-    def strangeness(scores: np.ndarray, odd: np.ndarray) -> np.ndarray:
-        best = scores.argmax(axis=1)
-        return np.array([model.strangeness(b, odd[i, b], sizes[i]) for i, b in enumerate(best)])
-
-    members = strangeness(logits, odd)[logits.argmax(axis=1) == truth]
-    strangers = []
+    members = [model.strangeness(odd[i], sizes[i]) for i in places[logits.argmax(axis=1) == truth]]
+    mixed = average(surprise, [(r[3], r[4]) for r in held])
+    strangers = [model.strangeness(mixed[i], sizes[i]) for i in places]
     if len(languages) > 1:
-        without = logits.copy()
-        without[places, truth] = -np.inf
-        strangers.append(strangeness(without, odd))
-    mixed = [(r[3], r[4]) for r in held]
-    strangers.append(strangeness(average(table, mixed), average(surprise, mixed)))
+        others = [np.delete(by_language, i, axis=1).min(axis=1) for i in range(len(languages))]
+        strangers += [model.strangeness((c / c.sum()) @ others[t][b], c.sum(), t) for t, (b, c) in zip(truth, own, strict=True)]
     high = float(np.quantile(members, COVERAGE)) if len(members) else 0.0
-    model.limit = max(high, (high + float(np.quantile(np.concatenate(strangers), STRANGERS))) / 2)
+    model.limit = max(high, (high + float(np.quantile(strangers, STRANGERS))) / 2)
     return model
 
 

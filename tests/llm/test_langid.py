@@ -105,3 +105,10 @@ def test_shuffled_keeps_places_and_letters():
 def test_one_language_and_one_row():
     model = langid.train([row("en", "hello world")])
     assert model.predict("hello world")[0] == "en" and model.predict("")[:2] == ("und", 0.0)
+
+
+def test_texts_of_several_learnt_languages_stay(corpus):
+    model = langid.train([row(*r) for r in corpus])
+    rng = random.Random(9)
+    mixed = [f"{prose(rng, a, 60)} {prose(rng, b, 40)}" for a in ALPHABETS for b in ALPHABETS for _ in range(10)]
+    assert np.mean([model.predict(t)[2] for t in mixed]) >= 0.99
