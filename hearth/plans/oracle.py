@@ -7,6 +7,7 @@ is ASCII-only there, and applied twice where two matches may share a border.
 from __future__ import annotations
 
 from hearth import constants as C
+from hearth.functions.overlap import IRREGULAR, STEP2, STEP3, STEP4
 
 BLANK = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LEXICON = ["idiot", "moron", "clown", "worthless"]
@@ -305,6 +306,82 @@ ROUGE_CTES = [
 ]
 ROUGE = with_ctes(ROUGE_BODY, TURNS, PAIRS, *ROUGE_CTES)
 
+
+def shape(x: str) -> str:
+    """One letter per character of a word: v for a vowel, c for a consonant; each round settles two of a run of y."""
+    consonants = "bcdfghjklmnpqrstvwxz0123456789"
+    x = f"translate({x}, '{consonants}aeiou', '{'c' * len(consonants)}vvvvv')"
+    for _ in range(4):
+        x = rf"replace(regexp_replace({x}, '(^|v)y', '\1c', 'g'), 'cy', 'cv')"
+    return x
+
+
+def measure(x: str) -> str:
+    return f"len(regexp_extract_all({shape(x)}, 'v+c+'))"
+
+
+def ends_cvc(x: str) -> str:
+    return f"((length({x}) > 2 AND {shape(x)} LIKE '%cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y')) OR {shape(x)} = 'vc')"
+
+
+def without(x: str, n: int) -> str:
+    return f"left({x}, -{n})"
+
+
+def swapped(table: list[tuple[str, str]], first: str = "") -> str:
+    """The first suffix of the table that a word has, exchanged where a syllable stays before it."""
+    found = [f"WHEN w LIKE '%{old}' THEN CASE WHEN {measure(without('w', len(old)))} > 0 THEN {without('w', len(old))} || '{new}' ELSE w END" for old, new in table]
+    return f"CASE {first} {' '.join(found)} ELSE w END"
+
+
+def stemming(source: str) -> list[str]:
+    """``stems`` (token, w): the Porter stems of the distinct tokens of ``source``, a rule after the other; irregular and short ones stay out of the rules."""
+    irregular = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in IRREGULAR.items())
+    double = f"length(w) > 1 AND right(w, 1) = substr(w, -2, 1) AND right({shape('w')}, 1) = 'c'"
+    dropped = [f"WHEN w LIKE '%{s}' THEN CASE WHEN {measure(without('w', len(s)))} > 1"
+               + (f" AND right({without('w', len(s))}, 1) IN ('s', 't')" if s == "ion" else "") + f" THEN {without('w', len(s))} ELSE w END" for s in STEP4]
+    vowel = f"contains({shape(without('w', 2))}, 'v')", f"contains({shape(without('w', 3))}, 'v')"
+    rules = [
+        f"CASE WHEN w LIKE '%ies' AND length(w) = 4 THEN {without('w', 1)} WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {without('w', 2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {without('w', 1)} ELSE w END",
+        # a mark shows where -ed or -ing went
+        f"""CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN {without('w', 1)} ELSE {without('w', 2)} END
+          WHEN w LIKE '%eed' THEN CASE WHEN {measure(without('w', 3))} > 0 THEN {without('w', 1)} ELSE w END
+          WHEN w LIKE '%ed' AND {vowel[0]} THEN '+' || {without('w', 2)} WHEN w LIKE '%ing' AND {vowel[1]} THEN '+' || {without('w', 3)} ELSE w END""",
+    ]
+    stages = ["distinct_tokens AS (SELECT DISTINCT token, token AS w FROM " + source + f" WHERE length(token) > 3 AND token NOT IN {in_list(IRREGULAR)})"]
+    after = f"""CASE WHEN NOT cut THEN w WHEN right(w, 2) IN ('at', 'bl', 'iz') THEN w || 'e'
+          WHEN {double} THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE {without('w', 1)} END
+          WHEN {measure('w')} = 1 AND {ends_cvc('w')} THEN w || 'e' ELSE w END"""
+    logi = f"WHEN w LIKE '%logi' THEN CASE WHEN {measure(without('w', 3))} > 0 THEN {without('w', 1)} ELSE w END"
+    rules += [
+        after,
+        f"CASE WHEN w LIKE '%y' AND length(w) > 2 AND right({shape(without('w', 1))}, 1) = 'c' THEN {without('w', 1)} || 'i' ELSE w END",
+        f"CASE WHEN w LIKE '%alli' AND {measure(without('w', 4))} > 0 THEN {without('w', 2)} ELSE w END",
+        swapped(STEP2, logi),
+        swapped(STEP3),
+        f"CASE {' '.join(dropped)} ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({measure(without('w', 1))} > 1 OR ({measure(without('w', 1))} = 1 AND NOT {ends_cvc(without('w', 1))})) THEN {without('w', 1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {measure(without('w', 1))} > 1 THEN {without('w', 1)} ELSE w END",
+    ]
+    previous = "distinct_tokens"
+    for i, rule in enumerate(rules):
+        inner = f"(SELECT token, ltrim(w, '+') AS w, w LIKE '+%' AS cut FROM {previous})" if rule is after else previous
+        stages.append(f"stage_{i} AS MATERIALIZED (SELECT token, {rule} AS w FROM {inner})")
+        previous = f"stage_{i}"
+    others = f"SELECT DISTINCT token, CASE WHEN length(token) <= 3 THEN token ELSE CASE token {irregular} END END FROM {source} WHERE length(token) <= 3 OR token IN {in_list(IRREGULAR)}"
+    return [*stages, f"stems AS MATERIALIZED (SELECT token, w FROM {previous} UNION ALL {others})"]
+
+
+STEMMED_CTES = [
+    ROUGE_CTES[0].replace("words AS (SELECT", "plain AS MATERIALIZED (SELECT row_id,"),
+    "tokens AS MATERIALIZED (SELECT row_id, side, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT row_id, 'a' AS side, a AS ws FROM plain UNION ALL SELECT row_id, 'b', b FROM plain))",
+    *stemming("tokens"),
+    "sides AS (SELECT row_id, list(w ORDER BY pos) FILTER (side = 'a') AS a, list(w ORDER BY pos) FILTER (side = 'b') AS b FROM tokens JOIN stems USING (token) GROUP BY row_id)",
+    "words AS (SELECT coalesce(s.a, []) AS a, coalesce(s.b, []) AS b FROM plain LEFT JOIN sides s USING (row_id))",
+    *ROUGE_CTES[1:],
+]
+ROUGE_STEMMED = with_ctes(ROUGE_BODY, TURNS, PAIRS, *STEMMED_CTES)
+
 GREEDY = with_ctes(
     """SELECT 'bertscore' AS metric, round(avg(p), 6) AS bertscore_precision, round(avg(r), 6) AS bertscore_recall,
     round(avg(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS bertscore_f1, count(*) AS samples, count(*) FILTER (row_id % 7 = 0) AS fallback_responses, 'hashed' AS model_type
@@ -392,7 +469,7 @@ REPORT = with_ctes(
     " UNION ALL ".join(
         f"SELECT '{metric}' AS metric, '{name}' AS name, round({name}::DOUBLE, 6) AS value FROM {source}" for metric, (source, names) in _LONG.items() for name in names
     ) + " UNION ALL SELECT unnest(['bleu', 'rougeL', 'toxicity']), 'fallback_responses', (SELECT count(*) FILTER (used_fallback) FROM pairs)::DOUBLE",
-    *EVALUATED_ALL, f"pairs AS MATERIALIZED ({EVALUATED})", *BLEU_CTES, *ROUGE_CTES,
+    *EVALUATED_ALL, f"pairs AS MATERIALIZED ({EVALUATED})", *BLEU_CTES, *STEMMED_CTES,
     f"bleu_report AS MATERIALIZED ({BLEU_BODY})", f"rouge_report AS MATERIALIZED ({ROUGE_BODY})",
     """toxicity_report AS (SELECT avg(toxic::INT) AS avg_toxicity_raw, 0 AS avg_toxicity_post, avg(toxic::INT) AS absolute_reduction,
       CASE WHEN avg(toxic::INT) > 0 THEN 100 ELSE 0 END AS percent_reduction, count(*) AS samples, count(*) FILTER (toxic) AS toxic_raw_count, 0 AS toxic_post_count FROM pairs)""",
@@ -569,6 +646,7 @@ ORACLE: dict[str, str] = {
     ),
     "bleu_corpus": BLEU,
     "rouge_l": ROUGE,
+    "rouge_l_stemmed": ROUGE_STEMMED,
     "greedy_match_score": GREEDY,
     "emotion_alignment": ALIGNMENT,
     "toxicity_reduction": TOXICITY,

@@ -596,10 +596,10 @@ def evaluation_run(spark, folder):
 
 @query
 def evaluation_report(spark, folder):
-    """Every column of the reports on the evaluation run's predictions: BLEU, ROUGE-L without stems, toxicity."""
+    """Every column of the reports on the evaluation run's predictions: BLEU, ROUGE-L over stems, toxicity."""
     rows = materialised(_evaluation_rows(spark, folder).select("pred", "ref", "used_fallback", "scores"), "predictions")
     used = "used_fallback"
-    reports = [metrics.bleu(rows, fallback=used), metrics.rouge_l(rows, stem=False, fallback=used), metrics.toxicity_reduction(rows, fallback=used)]
+    reports = [metrics.bleu(rows, fallback=used), metrics.rouge_l(rows, fallback=used), metrics.toxicity_reduction(rows, fallback=used)]
     parts = []
     for report in reports:
         names = [c for c in report.columns if c not in ("metric", "filter_applied")]

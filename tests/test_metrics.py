@@ -2,13 +2,16 @@ import math
 import random
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hearth.functions.overlap import lcs_length, porter_stem, tokens_13a
+from hearth.functions.overlap import IRREGULAR, STEP2, STEP3, STEP4, lcs_length, porter_stem, stems, tokens_13a
 from hearth.functions.labels import normalize_model_label
 from hearth.operators import metrics
 from hearth.plans import jobs
+from hearth.plans.oracle import stemming, with_ctes
 
 
 def pairs(spark, rows):
@@ -199,3 +202,14 @@ def test_labels_predicted_by_a_stored_model(spark, tmp_path):
     assert mapped.accuracy == pytest.approx(sum(guess(t) == gold[g] for t, g in usable) / len(usable))
     # a limit counts pairs without nulls, blank ones included, which go afterwards
     assert jobs.emotion_report(table, model, limit=3, order_by=["text"]).first().samples == 2
+
+
+def test_stems_equal_the_sql_rules():
+    """The rules of the stemmer, written once more as SQL, over made-up words with every suffix."""
+    rng = random.Random(4)
+    endings = ["", "s", "ed", "ing", "ied", "ies", "eed", "sses", "y", "e", "ll", *STEP4, *(old for old, _ in STEP2 + STEP3)]
+    words = {"".join(rng.choices("abcdeilnorstyvwx", k=rng.randint(1, 6))) + rng.choice(endings) + rng.choice(["", "s", "ed", "ly"]) for _ in range(5000)}
+    words = sorted(words | set(IRREGULAR) | {"yyyes", "toyyyed", "happily", "generalizations"})
+    con = duckdb.connect()
+    con.register("tokens", pa.table({"token": words}))
+    assert dict(con.execute(with_ctes("SELECT token, w FROM stems", *stemming("tokens"))).fetchall()) == dict(zip(words, stems(words)))
