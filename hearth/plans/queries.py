@@ -697,7 +697,8 @@ def stream_memory_stats(spark, folder):
 def stream_guard(spark, folder):
     out, state = scratch_path(spark, "guarded"), scratch_path(spark, "state")
     schema = views.table(spark, folder, "documents").schema
-    docs = streams.read_stream(spark, folder, schema, pathGlobFilter="documents.parquet")
+    # a pattern, since a stream's path must be a folder and the table may be one file or a folder of files
+    docs = streams.read_stream(spark, f"{folder}/document[s].parquet", schema)
     streams.guard_replies(docs, "text", out, state, words=views.TEST_LEXICON).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "toxic", "final_text")
 

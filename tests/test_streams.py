@@ -111,3 +111,15 @@ def test_twenty_batches_leave_a_bounded_number_of_versions(spark):
     listing = store.listing()
     assert listing.done[state][0] >= 19 and len(listing.live) <= 5
     assert store.read().count() == M.memory_records(turns).count()
+
+
+def test_guard_query_reads_a_table_of_several_files(spark):
+    """The documents may be one file or a folder of files."""
+    from hearth.plans.queries import QUERIES
+
+    folder = scratch_path(spark, "tables")
+    rows = [(1, "you clown", "en"), (2, "all is well", "en"), (3, None, None), (3, "all is well", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{folder}/labels.parquet")
+    got = sorted(map(str, (tuple(r) for r in QUERIES["stream_guard"](spark, folder).collect())))
+    assert got == sorted(map(str, [(1, True, C.REFUSAL), (2, False, "all is well"), (3, False, None), (3, False, "all is well")]))
