@@ -14,6 +14,13 @@ import pyarrow as pa
 DISTANCE_DECIMALS = 6
 # cells of the distance matrix held at a time
 CHUNK_CELLS = 1_000_000
+# queries and points of one tile of a search, points of the first one
+TILE = (1024, 4096)
+FIRST_POINTS = 512
+# single-precision candidates per hit beyond which a row is worked out in double precision
+MANY_PER_HIT = 32
+# candidates measured at a time
+EXACT_ROWS = 1 << 16
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -36,48 +43,114 @@ def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(gaps, 0.0), DISTANCE_DECIMALS)
 
 
-def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None, times: tuple[np.ndarray, np.ndarray] | None = None):
+def _smallest(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the k smallest numbers of every row, the first of equal ones; changes ``gaps``."""
+    rows, found = np.arange(len(gaps)), []
+    for _ in range(min(k, gaps.shape[1])):
+        at = gaps.argmin(axis=1)
+        found.append((rows, at, gaps[rows, at]))
+        gaps[rows, at] = np.inf
+    r, c, d = (np.concatenate(x) for x in zip(*found))
+    return r[d < np.inf], c[d < np.inf], d[d < np.inf]
+
+
+def _merge(best: np.ndarray, place: np.ndarray, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+    """Enter hits into the k best distances and columns of the rows they belong to."""
+    k = best.shape[1]
+    rows, at = np.unique(r, return_inverse=True)
+    every = np.concatenate((np.repeat(np.arange(len(rows)), k), at))
+    c, d = np.concatenate((place[rows].ravel(), c)), np.concatenate((best[rows].ravel(), d))
+    order = np.lexsort((c, d, every))
+    every = every[order]
+    order = order[np.arange(len(every)) - np.searchsorted(every, every) < k]
+    best[rows], place[rows] = d[order].reshape(-1, k), c[order].reshape(-1, k)
+
+
+def k_best(queries: np.ndarray, points: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None, times: tuple[np.ndarray, np.ndarray] | None = None,
+           tile: tuple[int, int] = TILE, within: np.ndarray | None = None):
     """Row, column and distance of the k nearest points of every query.
 
     ``points`` must be in id order: equal distances are then settled by column.
     ``same`` holds codes of the unique ids of both sides; equal ids are left out.
     ``times`` holds whole numbers of both sides; only points of a smaller one count.
+    ``within`` holds a distance per query that hits must not exceed.
+
+    The product is worked out tile by tile, which stay in a core's cache, in single
+    precision with a margin for its error; what lies within a query's k-th distance
+    so far is measured again in double precision. A row with many such points, as
+    many equal ones, is worked out in double precision as a whole.
     """
-    rows, cols, dists = [], [], []
+    if not len(queries) or not len(points) or k < 1:
+        return np.array([], int), np.array([], int), np.array([], float)
     query_squares, point_squares = (queries**2).sum(1), (points**2).sum(1)
-    doubled = np.ascontiguousarray(-2.0 * points.T)
+    largest = point_squares[np.isfinite(point_squares)].max(initial=0.0)
+    # a norm near the largest single number is left to double precision
+    single = max(largest, query_squares[np.isfinite(query_squares)].max(initial=0.0)) < 1e30
+    with np.errstate(over="ignore", invalid="ignore"):
+        left = np.column_stack((queries, np.ones(len(queries)))).astype(np.float32)
+        right = np.column_stack((-2.0 * points, point_squares)).astype(np.float32)
+        # rounding may turn a near miss into a tie, and single precision loses some bits of every term
+        margin = 2 * 10.0**-DISTANCE_DECIMALS + 2.0**-22 * (queries.shape[1] + 8) * (query_squares + largest)
     own = None
     if same is not None:
-        place = np.full(max(same[0].max(initial=-1), same[1].max(initial=-1)) + 1, -1)
-        place[same[1]] = np.arange(len(points))
-        own = place[same[0]]
-    step = max(1, CHUNK_CELLS // max(1, len(points)))
-    for start in range(0, len(queries), step):
-        # distance less the query's own square, which does not change the order in a row
-        part = queries[start : start + step] @ doubled
-        part += point_squares
-        if own is not None:
-            mine = own[start : start + step]
-            part[np.nonzero(mine >= 0)[0], mine[mine >= 0]] = np.inf
-        if times is not None:
-            part[times[1] >= times[0][start : start + step, None]] = np.inf
-        if k < len(points):
-            # rounding may turn a near miss into a tie, hence the margin
-            bound = np.partition(part, k - 1, axis=1)[:, k - 1] + 2 * 10.0**-DISTANCE_DECIMALS
-            r, c = np.divmod(np.flatnonzero(part <= bound[:, None]), part.shape[1])
-        else:
-            r, c = np.nonzero(part < np.inf)
-        d = part[r, c]
-        r, c, d = r[d < np.inf], c[d < np.inf], d[d < np.inf]
-        d = np.round(np.maximum(d + query_squares[start : start + step][r], 0.0), DISTANCE_DECIMALS)
-        order = np.lexsort((c, d, r))
-        r, c, d = r[order], c[order], d[order]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        rows.append(r[keep] + start)
-        cols.append(c[keep])
-        dists.append(d[keep])
-    if not rows:
-        return np.array([], int), np.array([], int), np.array([], float)
+        places = np.full(max(same[0].max(initial=-1), same[1].max(initial=-1)) + 1, -1)
+        places[same[1]] = np.arange(len(points))
+        own = places[same[0]]
+    # few points first, so that most of them are compared with a distance that is known
+    edges, step = [0], min(tile[1], FIRST_POINTS)
+    while edges[-1] < len(points):
+        edges.append(min(edges[-1] + step, len(points)))
+        step = min(tile[1], 2 * step)
+    rows, cols, dists = [], [], []
+    for low in range(0, len(queries), tile[0]):
+        part = slice(low, min(low + tile[0], len(queries)))
+        mine, q = np.arange(part.start, part.stop), query_squares[part]
+        best, place = np.full((len(mine), k), np.inf), np.full((len(mine), k), len(points))
+        limit = np.full(len(mine), np.inf) if within is None else within[part].astype(float)
+        for first, last in zip(edges, edges[1:]):
+            near = np.minimum(limit, best[:, -1])
+            known = np.isfinite(near) if single else np.zeros(len(mine), bool)
+
+            def excluded(gaps: np.ndarray, of: np.ndarray) -> np.ndarray:
+                if own is not None:
+                    at = own[mine[of]] - first
+                    inside = np.flatnonzero((at >= 0) & (at < last - first))
+                    gaps[inside, at[inside]] = np.inf
+                if times is not None:
+                    gaps[times[1][None, first:last] >= times[0][mine[of]][:, None]] = np.inf
+                return gaps
+
+            found, heavy = [], np.flatnonzero(~known)
+            if known.any():
+                with np.errstate(over="ignore", invalid="ignore"):
+                    gaps = excluded(left[part] @ right[first:last].T, np.arange(len(mine)))
+                    bound = np.where(known, near - q + margin[part], -np.inf)
+                r, c = np.divmod(np.flatnonzero(gaps <= bound[:, None].astype(np.float32)), last - first)
+                per_row = np.bincount(r, minlength=len(mine))
+                many = per_row > MANY_PER_HIT * k
+                if many.any():
+                    heavy = np.union1d(heavy, np.flatnonzero(many))
+                    r, c = r[~many[r]], c[~many[r]]
+                if len(r):
+                    dots = np.concatenate([
+                        np.einsum("ij,ij->i", queries[mine[r[x : x + EXACT_ROWS]]], points[first + c[x : x + EXACT_ROWS]]) for x in range(0, len(r), EXACT_ROWS)
+                    ])
+                    found.append((r, c, np.round(np.maximum(q[r] + point_squares[first + c] - 2.0 * dots, 0.0), DISTANCE_DECIMALS)))
+            if len(heavy):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    gaps = distances(queries[mine[heavy]], points[first:last])
+                gaps[np.isnan(gaps)] = np.inf
+                r, c, d = _smallest(excluded(gaps, heavy), k)
+                found.append((heavy[r], c, d))
+            if found:
+                r, c, d = (np.concatenate(x) for x in zip(*found))
+                keep = d <= near[r]
+                if keep.any():
+                    _merge(best, place, r[keep], c[keep] + first, d[keep])
+        r, j = np.nonzero(best < np.inf)
+        rows.append(mine[r])
+        cols.append(place[r, j])
+        dists.append(best[r, j])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 

@@ -6,8 +6,10 @@ smaller id. Three ways lead to the same exact answer:
 * few queries: their matrix is broadcast after its size has been checked, and
   the collection is streamed once without a shuffle;
 * many queries, or queries restricted to a key: both sides are cut into blocks,
-  a block pair is one small matrix product, and only the k best rows of each
-  pair leave the task. A key with very many rows is cut into several blocks;
+  a block pair is a few small matrix products, and only the k best rows of each
+  pair leave the task. A key with very many rows is cut into several blocks.
+  Blocks without a key are as large as memory allows, so that rows are copied to
+  few of them, but enough for all cores;
 * clustered (``cells``): k-means cells, where cells that cannot hold a closer row
   are left out by the triangle inequality.
 """
@@ -20,11 +22,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.blocks import CHUNK_CELLS, by_key, codes_of, k_best, matrix, with_vector
+from hearth.functions.blocks import CHUNK_CELLS, TILE, by_key, codes_of, k_best, matrix, with_vector
 from hearth.operators.ordering import top_per_group
 from hearth.session import parallelism
 
@@ -33,8 +35,11 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 64 << 20
 # rows of one key in one block: a busy key should give work to several tasks
 KEY_BLOCK_ROWS = 32_000
+# pairs of rows that are worth a task of their own (a second), and most of them in one task
+LEAST_PAIRS, MOST_PAIRS = 1 << 28, 1 << 34
 # most hot keys that are joined by broadcast
 HOT_KEYS_BROADCAST = 100_000
+BLOCK_KEYS = ["_bucket", "_lb", "_rb"]
 
 
 # ---- blocks --------------------------------------------------------------------
@@ -50,6 +55,22 @@ def _block_rows(df: DataFrame, vector: str, given: int | None, by: str | None) -
     return given or (min(fitting, KEY_BLOCK_ROWS) if by else fitting)
 
 
+def _tasks(spark: SparkSession, pairs: int) -> int:
+    """Tasks that so many pairs of rows are dealt to: some per core, more where one would have too many."""
+    return max(1, min(ceil(pairs / LEAST_PAIRS), 4 * parallelism(spark)), ceil(pairs / MOST_PAIRS))
+
+
+def _cuts(sizes: tuple[int, int], block_rows: int, tasks: int) -> tuple[int, int]:
+    """Blocks of either side: none of more than ``block_rows`` rows, and at least ``tasks`` pairs of blocks."""
+    cuts = [max(1, ceil(n / block_rows)) for n in sizes]
+    while cuts[0] * cuts[1] < tasks:
+        larger = 0 if sizes[0] / cuts[0] >= sizes[1] / cuts[1] else 1
+        if cuts[larger] >= sizes[larger]:
+            break
+        cuts[larger] += 1
+    return cuts[0], cuts[1]
+
+
 def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: list[str], by: str | None, block_rows: int):
     """Add ``_bucket, _lb, _rb`` to both sides, so that every pair that has to be
     compared meets in exactly one group, and no group holds much more than
@@ -58,13 +79,14 @@ def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: li
         return F.pmod(F.xxhash64(*names), n).cast("int")
 
     if by is None:
-        sizes = [left.count(), right.count()]
-        nl, nr = (max(1, ceil(n / block_rows)) for n in sizes)
+        sizes = left.count(), right.count()
+        nl, nr = _cuts(sizes, block_rows, _tasks(left.sparkSession, sizes[0] * sizes[1]))
         left = left.withColumn("_bucket", F.lit(0)).withColumn("_lb", hashed(left_id, F.lit(nl)))
         right = right.withColumn("_bucket", F.lit(0)).withColumn("_rb", hashed(right_id, F.lit(nr)))
         left = left.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
         right = right.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-        return left, right
+        # adaptive execution merges partitions by their bytes, but work goes with the pairs of rows
+        return (side.repartition(2 * nl * nr, *BLOCK_KEYS) for side in (left, right)) if nl * nr > 1 else (left, right)
 
     per_key = (
         left.groupBy(by).agg(F.count("*").alias("n_left"), F.lit(0).cast("long").alias("n_right"))
@@ -107,10 +129,9 @@ def _blocked(left: DataFrame, right: DataFrame, left_id: list[str], right_id: li
 
 
 def _grouped(left: DataFrame, right: DataFrame):
-    keys = ["_bucket", "_lb", "_rb"]
     # both sides may come from one table: give the right one column identities of its own
     right = right.toDF(*right.columns)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return left.groupBy(*BLOCK_KEYS).cogroup(right.groupBy(*BLOCK_KEYS))
 
 
 # ---- exact search ----------------------------------------------------------------
@@ -160,9 +181,8 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
                 continue
             order = np.argsort(batch.column(0).to_pandas().to_numpy(), kind="stable")
             names = batch.column(0).to_pandas().iloc[order].reset_index(drop=True)
-            r, c, d = k_best(asked, matrix(batch.column(1))[order], k, codes_of(ids, names) if skip_self else None)
-            near = d <= bound[r]
-            pending.append(pd.DataFrame({"q": r[near], "id": names.to_numpy()[c[near]], "d": d[near]}))
+            r, c, d = k_best(asked, matrix(batch.column(1))[order], k, codes_of(ids, names) if skip_self else None, within=bound)
+            pending.append(pd.DataFrame({"q": r, "id": names.to_numpy()[c], "d": d}))
             if sum(map(len, pending)) >= k * len(asked):
                 best = merged()
         best = merged()
@@ -176,7 +196,12 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, query_id: str, poin
                 names=["query_id", "id", "distance"],
             )
 
-    return best_hits(points.select(point_id, vector).mapInArrow(scan, schema), k)
+    scanned = points.select(point_id, vector)
+    tasks = _tasks(points.sparkSession, len(table) * points.count())
+    if tasks > 1 and scanned.rdd.getNumPartitions() < tasks:
+        # a table of few splits would leave most cores idle
+        scanned = scanned.repartition(tasks)
+    return best_hits(scanned.mapInArrow(scan, schema), k)
 
 
 def _moment(column: str, missing: int) -> F.Column:
@@ -184,13 +209,17 @@ def _moment(column: str, missing: int) -> F.Column:
 
 
 def blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by, block_rows, earlier=None) -> DataFrame:
-    """``queries`` may hold one row per (query, key); hits carry the query id only."""
+    """``queries`` may hold one row per (query, key); hits carry the query id only.
+
+    Without a key ``block_rows`` bounds a matrix product, not what a task holds.
+    """
     schema = _hit_schema(queries, points, query_id, point_id)
     extra = [by] if by else []
     limits = np.iinfo(np.int64)
     left = queries.select(query_id, vector, *extra, *([_moment(earlier[0], limits.min)] if earlier else []))
     right = points.select(point_id, vector, *extra, *([_moment(earlier[1], limits.max)] if earlier else []))
-    left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows, by))
+    left, right = _blocked(left, right, [query_id], [point_id], by, _block_rows(queries, vector, block_rows if by else None, by))
+    tile = TILE if by or not block_rows else (min(TILE[0], block_rows), min(TILE[1], block_rows))
 
     def search(ls: pa.Table, rs: pa.Table) -> pa.Table:
         ls, rs = with_vector(ls, 1), with_vector(rs, 1)
@@ -209,7 +238,7 @@ def blocked_search(queries, points, query_id, point_id, vector, k, skip_self, by
             for li, ri in groups:
                 if len(ri):
                     same = (codes[0][li], codes[1][ri]) if codes else None
-                    r, c, d = k_best(qs[li], ps[ri], k, same, (asked[li], known[ri]) if earlier else None)
+                    r, c, d = k_best(qs[li], ps[ri], k, same, (asked[li], known[ri]) if earlier else None, tile)
                     out.append((qid.to_numpy()[li[r]], pid.to_numpy()[ri[c]], d))
         q, p, d = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         names = ["query_id", "id", "distance"]

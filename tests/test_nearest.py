@@ -120,3 +120,47 @@ def test_many_batches_per_task(spark, data):
         assert answer(hits) == brute(data, data, 4, skip_self=True)
     finally:
         spark.conf.set(name, old)
+
+
+def test_blocks_follow_the_pairs_of_rows(spark):
+    """Some millions of pairs make one block, hundreds of millions several, whatever the rows of one product."""
+    from hearth.operators.nearest import _block_rows, _blocked
+
+    def blocks(n):
+        f = spark.range(n).selectExpr("id", "array(1f, 2f) AS embedding")
+        sides = _blocked(f, f, ["id"], ["id"], None, _block_rows(f, "embedding", None, None))
+        return [side.select("_lb", "_rb").distinct().count() for side in sides]
+
+    assert blocks(1000) == [1, 1]
+    several = blocks(20_000)
+    assert several[0] == several[1] >= 2
+
+
+def test_small_products_copy_no_rows(spark, monkeypatch):
+    """The rows of a matrix product do not decide how often rows are shuffled."""
+    seen, cut = [], N._blocked
+    monkeypatch.setattr(N, "_blocked", lambda *args: seen.append(args[-1]) or cut(*args))
+    f = spark.range(3000).selectExpr("id", "array(float(id), 2f) AS embedding")
+    got = answer(N.nearest(f, f, 2, "id", skip_self=True, broadcast_bytes=0, block_rows=100))
+    assert [r for r in got if r[0] == 1500] == [(1500, 1, 1499), (1500, 2, 1501)]
+    assert seen[0] >= 3000
+
+
+@pytest.mark.parametrize("tile", [(1024, 4096), (7, 5)])
+def test_kernel_against_sorting(tile):
+    """Many equal points, missing components, large numbers and given distances."""
+    from hearth.functions.blocks import distances, k_best
+
+    rng = np.random.default_rng(3)
+    for points in (rng.integers(0, 3, (700, 4)).astype(float), rng.normal(size=(700, 16)) * 1e4, np.ones((700, 3)), rng.normal(size=(700, 4)) * 1e17):
+        queries = points[rng.integers(0, 700, 50)] + 0.0
+        queries[3, 0], points[5, 1] = np.nan, np.nan
+        d = distances(queries, points)
+        within = np.where(np.arange(50) % 2 == 0, np.inf, 2.0)
+        d[np.isnan(d) | (d > within[:, None])] = np.inf
+        expected = [(i, j) for i in range(50) for j in np.argsort(d[i], kind="stable")[:6] if d[i, j] < np.inf]
+        r, c, found = k_best(queries, points, 6, None, tile=tile, within=within)
+        if points[0, 0] < 1e9 and points[0].size == 16:
+            assert np.allclose(found, [d[i, j] for i, j in expected], rtol=1e-9, atol=1e-5)
+        else:
+            assert list(zip(r, c)) == expected
