@@ -9,9 +9,10 @@ has the next shorter one). A context of one byte or more enters only if it was
 seen ``MIN_SEEN`` times, so the order varies with the data. The threshold is
 calibrated on URLs the counts never saw.
 
-The models are fitted on a bounded sample: of either kind ``PER_KIND`` distinct
-URLs of at most ``LONGEST`` bytes, least hash first, a fifth of them held out for
-the threshold. Every URL of the table is judged, whole.
+The models count all distinct URLs that a rule decides, whole, but a fifth, chosen
+by hash, that is held out and calibrates the threshold. Counting, scoring and
+the threshold are Spark jobs; only counts of contexts seen ``MIN_SEEN`` times
+reach the driver and the tasks.
 
 A null URL, or one without ``://``, has an empty host and path; its score is that
 of its bytes, a null's that of none. Where one kind has no URL to learn from
@@ -30,12 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import append_columns, bound_batches, raw
+from hearth.llm.common import append_columns, bound_batches
+from hearth.session import materialised, shuffle_width
 
 ORDER = 5
 MIN_SEEN = 3
-PER_KIND = 10_000
-LONGEST = 512
 HELD_OUT = 5
 
 # symbols: 0 stands before the first byte, 1 is the end, a byte is its value and 2
@@ -167,26 +167,71 @@ def calibrated(allowed: np.ndarray, blocked: np.ndarray) -> float:
     return float(cuts[best[np.argmax(gaps[best])]])
 
 
+def _model_counts(labelled: DataFrame) -> DataFrame:
+    """``count_codes`` without what the models leave out: of either kind, contexts seen less than MIN_SEEN times."""
+    counted = count_codes(labelled)
+    tag = F.shiftright("code", TAG)
+    low = F.shiftright(F.col("code").bitwiseAND(F.lit((1 << TAG) - 1)), BITS)
+    context = F.shiftleft(tag, TAG).bitwiseOR(low)
+    by = counted.withColumn("context", context)
+    totals = by.groupBy("context").agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
+    seen = [F.when((F.col(f"all_{kind}") >= MIN_SEEN) | (tag == 0), F.col(kind)).otherwise(F.lit(0)).alias(kind) for kind in ("allow", "block")]
+    return by.join(totals, "context").select("code", *seen).where("allow > 0 or block > 0")
+
+
+def _threshold(scored: DataFrame) -> float:
+    """``calibrated`` over all rows (score, kind): running counts range by range, of which only the sizes reach the driver."""
+    allow = F.count_if(F.col("kind") == "allow").alias("allow")
+    edges = scored.groupBy("score").agg(allow, F.count_if(F.col("kind") == "block").alias("block"))
+    edges = materialised(edges.repartitionByRange(shuffle_width(scored.sparkSession), "score").withColumn("range", F.spark_partition_id()), "scores")
+    sizes = edges.groupBy("range").agg(F.min("score"), F.max("score"), F.sum("allow"), F.sum("block")).orderBy("range").collect()
+    totals = sum(r[3] for r in sizes), sum(r[4] for r in sizes)
+    if not totals[0] or not totals[1]:
+        return 0.0
+    # of every range: the highest score before it, and how many of either kind have it or less
+    before, last, below = {}, None, (0, 0)
+    for number, _, most, allowed, blocked in sizes:
+        before[number] = (last, *below)
+        last, below = most, (below[0] + allowed, below[1] + blocked)
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("score").to_numpy())
+        score, allowed, blocked = (table.column(n).to_numpy()[order] for n in ("score", "allow", "block"))
+        least, n_allow, n_block = before[table.column("range")[0].as_py()]
+        lower = np.concatenate(([score[0] if least is None else least], score[:-1]))
+        # a cut below each score: accepted ones from there on are right, rejected ones below it
+        under = n_allow + np.cumsum(allowed) - allowed, n_block + np.cumsum(blocked) - blocked
+        right = 1 - under[0] / totals[0] + under[1] / totals[1]
+        gap, cut = score - lower, (score + lower) / 2
+        if least is None:
+            cut[0] = score[0] - 1
+        best = np.flatnonzero(right >= right.max() - 1e-12)
+        at = best[np.argmax(gap[best])]
+        return pa.table({"right": [float(right[at])], "gap": [float(gap[at])], "cut": [float(cut[at])]})
+
+    found = [tuple(r) for r in edges.groupBy("range").applyInArrow(run, "right double, gap double, cut double").collect()]
+    # and the cut above all scores
+    found.append((1.0, 0.0, last + 1))
+    most = max(r[0] for r in found)
+    near = sorted((r for r in found if r[0] >= most - 1e-12), key=lambda r: (-r[1], r[2]))
+    return float(near[0][2])
+
+
 def fit(ruled: DataFrame, url_col: str = "url") -> RatioModel | None:
-    """A model learnt from the rows of ``with_rule`` that a rule decides; None where a kind is missing."""
-    labelled = ruled.select(F.col(f"`{url_col}`").cast("binary").alias("url"), F.col("ruled").alias("kind")).where("kind is not null and octet_length(url) <= " + str(LONGEST))
-    # distinct first, so that an address repeated over and over takes one place; two bounded top-k scans
+    """A model learnt from all rows of ``with_rule`` that a rule decides; None where a kind is missing."""
+    labelled = ruled.select(F.col(f"`{url_col}`").cast("binary").alias("url"), F.col("ruled").alias("kind")).where("kind is not null and url is not null")
+    # distinct first, so that an address repeated over and over counts once
     distinct = labelled.groupBy("url", "kind").agg(F.lit(0).alias("_")).select("url", "kind", F.xxhash64("url").alias("hash"))
-    sample = None
-    for kind in ("allow", "block"):
-        part = distinct.where(F.col("kind") == kind).orderBy("hash", "url").limit(PER_KIND)
-        sample = part if sample is None else sample.unionByName(part)
-    rows = sample.toPandas()
-    held = rows["hash"].to_numpy() // 7 % HELD_OUT == 0
-    kept = rows[~held]
-    if set(kept["kind"]) != {"allow", "block"}:
+    # as a decimal, since a double loses the last digits of a hash
+    held = F.pmod(F.floor(F.col("hash").cast("decimal(20,0)") / 7), F.lit(HELD_OUT)) == 0
+    rows = materialised(distinct.withColumn("held", held), "urls")
+    if {r[0] for r in rows.where("not held").select("kind").distinct().collect()} != {"allow", "block"}:
         return None
-    spark = ruled.sparkSession
-    learnt = count_codes(spark.createDataFrame(kept[["url", "kind"]], "url binary, kind string")).toPandas()
-    model = RatioModel(*[learnt[c].to_numpy() for c in ("code", "allow", "block")])
-    scores = model.scores([bytes(u) for u in rows["url"][held]])
-    allowed = (rows["kind"][held] == "allow").to_numpy()
-    model.threshold = calibrated(scores[allowed], scores[~allowed])
+    learnt = _model_counts(rows.where("not held").select("url", "kind")).toArrow()
+    model = RatioModel(*[learnt.column(c).to_numpy() for c in ("code", "allow", "block")])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    scored = append_columns(rows.where("held").select("url", "kind"), "url", lambda urls: [pa.array(shared.value.scores(urls), pa.float64())], [("score", T.DoubleType())])
+    model.threshold = _threshold(scored.select("score", "kind"))
     return model
 
 
