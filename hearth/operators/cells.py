@@ -174,7 +174,8 @@ class CellIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, points: DataFrame, n_cells: int, seed: int = 42) -> "CellIndex":
-        """Centres over all points, then all points in their cells."""
+        """Centres over all points, then all points in their cells; vectors that are computed are computed once."""
+        points = materialised(points, "points")
         cells = fit_cells(points, n_cells, seed=seed)
         rows = [(i, c.tolist()) for i, c in enumerate(cells.centres)]
         self.spark.createDataFrame(rows, "cell int, centre array<double>").write.parquet(f"{self.path}/centres")

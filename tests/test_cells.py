@@ -85,3 +85,18 @@ def test_more_hits_wanted_than_a_cell_has(spark, stored):
 def test_bounded_centres():
     with pytest.raises(ValueError):
         K.Cells(np.broadcast_to(np.zeros(1), (1 << 20, 64)))
+
+
+def test_build_computes_vectors_once(spark):
+    """Fitting and storing read the vectors back, however often k-means goes over them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(n):
+        calls.add(1)
+        return [float(n % 7), float(n % 11)]
+
+    points = spark.range(200).repartition(2).select("id", counted("id").alias("embedding"))
+    index = K.CellIndex(spark, scratch_path(spark, "once")).build(points, 4)
+    assert calls.value == 200
+    assert index.rows().count() == 200
