@@ -1,8 +1,8 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling on Spark.
 
-Words are customers of context restaurants, one per last byte of the word before,
-which share one parent restaurant of words; that orders from a base that spells
-words byte by byte. The spelling is a hierarchy of its own: the restaurant of the
+Words are customers of context restaurants, one per word before (that of a first
+word is the end token), which share one parent restaurant of words; that orders
+from a base that spells words byte by byte. The spelling is a hierarchy of its own: the restaurant of the
 last n bytes orders from that of the last n - 1, so contexts with the same end
 share a parent, down to a uniform base over bytes. Everywhere the probability of
 a dish is (c - d t + (s + d T) base) / (s + C), with c of C customers at t of T
@@ -15,8 +15,9 @@ from the longest context up: the customers of every dish leave and are seated
 again one by one in a Chinese restaurant, joining a table or opening one in
 proportion to the parent's current probability; tables opened are the customers
 of the parent. Then probabilities are computed from the root down. Dishes of a
-level are seated side by side given the other dishes' tables of the last sweep,
-so nothing has to be gathered. Long queues of one dish are seated in groups of a
+level are seated side by side given the other dishes' tables of the last sweep.
+Pairs lie in the shard of their word, those of a very frequent word in several;
+the tables of a context are summed over all shards once in a sweep. Long queues of one dish are seated in groups of a
 sixteenth of those already seated, whose number of new tables is drawn at once, as a
 binomial number.
 Spelling restaurants serve each distinct word once. Discounts are estimated
@@ -30,11 +31,13 @@ alone. Repeated rows count as often as they occur; a null id is learnt from.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -48,11 +51,12 @@ BURN_IN = 1
 STRENGTH = 1.0
 END = b"\n"
 PAD = b" "
-FIRST = 0  # context of a first word
-CONTEXTS = 256
 WORD_SWEEPS = 2
 BUNDLE_BYTES = 12 << 20
-SHARDS_PER_SPLIT = 2
+SHARDS_PER_SPLIT = 6
+SHARDS_PER_OWNER = 4
+SPLIT = 1 << 17  # occurrences of a word beyond which its pairs lie in several shards
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -111,7 +115,7 @@ def seat(key: np.ndarray, customers: np.ndarray, base: np.ndarray, others: np.nd
 
 def _discount(df: DataFrame, count: Column) -> float:
     one, two = df.agg(F.count(F.when(count == 1, 1)), F.count(F.when(count == 2, 1))).first()
-    return float(min(0.95, max(0.05, (one + 0.5) / (one + 2 * two + 1))))
+    return _estimate(one, two)
 
 
 def _seated(df: DataFrame, discount: float, salt: int) -> DataFrame:
@@ -182,6 +186,7 @@ def spelling_model(counts: DataFrame) -> DataFrame:
         state: dict[int, DataFrame] = {}
         for level in range(ORDER + 1):
             state[level] = written(_with_base(seats[level], state.get(level - 1), level, discounts[level]), "state")
+        drop_written(*seats.values())
         return state
 
     state = downwards()
@@ -193,16 +198,19 @@ def spelling_model(counts: DataFrame) -> DataFrame:
                 served = seats[level + 1].groupBy(_shorter(level + 1).alias("key")).agg(F.sum("t").alias("c"))
                 old = old.drop("c").join(served, "key")
             seats[level] = written(_seated(old, discounts[level], sweep * (ORDER + 1) + level), "seats")
+        drop_written(*[df for df in state.values() if df not in samples])
         state = downwards()
         if sweep >= BURN_IN:
-            samples.append(state[ORDER].select("key", F.col("p").alias(f"p{len(samples)}")))
-    joined = samples[0]
-    for sample in samples[1:]:
+            samples.append(state[ORDER])
+    joined, *others = [sample.select("key", F.col("p").alias(f"p{i}")) for i, sample in enumerate(samples)]
+    for sample in others:
         joined = joined.join(sample, "key")
-    return written(joined.select("key", F.array(*[f"p{i}" for i in range(SAMPLES)]).alias("p")), "spelling")
+    model = written(joined.select("key", F.array(*[f"p{i}" for i in range(SAMPLES)]).alias("p")), "spelling")
+    drop_written(*state.values(), *samples)
+    return model
 
 
-WORDS = "shard long, word binary, c long, contexts array<int>, counts array<long>"
+VOCABULARY = "shard long, place long, word binary, c long, n long"
 
 
 def spelled(vocabulary: DataFrame, model: DataFrame) -> DataFrame:
@@ -228,7 +236,7 @@ def spelled(vocabulary: DataFrame, model: DataFrame) -> DataFrame:
         return table.append_column("base", _rows(total))
 
     asked = by.applyInArrow(ask, "shard long, key long").join(model, "key")
-    return by.cogroup(asked.groupBy("shard")).applyInArrow(answer, WORDS + ", base array<double>")
+    return by.cogroup(asked.groupBy("shard")).applyInArrow(answer, VOCABULARY + ", base array<double>")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,37 +252,102 @@ def _word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-class _Words:
-    """A batch of (word, c, contexts, counts, base, ...) in flat arrays."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.words = batch.column(0).to_pylist()
-        self.c = batch.column(1).to_numpy()
-        sizes, self.contexts = _lists(batch.column(2))
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-        self.counts = _lists(batch.column(3))[1]
-        self.log_base = _lists(batch.column(4))[1].reshape(-1, SAMPLES)
-
+WORDS = "shard long, word binary, c long, contexts array<long>, counts array<long>"
+STATE = "shard long, owner long, payload binary, stats array<double>"
+SEATED, SHARED = -1, -2  # owners of rows that hold a shard's seats, and its part of a word that lies in several shards
+STATS = 6
+
+
+class _Seats:
+    """The pairs of one shard, by word: customers and tables of every word after its contexts, and the words in the parent."""
+
+    def __init__(self, words: list[bytes], slots, base, sizes, contexts, counts):
+        self.words, self.slots, self.base, self.sizes, self.contexts, self.counts = words, slots, base, sizes, contexts, counts
+        self.tables = np.repeat(np.minimum(counts, 1)[:, None], SAMPLES, axis=1)
+        opened = np.bincount(self.of, counts > 0, len(words)).astype(np.int64)
+        self.up_c = np.repeat(opened[:, None], SAMPLES, axis=1)
+        self.up_t = np.minimum(self.up_c, 1)
+
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.words)), self.sizes)
+
+    def pack(self) -> bytes:
+        numbers = [self.slots, self.sizes, self.contexts, self.counts, *(x[:, s] for x in (self.tables, self.up_c, self.up_t) for s in range(SAMPLES))]
+        return pickle.dumps([zlib.compress(b" ".join(self.words), 1), self.base.tobytes(), *map(packed, numbers)])
+
+    @classmethod
+    def unpack(cls, payload: bytes) -> _Seats:
+        words, base, *numbers = pickle.loads(payload)
+        own, numbers = cls.__new__(cls), [unpacked(x) for x in numbers]
+        own.words, own.base = zlib.decompress(words).split(b" "), np.frombuffer(base).reshape(-1, SAMPLES)
+        own.slots, own.sizes, own.contexts, own.counts = numbers[:4]
+        own.tables, own.up_c, own.up_t = (np.stack(numbers[i : i + SAMPLES], axis=1) for i in range(4, 4 + 3 * SAMPLES, SAMPLES))
+        return own
+
+    def rows(self, shard: int, owners: int, stats: list[float], shared: dict[int, list[float]]) -> pa.Table:
+        """One row of the seats, one per word shared with other shards, and one per owner of contexts that asks for their totals."""
+        asked, place = np.unique(self.contexts, return_inverse=True)
+        sums = [np.bincount(place, x, len(asked)).astype(np.int64) for x in (self.counts, *self.tables.T)]
+        order, edges = _by_owner(asked, owners)
+        some = [o for o in range(owners) if edges[o] < edges[o + 1]]
+        parts = [order[edges[o] : edges[o + 1]] for o in some]
+        messages = [pickle.dumps([packed(np.diff(asked[p], prepend=0)), *(packed(x[p]) for x in sums)]) for p in parts]
+        numbers = [stats, *shared.values(), *[[]] * len(some)]
+        return pa.table({
+            "shard": pa.array([shard, *shared, *[shard] * len(some)], pa.int64()),
+            "owner": pa.array([SEATED, *[SHARED] * len(shared), *some], pa.int64()),
+            "payload": pa.array([self.pack(), *[None] * len(shared), *messages], pa.binary()),
+            "stats": pa.array([x + [0.0] * (STATS - len(x)) for x in numbers], pa.list_(pa.float64())),
+        })
 
-def _totals(seats: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of every context, customers and tables of the parent: one row per context and sample."""
+    def totals(self, replies: pa.Table, owners: int) -> np.ndarray:
+        """Customers of every pair's context and its tables per sample, from the owners' replies."""
+        asked, place = np.unique(self.contexts, return_inverse=True)
+        found = np.empty((len(asked), 1 + SAMPLES), np.int64)
+        numbers = zip(replies.column("owner").to_pylist(), replies.column("payload").to_pylist(), strict=True)
+        columns = [[unpacked(x) for x in pickle.loads(payload)] for _, payload in sorted(numbers)]
+        found[_by_owner(asked, owners)[0]] = np.stack([np.concatenate(x) for x in zip(*columns, strict=True)], axis=1)
+        return found[place]
+
+
+def _by_owner(contexts: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sorted contexts by owner, and where each owner's begin."""
+    owner = contexts % owners
+    order = np.argsort(owner, kind="stable")
+    return order, np.searchsorted(owner[order], np.arange(owners + 1))
+
+
+def _context_totals(state: DataFrame) -> DataFrame:
+    """(shard, owner, payload): customers and tables of the contexts a shard asked about, summed over all shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [[unpacked(x) for x in pickle.loads(payload)] for payload in table.column("payload").to_pylist()]
+        ids = [np.cumsum(x[0]) for x in asked]
+        known, place = np.unique(np.concatenate(ids), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate(x), len(known)).astype(np.int64) for x in list(zip(*asked, strict=True))[1:]]
+        ends = np.cumsum([len(x) for x in ids])[:-1]
+        replies = [pickle.dumps([packed(x[p]) for x in sums]) for p in np.split(place, ends)]
+        return pa.table([table.column("shard"), table.column("owner"), pa.array(replies, pa.binary())], names=["shard", "owner", "payload"])
+
+    return state.where("owner >= 0").select("owner", "shard", "payload").groupBy("owner").applyInArrow(run, "shard long, owner long, payload binary")
+
+
+def _stats(state: DataFrame, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all shards, and those of each word that several shards share."""
+    rows = state.where("owner < 0").groupBy(F.when(F.col("owner") == SHARED, F.col("shard")).alias("word")).agg(*[F.sum(F.col("stats")[i]) for i in range(STATS)]).collect()
+    own, each = np.zeros(STATS), np.zeros((shared, STATS))
+    for word, *sums in rows:
+        if word is None:
+            own = np.array(sums)
+        else:
+            each[word] = sums
+    return own, each
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CONTEXTS + 2, SAMPLES))
-        for batch in batches:
-            contexts = _lists(batch.column(0))[1]
-            tables = _lists(batch.column(1))[1].reshape(-1, SAMPLES)
-            for s in range(SAMPLES):
-                sums[:CONTEXTS, s] += np.bincount(contexts, tables[:, s], CONTEXTS)
-            for i in (2, 3):
-                sums[CONTEXTS + i - 2] += _lists(batch.column(i))[1].reshape(-1, SAMPLES).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 2)), *(pa.array(sums[:, s]) for s in range(SAMPLES))], ["place", *(f"s{s}" for s in range(SAMPLES))])
 
-    rows = seats.select("contexts", "tables", "up_c", "up_t").mapInArrow(run, "place long, " + ", ".join(f"s{s} double" for s in range(SAMPLES)))
-    out = np.zeros((CONTEXTS + 2, SAMPLES))
-    for row in rows.groupBy("place").agg(*[F.sum(f"s{s}") for s in range(SAMPLES)]).collect():
-        out[row[0]] = row[1:]
-    return out[:CONTEXTS], out[CONTEXTS], out[CONTEXTS + 1]
+def _estimate(one: float, two: float) -> float:
+    """Discount from how many counts are one and two."""
+    return float(min(0.95, max(0.05, (one + 0.5) / (one + 2 * two + 1))))
 
 
 def log_probability(counts, tables, c, t, log_base, customers, all_tables, up_c, up_t, d_pair: float, d_up: float) -> np.ndarray:
@@ -293,70 +366,100 @@ def log_probability(counts, tables, c, t, log_base, customers, all_tables, up_c,
 
 
 SCORES = ["base_score", "score", "known_base_score", "known_score"]
-COLUMNS = ["word", "c", "contexts", "counts", "base", "up_c", "up_t", "shard"]
+def _packed_words(table: pa.Table) -> _Seats:
+    sizes, contexts = _lists(table.column("contexts").combine_chunks())
+    counts, base = (_lists(table.column(name).combine_chunks())[1] for name in ("counts", "base"))
+    return _Seats(table.column("word").to_pylist(), np.arange(len(sizes)), base.reshape(-1, SAMPLES), sizes, contexts, counts)
+
+
+def first_rows(own: _Seats, shard: int, owners: int, split: dict[bytes, int]) -> pa.Table:
+    """Rows of STATE before the first sweep."""
+    shared = {split[w]: i for i, w in enumerate(own.words) if w in split}
+    opened = own.up_c[:, 0].copy()
+    parts = {j: [float(opened[i])] for j, i in shared.items()}
+    opened[list(shared.values())] = 0
+    few = [float((x == k).sum()) for x in (own.counts, opened) for k in (1, 2)]
+    return own.rows(shard, owners, [*few, float(opened.sum()), float((opened > 0).sum())], parts)
 
 
-def word_model(words: DataFrame) -> DataFrame:
-    """(shard, word, c, contexts, logp) from a written table (shard, word, c, contexts, counts, base), which is removed.
+def word_model(words: DataFrame, split: dict[bytes, list[float]] | None = None, owners: int = 1) -> DataFrame:
+    """(shard, contexts, logp), one row per shard and by word, from a written table that is removed.
 
-    logp holds, for each context, log10 of the word's predictive probability,
-    averaged over the samples.
+    That is (shard, word, c, contexts, counts, base), or the rows of STATE that
+    ``first_rows`` makes of these. ``split`` holds the base of each word whose pairs
+    lie in several shards. logp holds, for each word and context, log10 of the
+    word's predictive probability, averaged over the samples.
     """
-    first = F.filter("counts", lambda n: n > 0)
-    d_pair = _discount(words.select(F.explode("counts").alias("n")), F.col("n"))
-    d_up = _discount(words, F.size(first))
-    by_context = words.select(F.explode(F.arrays_zip("contexts", "counts")).alias("x")).groupBy("x.contexts").agg(F.sum("x.counts"), F.count(F.when(F.col("x.counts") > 0, 1))).collect()
-    customers, pair_tables = np.zeros(CONTEXTS), np.zeros((CONTEXTS, SAMPLES))
-    for context, n, opened in by_context:
-        customers[context] = n
-        pair_tables[context] = opened
-    row = words.agg(F.sum(F.size(first)), F.count(F.when(F.col("c") > 0, 1))).first()
-    up_c, up_t = np.full(SAMPLES, float(row[0] or 0)), np.full(SAMPLES, float(row[1] or 0))
-
-    def up_probability(c: np.ndarray, t: np.ndarray, base: np.ndarray, up_c: np.ndarray, up_t: np.ndarray) -> np.ndarray:
-        return (c - d_up * t + (STRENGTH + d_up * up_t) * base) / (STRENGTH + up_c)
-
-    seats = words.withColumn("up_c", F.transform("base", lambda x: F.size(first).cast("double"))).withColumn("up_t", F.transform("base", lambda x: F.least(F.size(first), F.lit(1)).cast("double")))
+    names = list(split or {})
+    index = {w: j for j, w in enumerate(names)}
+    shared_base = np.exp(np.array([split[w] for w in names], float).reshape(len(names), SAMPLES))
+    if "payload" not in words.columns:
+        rows = words
+        words = written(rows.groupBy("shard").applyInArrow(lambda t: first_rows(_packed_words(t), t.column("shard")[0].as_py(), owners, index), STATE), "seats")
+        drop_written(rows)
+
+    state = words
+    own, parts = _stats(state, len(names))
+    opened = parts[:, 0]
+    d_pair, d_up = _estimate(*own[:2]), _estimate(own[2] + (opened == 1).sum(), own[3] + (opened == 2).sum())
+    shared_c = np.repeat(opened[:, None], SAMPLES, axis=1)
+    shared_t = np.minimum(shared_c, 1)
+    up_c, up_t = (np.full(SAMPLES, own[i]) + x.sum(axis=0) for i, x in ((4, shared_c), (5, shared_t)))
+
+    def parents(seats: _Seats, shared_c: np.ndarray, shared_t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        """Customers and tables of the words in the parent, and which words are shared."""
+        c, t = seats.up_c.astype(float), seats.up_t.astype(float)
+        at = [i for i, w in enumerate(seats.words) if w in index] if index else []
+        which = [index[seats.words[i]] for i in at]
+        c[at], t[at] = shared_c[which], shared_t[which]
+        return c, t, at, which
+
     for sweep in range(WORD_SWEEPS):
 
-        def run(batches: Iterator[pa.RecordBatch], pair_tables=pair_tables, up_c=up_c, up_t=up_t, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = _Words(batch)
-                key = _word_hash(own.words)
-                pair_key = key[own.of] + own.contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                old_c, old_t = (_lists(batch.column(i))[1].reshape(-1, SAMPLES) for i in (5, 6))
-                base = np.exp(own.log_base)
-                above = up_probability(old_c, old_t, base, up_c, up_t)
-                tables, new_c, new_t = np.zeros((len(own.of), SAMPLES)), np.zeros_like(old_c), np.zeros_like(old_t)
-                for s in range(SAMPLES):
-                    salt = 1000 + 2 * (sweep * SAMPLES + s)
-                    others = np.maximum(0.0, pair_tables[own.contexts, s] - np.minimum(own.counts, 1))
-                    tables[:, s] = seat(pair_key, own.counts, above[own.of, s], others, d_pair, salt)
-                    new_c[:, s] = np.bincount(own.of, tables[:, s], len(key))
-                    new_t[:, s] = seat(key, new_c[:, s], base[:, s], np.maximum(0.0, up_t[s] - np.minimum(new_c[:, s], 1)), d_up, salt + 1)
-                flat = pa.ListArray.from_arrays(pa.array(batch.column(2).offsets.to_numpy() * SAMPLES, pa.int32()), pa.array(tables.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], _rows(new_c), _rows(new_t), batch.column(7), flat], [*COLUMNS, "tables"])
-
-        schema = "word binary, c long, contexts array<int>, counts array<long>, base array<double>, up_c array<double>, up_t array<double>, shard long, tables array<double>"
-        before = seats
-        seats = written(seats.select(*COLUMNS).mapInArrow(run, schema), "words")
+        def run(state: pa.Table, replies: pa.Table) -> pa.Table:
+            own, shard = _Seats.unpack(state.column("payload")[0].as_py()), state.column("shard")[0].as_py()
+            totals, of = own.totals(replies, owners), own.of
+            key = _word_hash(own.words)
+            pair_key = key[of] + (own.contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
+            old_c, old_t, at, which = parents(own, shared_c, shared_t)
+            base = np.exp(own.base)
+            above = (old_c - d_up * old_t + (STRENGTH + d_up * up_t) * base) / (STRENGTH + up_c)
+            for s in range(SAMPLES):
+                salt = 1000 + 2 * (sweep * SAMPLES + s)
+                others = np.maximum(0.0, totals[:, 1 + s] - np.minimum(own.counts, 1))
+                own.tables[:, s] = seat(pair_key, own.counts, above[of, s], others, d_pair, salt)
+                own.up_c[:, s] = np.bincount(of, own.tables[:, s], len(key))
+                own.up_t[:, s] = seat(key, own.up_c[:, s], base[:, s], np.maximum(0.0, up_t[s] - np.minimum(own.up_c[:, s], 1)), d_up, salt + 1)
+            parts = {j: own.up_c[i].astype(float).tolist() for i, j in zip(at, which, strict=True)}
+            own.up_c[at] = own.up_t[at] = 0
+            return own.rows(shard, owners, [*own.up_c.sum(axis=0).astype(float).tolist(), *own.up_t.sum(axis=0).astype(float).tolist()], parts)
+
+        before = state
+        state = written(before.where(F.col("owner") == SEATED).groupBy("shard").cogroup(_context_totals(before).groupBy("shard")).applyInArrow(run, STATE), "seats")
         drop_written(before)
-        pair_tables, up_c, up_t = _totals(seats)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = _Words(batch)
-            old_c, old_t = (_lists(batch.column(i))[1].reshape(-1, SAMPLES) for i in (5, 6))
-            tables = _lists(batch.column(8))[1].reshape(-1, SAMPLES)
-            logp = log_probability(own.counts, tables, old_c[own.of], old_t[own.of], own.log_base[own.of], customers[own.contexts], pair_tables[own.contexts], up_c, up_t, d_pair, d_up)
-            lists = pa.ListArray.from_arrays(pa.array(batch.column(2).offsets.to_numpy(), pa.int32()), pa.array(logp.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column(7), *batch.columns[:3], lists], ["shard", "word", "c", "contexts", "logp"])
+        own, parts = _stats(state, len(names))
+        shared_c = parts[:, :SAMPLES]
+        shared_t = np.zeros_like(shared_c)
+        for s in range(SAMPLES):
+            others = np.maximum(0.0, up_t[s] - np.minimum(shared_c[:, s], 1))
+            shared_t[:, s] = seat(_word_hash(names), shared_c[:, s], shared_base[:, s], others, d_up, 1001 + 2 * (sweep * SAMPLES + s))
+        up_c, up_t = own[:SAMPLES] + shared_c.sum(axis=0), own[SAMPLES : 2 * SAMPLES] + shared_t.sum(axis=0)
+
+    def predict(state: pa.Table, replies: pa.Table) -> pa.Table:
+        own, shard = _Seats.unpack(state.column("payload")[0].as_py()), state.column("shard")[0].as_py()
+        totals, of = own.totals(replies, owners), own.of
+        c, t, _, _ = parents(own, shared_c, shared_t)
+        logp = log_probability(own.counts, own.tables, c[of], t[of], own.base[of], totals[:, 0], totals[:, 1:], up_c, up_t, d_pair, d_up)
+        return pa.table({
+            "shard": pa.array([shard], pa.int64()), "contexts": pa.array([own.contexts]), "logp": pa.array([logp.astype(np.float32)]),
+        })
 
-    return seats.mapInArrow(predict, "shard long, word binary, c long, contexts array<int>, logp array<float>")
+    seats = state.where(F.col("owner") == SEATED).groupBy("shard")
+    return seats.cogroup(_context_totals(state).groupBy("shard")).applyInArrow(predict, "shard long, contexts array<long>, logp array<float>")
 
 
 class _Bundle:
-    """Documents of one task: their tokens as places among the distinct words, of which pairs are made and counted at the end."""
+    """Documents of one task: their tokens as places among the distinct words, ordered by hash at the end."""
 
     def __init__(self):
         self.known, self.rows, self.size = Places(), [], 0
@@ -367,50 +470,87 @@ class _Bundle:
         self.rows.append((key, learns, np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))))
         self.size += len(text)
 
-    def _pairs(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Last byte before and word of the distinct pairs, and every document's tokens as places among these."""
-        sizes = np.array([len(t) for *_, t in self.rows])
-        ends = np.cumsum(sizes)
-        tokens = np.concatenate([t for *_, t in self.rows])
-        before = np.fromiter((w[-1] for w in self.known), np.int64, len(self.known))[np.roll(tokens, 1)]
-        before[ends - sizes] = FIRST
-        pairs, places = np.unique(tokens << 8 | before, return_inverse=True)
-        return pairs & 255, pairs >> 8, np.split(places, ends[:-1])
-
     def emit(self, number: int, shards: int, id_type: pa.DataType) -> pa.RecordBatch:
-        """One row per document with its tokens, and one per shard with the pairs asked about and their counts."""
-        contexts, of, rows = self._pairs()
+        """One row per document with its tokens, and one per shard with the words asked about and their counts."""
         words = list(self.known)
-        shard = (_word_hash(words) % np.uint64(shards)).astype(np.int64)[of]
-        order = np.argsort(shard, kind="stable")
+        key = _word_hash(words)
+        order = _by_hash(words, key)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        keys, learns, _ = zip(*self.rows, strict=True)
-        learnt = [t for t, learn in zip(rows, learns, strict=True) if learn]
-        counts = np.bincount(np.concatenate(learnt), minlength=len(of)) if learnt else np.zeros(len(of), np.int64)
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        keys, learns, rows = zip(*self.rows, strict=True)
+        rows = [rank[t] for t in rows]
+        tokens, learnt = np.concatenate(rows), np.repeat(learns, [len(t) for t in rows])
+        counts, every = np.bincount(tokens, learnt, len(words)).astype(np.int64), np.bincount(tokens, minlength=len(words))
+        shard = _range(key[order], shards)
+        edges = np.searchsorted(shard, np.arange(shards + 1))
         some = [s for s in range(shards) if edges[s] < edges[s + 1]]
-        asked = [order[edges[s] : edges[s + 1]] for s in some]
-        byte = [bytes([b]) for b in range(CONTEXTS)]
-        named = [b" ".join([byte[c] + words[w] for c, w in zip(contexts[a].tolist(), of[a].tolist(), strict=True)]) for a in asked]
+        asked = [slice(edges[s], edges[s + 1]) for s in some]
+        named = [b" ".join([words[i] for i in order[a].tolist()]) for a in asked]
         n, m = len(keys), len(some)
         return pa.RecordBatch.from_arrays([
             pa.array([number] * (n + m), pa.int64()),
             pa.array([-1] * n + some, pa.int64()),
-            pa.array([*(packed(rank[t]) for t in rows), *(zlib.compress(x, 1) for x in named)], pa.binary()),
-            pa.array([b""] * n + [packed(counts[a]) for a in asked], pa.binary()),
+            pa.array([*map(packed, rows), *(zlib.compress(x, 1) for x in named)], pa.binary()),
+            pa.array([b""] * n + [pickle.dumps([packed(counts[a]), packed(every[a])]) for a in asked], pa.binary()),
             pa.array([*keys, *[None] * m], id_type),
             pa.array([*(not x for x in learns), *[False] * m], pa.bool_()),
         ], ["bundle", "shard", "payload", "counts", "id", "held_out"])
 
 
-def _looked_up(places: dict[bytes, int], payload: bytes) -> np.ndarray:
-    """Places of the pairs that a bundle asks about."""
-    pairs = zlib.decompress(payload).split(b" ")
-    return np.fromiter(map(places.__getitem__, pairs), np.int64, len(pairs))
+def _by_hash(words: list[bytes], key: np.ndarray) -> np.ndarray:
+    """Order of words by hash, words of one hash by their bytes."""
+    order = np.argsort(key, kind="stable")
+    if (np.diff(key[order]) == 0).any():
+        order = np.array(sorted(order.tolist(), key=lambda i: (key[i], words[i])), np.int64)
+    return order
+
+
+def _range(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a hash: shards are ranges of hashes."""
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Numbers:
+    """Where words numbered in the order of their hashes lie, and in how many shards the pairs of very frequent ones do."""
+
+    def __init__(self, sizes: list[int], split: list[tuple[int, int]]):
+        self.starts = np.append(0, np.cumsum(sizes))
+        self.total, self.shards = int(self.starts[-1]), len(sizes)
+        self.split, self.pieces = (np.array([x[i] for x in sorted(split)], np.int64) for i in (0, 1))
+
+    def shared(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are split, and their places among those."""
+        at = np.searchsorted(self.split, word)
+        found = np.flatnonzero(self.split[np.minimum(at, len(self.split) - 1)] == word) if len(self.split) else np.zeros(0, np.int64)
+        return found, at[found]
+
+    def shard(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        shard = np.searchsorted(self.starts, word, "right") - 1
+        at, which = self.shared(word)
+        mixed = (context[at].astype(np.uint64) * np.uint64(GOLDEN) >> np.uint64(33)).astype(np.int64)
+        shard[at] = (shard[at] + mixed % self.pieces[which]) % self.shards
+        return shard
+
+    def keys(self, shard: int, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """One number per pair of a shard: its own words by place, then those that are split."""
+        slot = word - self.starts[shard]
+        at, which = self.shared(word)
+        slot[at] = self.starts[shard + 1] - self.starts[shard] + which
+        return slot * self.total + context
+
+
+def _pairs(docs: pa.Table, replies: pa.Table, numbers: _Numbers) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a bundle's documents, numbers and counts of its words, its distinct pairs, and for each token its pair."""
+    replies = sorted(zip(replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True))
+    found = [(s, *map(unpacked, pickle.loads(payload))) for s, payload in replies]
+    ids, c = np.concatenate([numbers.starts[s] + places for s, places, _ in found]), np.concatenate([n for *_, n in found])
+    tokens = [unpacked(p) for p in docs.column("payload").to_pylist()]
+    each = np.concatenate(tokens)
+    pairs, place = np.unique(each * len(ids) + np.roll(each, 1), return_inverse=True)  # a document's first word follows an end
+    return tokens, ids, c, pairs, place
+
+
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", split_at: int = SPLIT) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, known_base_score, known_score) for every row of ``docs``.
 
     The model learns from the rows for which ``learns`` holds. base_score is that
@@ -419,12 +559,16 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     of its spelling, so they compare by the sums over learnt tokens alone.
 
     Texts are read once: a task keeps its documents as places among the distinct
-    pairs of context and word of a bundle. Pairs are sent to the shard of their
-    word, counted and scored there, and the scores come back bundle by bundle.
+    words of a bundle. Words are sent to the shard of their hash, counted and
+    numbered there; then the distinct pairs of a bundle, as numbers of context and
+    word, are sent to the shard of their word, counted and scored, and the scores
+    come back bundle by bundle. The pairs of a word that occurs more than
+    ``split_at`` times are dealt to several shards by context.
     """
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text"), F.coalesce(learns, F.lit(True)).alias("learns"))
     shards = SHARDS_PER_SPLIT * max(1, docs.rdd.getNumPartitions()) + 1
+    owners = shards // SHARDS_PER_OWNER + 1
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,57 +587,114 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     asked = rows.where("shard >= 0").select("bundle", "shard", "payload", "counts").groupBy("shard")
 
     def count(table: pa.Table) -> pa.Table:
-        known, places, numbers = Places(), [], []
-        for payload, counts in zip(table.column("payload").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            places.append(_looked_up(known, payload))
-            numbers.append(unpacked(counts))
-        n = np.bincount(np.concatenate(places), np.concatenate(numbers), len(known)).astype(np.int64)
-        words = Places()
-        of = np.fromiter((words[p[1:]] for p in known), np.int64, len(known))
-        contexts = np.fromiter((p[0] for p in known), np.int32, len(known))
-        order = np.argsort(of, kind="stable")
-        offsets = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(words)))), pa.int32())
+        """A row per word of the shard, and one per bundle with the places and counts of the words it asks about."""
+        known, places, counts = Places(), [], []
+        for payload, numbers in zip(table.column("payload").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            words = zlib.decompress(payload).split(b" ")
+            places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            counts.append([unpacked(x) for x in pickle.loads(numbers)])
+        words = list(known)
+        order = _by_hash(words, _word_hash(words))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        places = [rank[p] for p in places]
+        c, n = (np.bincount(np.concatenate(places), np.concatenate(x), len(words)).astype(np.int64) for x in zip(*counts, strict=True))
+        replies = [pickle.dumps([packed(p), packed(c[p])]) for p in places]
+        w, b = len(words), len(places)
+        return pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()] * (w + b), pa.int64()), "place": pa.array([*range(w), *[None] * b], pa.int64()),
+            "word": pa.array([*(words[i] for i in order.tolist()), *[None] * b], pa.binary()), "c": pa.array([*c.tolist(), *[None] * b], pa.int64()), "n": pa.array([*n.tolist(), *[None] * b], pa.int64()),
+            "bundle": pa.array([*[None] * w, *table.column("bundle").to_pylist()], pa.int64()), "payload": pa.array([*[None] * w, *replies], pa.binary()),
+        })
+
+    found = written(asked.applyInArrow(count, VOCABULARY + ", bundle long, payload binary"), "vocabulary")
+    vocabulary, replies = found.where("bundle IS NULL").select("shard", "place", "word", "c", "n"), found.where("bundle IS NOT NULL").select("bundle", "shard", "payload")
+    sizes, total, distinct = [0] * shards, 0, 0
+    for shard, n, c, learnt in vocabulary.groupBy("shard").agg(F.count("*"), F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).collect():
+        sizes[shard], total, distinct = n, total + c, distinct + learnt
+    starts = np.append(0, np.cumsum(sizes))
+    often = vocabulary.where(F.col("n") > split_at).select("shard", "place", "n").collect()
+    numbers = _Numbers(sizes, [(int(starts[r.shard]) + r.place, min(shards, r.n // split_at + 1)) for r in often])
+    kept = rows.where("shard < 0").select("bundle", "payload", "id", "held_out").groupBy("bundle")
+
+    def ask(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        tokens, ids, _, pairs, place = _pairs(docs, replies, numbers)
+        learnt = np.repeat(~docs.column("held_out").to_numpy(), [len(t) for t in tokens])
+        n = np.bincount(place, learnt, len(pairs)).astype(np.int64)
+        word, context = ids[pairs // len(ids)], ids[pairs % len(ids)]
+        shard = numbers.shard(word, context)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        some = [s for s in range(shards) if edges[s] < edges[s + 1]]
+        parts = [order[edges[s] : edges[s + 1]] for s in some]
         return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary()), "c": pa.array(np.bincount(of, n, len(words)).astype(np.int64)),
-            "contexts": pa.ListArray.from_arrays(offsets, pa.array(contexts[order])), "counts": pa.ListArray.from_arrays(offsets, pa.array(n[order])),
+            "bundle": pa.array([docs.column("bundle")[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some, pa.int64()),
+            "payload": pa.array([pickle.dumps([packed(np.diff(word[p], prepend=0)), packed(context[p])]) for p in parts], pa.binary()),
+            "counts": pa.array([packed(n[p]) for p in parts], pa.binary()),
         })
 
-    vocabulary = written(asked.applyInArrow(count, WORDS), "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    requests = written(kept.cogroup(replies.groupBy("bundle")).applyInArrow(ask, "bundle long, shard long, payload binary, counts binary"), "pairs")
     model = spelling_model(spelling_counts(vocabulary))
     bases = written(spelled(vocabulary, model), "spelled")
-    drop_written(vocabulary, model)
-    scored = word_model(bases)
+    drop_written(model)
+    split = [(r.word, list(r.base)) for r in bases.where(F.col("n") > split_at).orderBy("shard", "place").collect()]
+    index = {w: j for j, (w, _) in enumerate(split)}
     floor = float(total + distinct + 1)
 
-    def answer(requests: pa.Table, words: pa.Table) -> pa.Table:
-        sizes, contexts = _lists(words.column("contexts").combine_chunks())
-        of = np.repeat(np.arange(len(sizes)), sizes)
+    def looked_up(requests: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the distinct pairs of a shard, the place of every asked one, and where each bundle's end."""
+        shard = requests.column("shard")[0].as_py()
+        each = [map(unpacked, pickle.loads(payload)) for payload in requests.column("payload").to_pylist()]
+        asked = [numbers.keys(shard, np.cumsum(word), context) for word, context in each]
+        return *np.unique(np.concatenate(asked), return_inverse=True), np.cumsum([len(x) for x in asked])
+
+    def begin(requests: pa.Table, words: pa.Table) -> pa.Table:
+        if not requests.num_rows:
+            return pa.table({"shard": pa.array([], pa.int64()), "owner": pa.array([], pa.int64()), "payload": pa.array([], pa.binary()), "stats": pa.array([], pa.list_(pa.float64()))})
+        shard = requests.column("shard")[0].as_py()
+        keys, place, _ = looked_up(requests)
+        counts = np.bincount(place, np.concatenate([unpacked(x) for x in requests.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+        slots, sizes = np.unique(keys // numbers.total, return_counts=True)
+        order = np.argsort(words.column("place").to_numpy())
         names = words.column("word").to_pylist()
-        byte = [bytes([b]) for b in range(CONTEXTS)]
-        place = {byte[u] + names[w]: i for i, (u, w) in enumerate(zip(contexts.tolist(), of.tolist(), strict=True))}
-        c, logp = words.column("c").to_numpy()[of], _lists(words.column("logp").combine_chunks())[1]
-        found = [_looked_up(place, payload) for payload in requests.column("payload").to_pylist()]
-        return pa.table({
-            "bundle": requests.column("bundle"), "shard": requests.column("shard"),
-            "c": pa.array([packed(c[f]) for f in found], pa.binary()), "logp": pa.array([logp[f].astype("<f4").tobytes() for f in found], pa.binary()),
-        })
-
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("shard").to_numpy()).tolist()
-        parts, scores = answers.column("c").to_pylist(), answers.column("logp").to_pylist()
-        c = np.concatenate([unpacked(parts[i]) for i in order])
-        logp = np.frombuffer(b"".join([scores[i] for i in order]), "<f4").astype(float)
-        base = np.log10((c + 1) / floor)
-        tokens = [unpacked(p) for p in table.column("payload").to_pylist()]
-        each = [c > 0, base, logp, np.where(c > 0, base, 0.0), np.where(c > 0, logp, 0.0)]
-        sums = [pa.array([len(t) for t in tokens], pa.int64()), *(pa.array([x[t].sum().item() for t in tokens], pa.int64() if x.dtype == bool else pa.float64()) for x in each)]
-        return pa.table([table.column("id"), table.column("held_out"), *sums], names=["id", "held_out", "n_tokens", "n_known", *SCORES])
-
-    answers = asked.cogroup(scored.groupBy("shard")).applyInArrow(answer, "bundle long, shard long, c binary, logp binary")
-    kept = rows.where("shard < 0").select("bundle", "payload", "id", "held_out").groupBy("bundle")
+        base = _lists(words.column("base").combine_chunks())[1].reshape(-1, SAMPLES)[order] if names else np.zeros((0, SAMPLES))
+        names = [*(names[i] for i in order.tolist()), *(w for w, _ in split)]
+        base = np.concatenate([base, np.array([b for _, b in split], float).reshape(-1, SAMPLES)])
+        own = _Seats([names[i] for i in slots.tolist()], slots, base[slots], sizes, keys % numbers.total, counts)
+        return first_rows(own, shard, owners, index)
+
+    first = written(requests.groupBy("shard").cogroup(bases.groupBy("shard")).applyInArrow(begin, STATE), "seats")
+    drop_written(bases)
+    predicted = word_model(first, dict(split), owners)
+    scored = written(predicted.select("shard", "logp"), "scored")
+    drop_written(predicted)
+
+    def answer(requests: pa.Table, scored: pa.Table) -> pa.Table:
+        _, place, ends = looked_up(requests)
+        logp = _lists(scored.column("logp").combine_chunks())[1].astype("<f4")
+        found = [x.tobytes() for x in np.split(logp[place], ends[:-1])]
+        return pa.table({"bundle": requests.column("bundle"), "shard": requests.column("shard"), "word": pa.array([False] * len(found)), "payload": pa.array(found, pa.binary())})
+
+    def finish(docs: pa.Table, table: pa.Table) -> pa.Table:
+        words = table.column("word")
+        tokens, ids, c, pairs, place = _pairs(docs, table.filter(words), numbers)
+        answers = table.filter(pc.invert(words))
+        parts = sorted(zip(answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+        order = np.argsort(numbers.shard(ids[pairs // len(ids)], ids[pairs % len(ids)]), kind="stable")
+        logp = np.empty(len(pairs))
+        logp[order] = np.frombuffer(b"".join([x for _, x in parts]), "<f4")
+        base, each = np.log10((c + 1) / floor), np.concatenate(tokens)
+        known, logp = c[each] > 0, logp[place]
+        base = base[each]
+        starts = np.cumsum([0, *(len(t) for t in tokens[:-1])])
+        sums = [pa.array(np.add.reduceat(x, starts)) for x in (np.ones(len(each), np.int64), known.astype(np.int64), base, logp, np.where(known, base, 0.0), np.where(known, logp, 0.0))]
+        return pa.table([docs.column("id"), docs.column("held_out"), *sums], names=["id", "held_out", "n_tokens", "n_known", *SCORES])
+
+    answers = written(requests.select("bundle", "shard", "payload").groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(answer, "bundle long, shard long, word boolean, payload binary"), "answers")
+    drop_written(requests, scored)
+    both = answers.unionByName(replies.withColumn("word", F.lit(True)))
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, " + ", ".join(f"{name} double" for name in SCORES)
-    found = kept.cogroup(answers.groupBy("bundle")).applyInArrow(finish, schema)
+    found = kept.cogroup(both.groupBy("bundle")).applyInArrow(finish, schema)
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), *SCORES)
 
 

@@ -88,7 +88,8 @@ def spell_plainly(learnt):
 
 def score_plainly(texts):
     tokens = {key: [*(text or "").lower().encode().split(), P.END] for key, text, _ in texts}
-    pairs = {key: [(b[-1] if b else 0, w) for b, w in zip([b"", *own], own)] for key, own in tokens.items()}
+    pairs = {key: list(zip([P.END, *own], own)) for key, own in tokens.items()}
+    number = {w: i for i, w in enumerate(sorted({w for own in tokens.values() for w in own}, key=lambda w: (xxhash.xxh3_64_intdigest(w), w)))}
     asked = {p for own in pairs.values() for p in own}
     counts = Counter(p for key, _, learns in texts if learns for p in pairs[key])
     learnt = {w: sum(n for (_, v), n in counts.items() if v == w) for _, w in asked}
@@ -115,7 +116,7 @@ def score_plainly(texts):
             tables = {}
             for u, w in asked:
                 n = counts[u, w]
-                key = (xxhash.xxh3_64_intdigest(w) + u * 0x9E3779B97F4A7C15) % 2**64
+                key = (xxhash.xxh3_64_intdigest(w) + (number[u] + 1) * 0x9E3779B97F4A7C15) % 2**64
                 tables[u, w] = seat_one(key, n, above(w), max(0, all_t[u] - min(n, 1)), d_pair, salt)
             served = Counter()
             for (_, w), t in tables.items():
@@ -141,6 +142,25 @@ def test_scores_equal_a_plain_model(spark, copies):
         assert math.isclose(row.score, expected[row.doc_id], rel_tol=1e-5), row
 
 
+@pytest.mark.parametrize("split_at", [1, 3])
+def test_frequent_words_may_lie_in_several_shards(spark, split_at):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string, learns boolean").repartition(3)
+    expected = score_plainly(TEXTS)
+    found = P.score(docs, F.col("learns"), split_at=split_at).collect()
+    assert len(found) == len(TEXTS)
+    for row in found:
+        assert math.isclose(row.score, expected[row.doc_id], rel_tol=1e-5), row
+
+
+def test_the_word_before_counts_not_its_last_byte(spark):
+    """Learnt after "lime" and not after "cube": words that end in the same byte are different contexts."""
+    learnt = [(k, "a lime tart and a cube root", True) for k in range(20)]
+    docs = spark.createDataFrame([*learnt, (100, "a lime tart", False), (101, "a cube tart", False)], "doc_id long, text string, learns boolean")
+    score = {r.doc_id: r.score for r in P.score(docs, F.col("learns")).collect()}
+    after_a = {r.doc_id: r.score for r in P.score(docs.where("doc_id < 100").union(spark.createDataFrame([(100, "a lime", False), (101, "a cube", False)], docs.schema)), F.col("learns")).collect()}
+    assert (score[100] - after_a[100]) - (score[101] - after_a[101]) > 1  # of tart and the end after it
+
+
 def test_unknown_words_are_spelled(spark):
     long = "".join(chr(97 + i * i % 26) for i in range(40_000))
     asked = [(10, "the dog", False), (11, "the qzx", False), (12, f"the {long}", False), (13, "the catdog", False)]
