@@ -32,8 +32,8 @@ alone. Repeated rows count as often as they occur; a null id is learnt from.
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.common import Places, bound_batches, drop_written, packed, raw, unpacked, written
+from hearth.llm.common import bound_batches, drop_written, raw, written
 
 ORDER = 4  # bytes of context in the longest spelling restaurant
 SAMPLES = 2
@@ -57,59 +57,122 @@ SHARDS_PER_SPLIT = 6
 SHARDS_PER_OWNER = 4
 SPLIT = 1 << 17  # occurrences of a word beyond which its pairs lie in several shards
 GOLDEN = 0x9E3779B97F4A7C15
+CODEC = "zstd"
+SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, byte plane by byte plane, compressed together."""
+    shapes, planes = [], []
+    for x in columns:
+        width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        shapes.append((width, len(x)))
+        planes.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return pickle.dumps((shapes, pa.compress(b"".join(planes), CODEC, asbytes=True)))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    shapes, body = pickle.loads(data)
+    planes = np.frombuffer(pa.decompress(body, sum(w * n for w, n in shapes), CODEC, asbytes=True), np.uint8)
+    columns, at = [], 0
+    for width, n in shapes:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :width] = planes[at : at + width * n].reshape(width, n).T
+        columns.append(out.view("<i8").ravel())
+        at += width * n
+    return columns
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers from 0 on, sorted, and the place of each value among them.
+
+    A value and its position are sorted as one number where they fit in one, which
+    is several times as fast as sorting positions by value.
+    """
+    bits = len(values).bit_length()
+    if not len(values) or int(values.max()) >> (63 - bits):
+        return np.unique(values, return_inverse=True)
+    both = np.sort((values << bits) | np.arange(len(values)))
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    first = np.append(True, both[1:] != both[:-1])
+    place = np.empty(len(values), np.int64)
+    place[at] = np.cumsum(first) - 1
+    return both[first], place
+
+
+def _grouped(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their groups, and where each group begins."""
+    order = np.argsort(group.astype(np.min_scalar_type(groups)), kind="stable")  # short numbers are sorted by counting
+    return order, np.append(0, np.cumsum(np.bincount(group, minlength=groups)))
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
     """Uniform numbers in (0, 1) from a hash of the key and a salt."""
-    x = key.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = key.astype(np.uint64)
+    x += np.uint64((salt * GOLDEN) & (2**64 - 1))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2**53
+    x >>= np.uint64(11)
+    return (x.astype(float) + 0.5) / 2**53
 
 
-def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many of n events of probability p happen: by inversion where few do, else by the normal approximation."""
+def _binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray, other: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How many of n events of probability p happen: by inversion where few do, else by the normal approximation.
+
+    ``other`` gives a second draw for the places where that is needed.
+    """
     p = np.minimum(p, 1 - 1e-12)
-    noise = np.sqrt(-2 * np.log(draw)) * np.cos(2 * np.pi * other)
-    found = np.clip(np.round(n * p + noise * np.sqrt(n * p * (1 - p))), 0, n)
-    few = np.flatnonzero(n * p < 8)
-    found[few] = 0
-    chance = (1 - p[few]) ** n[few]
-    below, k = chance.copy(), 0
+    mean = n * p
+    found = np.zeros(len(n))
+    many = np.flatnonzero(mean >= 8)
+    if len(many):
+        noise = np.sqrt(-2 * np.log(draw[many])) * np.cos(2 * np.pi * other(many))
+        found[many] = np.clip(np.round(mean[many] + noise * np.sqrt(mean[many] * (1 - p[many]))), 0, n[many])
+    few = np.flatnonzero(mean < 8)
+    n, p, draw = n[few], p[few], draw[few]
+    chance = (1 - p) ** n
+    below, k = chance, 0
     while True:
-        more = (draw[few] > below) & (k < n[few])
-        few, chance, below = few[more], chance[more], below[more]
-        if not len(few):
+        more = np.flatnonzero((draw > below) & (k < n))
+        if not len(more):
             return found
+        few, n, p, draw, chance, below = (x[more] for x in (few, n, p, draw, chance, below))
         found[few] += 1
-        chance = chance * (n[few] - k) / (k + 1) * p[few] / (1 - p[few])
+        chance = chance * (n - k) / (k + 1) * p / (1 - p)
         below, k = below + chance, k + 1
 
 
-def seat(key: np.ndarray, customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, salt: int) -> np.ndarray:
+def seat(key: np.ndarray, customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, salt: int | np.ndarray) -> np.ndarray:
     """Tables of each dish after all its customers have been seated anew.
 
     ``base`` is the parent's probability of the dish, ``others`` the tables of all
-    other dishes of the restaurant.
+    other dishes of the restaurant. ``salt`` is one for all dishes or one of each.
+    Longest queues come first, so that those not yet at their end are a slice.
     """
     tables = np.minimum(customers, 1).astype(float)
     rows = np.flatnonzero(customers > 1)
-    seated = step = 1
-    while len(rows):
-        group = np.minimum(max(1, seated // 16), customers[rows] - seated)
-        t = tables[rows]
-        fresh = (STRENGTH + discount * (others[rows] + t)) * base[rows]
-        share = fresh / (fresh + seated + (group - 1) / 2 - discount * t)  # that of the group's middle
-        draw = _uniform(key[rows], salt * 4096 + 2 * step)
+    rows = rows[np.argsort(-customers[rows])]
+    all_n, all_t, all_base, all_others = customers[rows], tables[rows], base[rows], others[rows]
+    all_keys = key[rows].astype(np.uint64) + np.broadcast_to(np.asarray(salt).astype(np.uint64), len(key))[rows] * np.uint64(4096 * GOLDEN & (2**64 - 1))
+    ends = -all_n
+    left, seated, step = len(rows), 1, 1
+    while left:
+        n, t, keys = all_n[:left], all_t[:left], all_keys[:left]
+        fresh = (STRENGTH + discount * (all_others[:left] + t)) * all_base[:left]
+        draw = _uniform(keys, 2 * step)
         if seated < 32:
-            new = (draw < share).astype(float)
+            t += draw < fresh / (fresh + seated - discount * t)
         else:
-            new = _binomial(group, share, draw, _uniform(key[rows], salt * 4096 + 2 * step + 1))
-        tables[rows] = t + new
+            group = np.minimum(max(1, seated // 16), n - seated)
+            share = fresh / (fresh + seated + (group - 1) / 2 - discount * t)  # that of the group's middle
+            t += _binomial(group, share, draw, lambda at, keys=keys, step=step: _uniform(keys[at], 2 * step + 1))
         seated += max(1, seated // 16)
         step += 1
-        rows = rows[customers[rows] > seated]
+        left = int(np.searchsorted(ends, -seated))
+    tables[rows] = all_t
     return tables
 
 
@@ -167,14 +230,14 @@ def spelling_counts(vocabulary: DataFrame) -> DataFrame:
         for batch in batches:
             keys, sizes = spelling_keys(batch.column(0).to_pylist())
             learnt = np.repeat(batch.column(1).to_numpy() > 0, sizes)
-            found, place = np.unique(keys, return_inverse=True)
+            found, place = _distinct(keys)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(place, learnt, len(found)).astype(np.int64))], ["key", "c"])
 
     return vocabulary.select("word", "c").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def spelling_model(counts: DataFrame) -> DataFrame:
-    """(key, p): the predictive probabilities of each sample, as an array, after ORDER bytes of context."""
+    """(key, p0, p1, ...): the predictive probabilities of each sample after ORDER bytes of context."""
     levels = range(ORDER, -1, -1)
     seats: dict[int, DataFrame] = {ORDER: written(counts.withColumn("t", F.least("c", F.lit(1))), "seats")}
     for level in levels[1:]:  # one table per dish to begin with
@@ -205,38 +268,47 @@ def spelling_model(counts: DataFrame) -> DataFrame:
     joined, *others = [sample.select("key", F.col("p").alias(f"p{i}")) for i, sample in enumerate(samples)]
     for sample in others:
         joined = joined.join(sample, "key")
-    model = written(joined.select("key", F.array(*[f"p{i}" for i in range(SAMPLES)]).alias("p")), "spelling")
+    model = written(joined, "spelling")
     drop_written(*state.values(), *samples)
     return model
 
 
-VOCABULARY = "shard long, place long, word binary, c long, n long"
+VOCABULARY = "shard long, place long, word binary, hash long, c long, n long"
+BASES = "shard long, place long, hashes binary, base binary"
 
 
-def spelled(vocabulary: DataFrame, model: DataFrame) -> DataFrame:
-    """``vocabulary`` and base, the logarithm of the probability of every word's spelling in each sample.
+def spelled(vocabulary: DataFrame, model: DataFrame, often: int) -> DataFrame:
+    """BASES: hashes of words and the logarithms of their spellings' probabilities in each sample, in the order of ``place``.
 
-    A shard of words asks for each of its keys once.
+    A row per shard, of null place, and one of its own for each word that occurs
+    more than ``often`` times. A shard of words asks for each of its keys once.
     """
     by = vocabulary.groupBy("shard")
 
     def ask(table: pa.Table) -> pa.Table:
         keys = np.unique(spelling_keys(table.column("word").to_pylist())[0])
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(keys), pa.int64()), "key": pa.array(keys)})
+        return pa.table({"shard": np.full(len(keys), table.column("shard")[0].as_py()), "key": keys})
 
     def answer(table: pa.Table, answers: pa.Table) -> pa.Table:
-        words = table.column("word").to_pylist()
-        if not words:
-            return table.append_column("base", pa.array([], pa.list_(pa.float64())))
-        keys, sizes = spelling_keys(words)
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["shard", "place", "hashes", "base"])
+        table = table.sort_by("place")
+        keys, sizes = spelling_keys(table.column("word").to_pylist())
         known = answers.column("key").to_numpy()
         order = np.argsort(known)
-        each = np.log(_lists(answers.column("p").combine_chunks())[1].reshape(-1, SAMPLES)[order])[np.searchsorted(known[order], keys)]
-        total = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0)
-        return table.append_column("base", _rows(total))
+        p = np.stack([answers.column(f"p{i}").to_numpy() for i in range(SAMPLES)], axis=1)
+        each = np.log(p)[order][np.searchsorted(known[order], keys)]
+        base, hashes = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0), table.column("hash").to_numpy()
+        some = np.flatnonzero(table.column("n").to_numpy() > often).tolist()
+        return pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()] * (1 + len(some)), pa.int64()),
+            "place": pa.array([None, *some], pa.int64()),
+            "hashes": pa.array([hashes.tobytes(), *(hashes[i].tobytes() for i in some)], pa.binary()),
+            "base": pa.array([base.tobytes(), *(base[i].tobytes() for i in some)], pa.binary()),
+        })
 
     asked = by.applyInArrow(ask, "shard long, key long").join(model, "key")
-    return by.cogroup(asked.groupBy("shard")).applyInArrow(answer, VOCABULARY + ", base array<double>")
+    return by.cogroup(asked.groupBy("shard")).applyInArrow(answer, BASES)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,12 +316,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _rows(values: np.ndarray) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
-
-
 def _word_hash(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 WORDS = "shard long, word binary, c long, contexts array<long>, counts array<long>"
@@ -259,40 +327,48 @@ STATS = 6
 
 
 class _Seats:
-    """The pairs of one shard, by word: customers and tables of every word after its contexts, and the words in the parent."""
+    """The pairs of one shard, by word: customers and tables of every word after its contexts, and the words in the parent.
+
+    Words are known by their hash, and by their place among the words that several shards share, else -1.
+    """
 
-    def __init__(self, words: list[bytes], slots, base, sizes, contexts, counts):
-        self.words, self.slots, self.base, self.sizes, self.contexts, self.counts = words, slots, base, sizes, contexts, counts
+    def __init__(self, key, shared, base, sizes, contexts, counts):
+        self.key, self.shared, self.base, self.sizes, self.contexts, self.counts = key, shared, base, sizes, contexts, counts
         self.tables = np.repeat(np.minimum(counts, 1)[:, None], SAMPLES, axis=1)
-        opened = np.bincount(self.of, counts > 0, len(words)).astype(np.int64)
+        opened = np.bincount(self.of, counts > 0, len(key)).astype(np.int64)
         self.up_c = np.repeat(opened[:, None], SAMPLES, axis=1)
         self.up_t = np.minimum(self.up_c, 1)
 
-    @property
+    @cached_property
     def of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.words)), self.sizes)
+        return np.repeat(np.arange(len(self.key)), self.sizes)
+
+    @cached_property
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts, and for each pair the place of its own."""
+        return _distinct(self.contexts)
 
     def pack(self) -> bytes:
-        numbers = [self.slots, self.sizes, self.contexts, self.counts, *(x[:, s] for x in (self.tables, self.up_c, self.up_t) for s in range(SAMPLES))]
-        return pickle.dumps([zlib.compress(b" ".join(self.words), 1), self.base.tobytes(), *map(packed, numbers)])
+        numbers = [self.shared + 1, self.sizes, self.contexts, self.counts, *(x[:, s] for x in (self.tables, self.up_c, self.up_t) for s in range(SAMPLES))]
+        return pickle.dumps([self.key.tobytes(), self.base.tobytes(), _packed(*numbers)])
 
     @classmethod
     def unpack(cls, payload: bytes) -> _Seats:
-        words, base, *numbers = pickle.loads(payload)
-        own, numbers = cls.__new__(cls), [unpacked(x) for x in numbers]
-        own.words, own.base = zlib.decompress(words).split(b" "), np.frombuffer(base).reshape(-1, SAMPLES)
-        own.slots, own.sizes, own.contexts, own.counts = numbers[:4]
+        key, base, numbers = pickle.loads(payload)
+        own, numbers = cls.__new__(cls), _unpacked(numbers)
+        own.key, own.base = np.frombuffer(key, np.uint64), np.frombuffer(base).reshape(-1, SAMPLES)
+        own.shared, own.sizes, own.contexts, own.counts = numbers[0] - 1, *numbers[1:4]
         own.tables, own.up_c, own.up_t = (np.stack(numbers[i : i + SAMPLES], axis=1) for i in range(4, 4 + 3 * SAMPLES, SAMPLES))
         return own
 
     def rows(self, shard: int, owners: int, stats: list[float], shared: dict[int, list[float]]) -> pa.Table:
         """One row of the seats, one per word shared with other shards, and one per owner of contexts that asks for their totals."""
-        asked, place = np.unique(self.contexts, return_inverse=True)
+        asked, place = self.asked
         sums = [np.bincount(place, x, len(asked)).astype(np.int64) for x in (self.counts, *self.tables.T)]
-        order, edges = _by_owner(asked, owners)
+        order, edges = _grouped(asked % owners, owners)
         some = [o for o in range(owners) if edges[o] < edges[o + 1]]
         parts = [order[edges[o] : edges[o + 1]] for o in some]
-        messages = [pickle.dumps([packed(np.diff(asked[p], prepend=0)), *(packed(x[p]) for x in sums)]) for p in parts]
+        messages = [_packed(np.diff(asked[p], prepend=0), *(x[p] for x in sums)) for p in parts]
         numbers = [stats, *shared.values(), *[[]] * len(some)]
         return pa.table({
             "shard": pa.array([shard, *shared, *[shard] * len(some)], pa.int64()),
@@ -301,33 +377,29 @@ class _Seats:
             "stats": pa.array([x + [0.0] * (STATS - len(x)) for x in numbers], pa.list_(pa.float64())),
         })
 
-    def totals(self, replies: pa.Table, owners: int) -> np.ndarray:
-        """Customers of every pair's context and its tables per sample, from the owners' replies."""
-        asked, place = np.unique(self.contexts, return_inverse=True)
-        found = np.empty((len(asked), 1 + SAMPLES), np.int64)
+    def totals(self, replies: pa.Table, owners: int) -> list[np.ndarray]:
+        """Customers of every pair's context, and its tables in each sample, from the owners' replies."""
+        asked, place = self.asked
+        order = _grouped(asked % owners, owners)[0]
         numbers = zip(replies.column("owner").to_pylist(), replies.column("payload").to_pylist(), strict=True)
-        columns = [[unpacked(x) for x in pickle.loads(payload)] for _, payload in sorted(numbers)]
-        found[_by_owner(asked, owners)[0]] = np.stack([np.concatenate(x) for x in zip(*columns, strict=True)], axis=1)
-        return found[place]
-
-
-def _by_owner(contexts: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sorted contexts by owner, and where each owner's begin."""
-    owner = contexts % owners
-    order = np.argsort(owner, kind="stable")
-    return order, np.searchsorted(owner[order], np.arange(owners + 1))
+        found = []
+        for column in zip(*[_unpacked(payload) for _, payload in sorted(numbers)], strict=True):
+            total = np.empty(len(asked), np.int64)
+            total[order] = np.concatenate(column)
+            found.append(total[place])
+        return found
 
 
 def _context_totals(state: DataFrame) -> DataFrame:
     """(shard, owner, payload): customers and tables of the contexts a shard asked about, summed over all shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [[unpacked(x) for x in pickle.loads(payload)] for payload in table.column("payload").to_pylist()]
+        asked = [_unpacked(payload) for payload in table.column("payload").to_pylist()]
         ids = [np.cumsum(x[0]) for x in asked]
-        known, place = np.unique(np.concatenate(ids), return_inverse=True)
+        known, place = _distinct(np.concatenate(ids))
         sums = [np.bincount(place, np.concatenate(x), len(known)).astype(np.int64) for x in list(zip(*asked, strict=True))[1:]]
         ends = np.cumsum([len(x) for x in ids])[:-1]
-        replies = [pickle.dumps([packed(x[p]) for x in sums]) for p in np.split(place, ends)]
+        replies = [_packed(*(x[p] for x in sums)) for p in np.split(place, ends)]
         return pa.table([table.column("shard"), table.column("owner"), pa.array(replies, pa.binary())], names=["shard", "owner", "payload"])
 
     return state.where("owner >= 0").select("owner", "shard", "payload").groupBy("owner").applyInArrow(run, "shard long, owner long, payload binary")
@@ -366,135 +438,170 @@ def log_probability(counts, tables, c, t, log_base, customers, all_tables, up_c,
 
 
 SCORES = ["base_score", "score", "known_base_score", "known_score"]
-def _packed_words(table: pa.Table) -> _Seats:
+
+
+def _seats_of(table: pa.Table) -> _Seats:
     sizes, contexts = _lists(table.column("contexts").combine_chunks())
     counts, base = (_lists(table.column(name).combine_chunks())[1] for name in ("counts", "base"))
-    return _Seats(table.column("word").to_pylist(), np.arange(len(sizes)), base.reshape(-1, SAMPLES), sizes, contexts, counts)
+    return _Seats(_word_hash(table.column("word").to_pylist()), np.full(len(sizes), -1), base.reshape(-1, SAMPLES), sizes, contexts, counts)
 
 
-def first_rows(own: _Seats, shard: int, owners: int, split: dict[bytes, int]) -> pa.Table:
+def first_rows(own: _Seats, shard: int, owners: int) -> pa.Table:
     """Rows of STATE before the first sweep."""
-    shared = {split[w]: i for i, w in enumerate(own.words) if w in split}
     opened = own.up_c[:, 0].copy()
-    parts = {j: [float(opened[i])] for j, i in shared.items()}
-    opened[list(shared.values())] = 0
+    at = np.flatnonzero(own.shared >= 0)
+    parts = {j: [float(n)] for j, n in zip(own.shared[at].tolist(), opened[at].tolist(), strict=True)}
+    opened[at] = 0
     few = [float((x == k).sum()) for x in (own.counts, opened) for k in (1, 2)]
     return own.rows(shard, owners, [*few, float(opened.sum()), float((opened > 0).sum())], parts)
 
 
-def word_model(words: DataFrame, split: dict[bytes, list[float]] | None = None, owners: int = 1) -> DataFrame:
+def word_model(words: DataFrame, split: Sequence[tuple[int, list[float]]] = (), owners: int = 1, arrays: bool = True) -> DataFrame:
     """(shard, contexts, logp), one row per shard and by word, from a written table that is removed.
 
     That is (shard, word, c, contexts, counts, base), or the rows of STATE that
-    ``first_rows`` makes of these. ``split`` holds the base of each word whose pairs
+    ``first_rows`` makes of these. ``split`` holds hash and base of each word whose pairs
     lie in several shards. logp holds, for each word and context, log10 of the
-    word's predictive probability, averaged over the samples.
+    word's predictive probability, averaged over the samples. Without ``arrays`` the
+    rows are (shard, logp) and logp the bytes of its numbers.
     """
-    names = list(split or {})
-    index = {w: j for j, w in enumerate(names)}
-    shared_base = np.exp(np.array([split[w] for w in names], float).reshape(len(names), SAMPLES))
+    shared_key = np.array([key for key, _ in split], np.uint64)
+    shared_base = np.exp(np.array([base for _, base in split], float).reshape(len(split), SAMPLES))
     if "payload" not in words.columns:
         rows = words
-        words = written(rows.groupBy("shard").applyInArrow(lambda t: first_rows(_packed_words(t), t.column("shard")[0].as_py(), owners, index), STATE), "seats")
+        words = written(rows.groupBy("shard").applyInArrow(lambda t: first_rows(_seats_of(t), t.column("shard")[0].as_py(), owners), STATE), "seats")
         drop_written(rows)
 
     state = words
-    own, parts = _stats(state, len(names))
+    own, parts = _stats(state, len(split))
     opened = parts[:, 0]
     d_pair, d_up = _estimate(*own[:2]), _estimate(own[2] + (opened == 1).sum(), own[3] + (opened == 2).sum())
     shared_c = np.repeat(opened[:, None], SAMPLES, axis=1)
     shared_t = np.minimum(shared_c, 1)
     up_c, up_t = (np.full(SAMPLES, own[i]) + x.sum(axis=0) for i, x in ((4, shared_c), (5, shared_t)))
 
-    def parents(seats: _Seats, shared_c: np.ndarray, shared_t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    def parents(seats: _Seats, shared_c: np.ndarray, shared_t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Customers and tables of the words in the parent, and which words are shared."""
         c, t = seats.up_c.astype(float), seats.up_t.astype(float)
-        at = [i for i, w in enumerate(seats.words) if w in index] if index else []
-        which = [index[seats.words[i]] for i in at]
-        c[at], t[at] = shared_c[which], shared_t[which]
-        return c, t, at, which
+        at = np.flatnonzero(seats.shared >= 0)
+        c[at], t[at] = shared_c[seats.shared[at]], shared_t[seats.shared[at]]
+        return c, t, at
 
     for sweep in range(WORD_SWEEPS):
 
         def run(state: pa.Table, replies: pa.Table) -> pa.Table:
             own, shard = _Seats.unpack(state.column("payload")[0].as_py()), state.column("shard")[0].as_py()
-            totals, of = own.totals(replies, owners), own.of
-            key = _word_hash(own.words)
+            totals, of, key = own.totals(replies, owners), own.of, own.key
             pair_key = key[of] + (own.contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
-            old_c, old_t, at, which = parents(own, shared_c, shared_t)
+            old_c, old_t, at = parents(own, shared_c, shared_t)
             base = np.exp(own.base)
             above = (old_c - d_up * old_t + (STRENGTH + d_up * up_t) * base) / (STRENGTH + up_c)
-            for s in range(SAMPLES):
-                salt = 1000 + 2 * (sweep * SAMPLES + s)
-                others = np.maximum(0.0, totals[:, 1 + s] - np.minimum(own.counts, 1))
-                own.tables[:, s] = seat(pair_key, own.counts, above[of, s], others, d_pair, salt)
-                own.up_c[:, s] = np.bincount(of, own.tables[:, s], len(key))
-                own.up_t[:, s] = seat(key, own.up_c[:, s], base[:, s], np.maximum(0.0, up_t[s] - np.minimum(own.up_c[:, s], 1)), d_up, salt + 1)
-            parts = {j: own.up_c[i].astype(float).tolist() for i, j in zip(at, which, strict=True)}
+            salts = 1000 + 2 * (sweep * SAMPLES + np.arange(SAMPLES))
+
+            def seated(key: np.ndarray, customers: list[np.ndarray], base: list[np.ndarray], tables: Sequence, discount: float, salts: np.ndarray) -> np.ndarray:
+                """Tables of every dish in each sample, all samples seated at once."""
+                others = [np.maximum(0.0, t - np.minimum(c, 1)) for t, c in zip(tables, customers, strict=True)]
+                found = seat(np.tile(key, SAMPLES), np.concatenate(customers), np.concatenate(base), np.concatenate(others), discount, np.repeat(salts, len(key)))
+                return found.reshape(SAMPLES, -1).T
+
+            own.tables = seated(pair_key, [own.counts] * SAMPLES, [above[of, s] for s in range(SAMPLES)], totals[1:], d_pair, salts)
+            own.up_c = np.stack([np.bincount(of, t, len(key)) for t in own.tables.T], axis=1).astype(np.int64)
+            own.up_t = seated(key, list(own.up_c.T), list(base.T), up_t, d_up, salts + 1)
+            parts = dict(zip(own.shared[at].tolist(), own.up_c[at].astype(float).tolist(), strict=True))
             own.up_c[at] = own.up_t[at] = 0
             return own.rows(shard, owners, [*own.up_c.sum(axis=0).astype(float).tolist(), *own.up_t.sum(axis=0).astype(float).tolist()], parts)
 
         before = state
         state = written(before.where(F.col("owner") == SEATED).groupBy("shard").cogroup(_context_totals(before).groupBy("shard")).applyInArrow(run, STATE), "seats")
         drop_written(before)
-        own, parts = _stats(state, len(names))
+        own, parts = _stats(state, len(split))
         shared_c = parts[:, :SAMPLES]
         shared_t = np.zeros_like(shared_c)
         for s in range(SAMPLES):
             others = np.maximum(0.0, up_t[s] - np.minimum(shared_c[:, s], 1))
-            shared_t[:, s] = seat(_word_hash(names), shared_c[:, s], shared_base[:, s], others, d_up, 1001 + 2 * (sweep * SAMPLES + s))
+            shared_t[:, s] = seat(shared_key, shared_c[:, s], shared_base[:, s], others, d_up, 1001 + 2 * (sweep * SAMPLES + s))
         up_c, up_t = own[:SAMPLES] + shared_c.sum(axis=0), own[SAMPLES : 2 * SAMPLES] + shared_t.sum(axis=0)
 
     def predict(state: pa.Table, replies: pa.Table) -> pa.Table:
         own, shard = _Seats.unpack(state.column("payload")[0].as_py()), state.column("shard")[0].as_py()
         totals, of = own.totals(replies, owners), own.of
-        c, t, _, _ = parents(own, shared_c, shared_t)
-        logp = log_probability(own.counts, own.tables, c[of], t[of], own.base[of], totals[:, 0], totals[:, 1:], up_c, up_t, d_pair, d_up)
-        return pa.table({
-            "shard": pa.array([shard], pa.int64()), "contexts": pa.array([own.contexts]), "logp": pa.array([logp.astype(np.float32)]),
-        })
+        c, t, _ = parents(own, shared_c, shared_t)
+        logp = log_probability(own.counts, own.tables, c[of], t[of], own.base[of], totals[0], np.stack(totals[1:], axis=1), up_c, up_t, d_pair, d_up).astype("<f4")
+        if not arrays:
+            return pa.table({"shard": pa.array([shard], pa.int64()), "logp": pa.array([logp.tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "contexts": pa.array([own.contexts]), "logp": pa.array([logp])})
 
     seats = state.where(F.col("owner") == SEATED).groupBy("shard")
-    return seats.cogroup(_context_totals(state).groupBy("shard")).applyInArrow(predict, "shard long, contexts array<long>, logp array<float>")
+    return seats.cogroup(_context_totals(state).groupBy("shard")).applyInArrow(predict, "shard long, contexts array<long>, logp array<float>" if arrays else "shard long, logp binary")
+
+
+def _binaries(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """Strings of bytes of the given sizes that lie one after the other in ``data``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes, dtype=np.int64))), pa.py_buffer(data)])
+
+
+def _bytes_of(words: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Where the words of an array without nulls begin, and their bytes."""
+    _, edges, data = words.buffers()
+    return np.frombuffer(edges, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64), memoryview(data or b"")
+
+
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.LargeBinaryArray]:
+    """Tokens of every text as places among the distinct words, how many each text has, and those words.
+
+    The words of all texts are found and numbered at once, without an object per token.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    inside = np.zeros(len(data) + 1, bool)  # shifted by one, so that a change is where a word begins or ends
+    inside[1:] = ~SPACE[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # each text ends in a space, so every word has an end
+    starts = edges[::2]
+    found = _binaries(data[inside[1:]], edges[1::2] - starts).dictionary_encode()
+    ends = np.searchsorted(starts, np.cumsum(sizes + 1))
+    tokens = np.insert(found.indices.to_numpy().astype(np.int64), ends, len(found.dictionary))
+    return tokens, np.diff(ends, prepend=0) + 1, pa.concat_arrays([found.dictionary, pa.array([END], pa.large_binary())])
+
+
+TEXTS, DOCUMENT = -2, -1  # rows of a bundle that belong to no shard: the tokens of all its documents, and a document
 
 
 class _Bundle:
-    """Documents of one task: their tokens as places among the distinct words, ordered by hash at the end."""
+    """Documents of one task: their tokens as places among the distinct words, ordered by hash."""
 
     def __init__(self):
-        self.known, self.rows, self.size = Places(), [], 0
+        self.rows, self.size = [], 0
 
     def add(self, key, learns: bool, text: bytes) -> None:
-        tokens = text.lower().split()
-        tokens.append(END)
-        self.rows.append((key, learns, np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))))
-        self.size += len(text)
+        self.rows.append((key, learns, text))
+        self.size += len(text) + 1
 
     def emit(self, number: int, shards: int, id_type: pa.DataType) -> pa.RecordBatch:
-        """One row per document with its tokens, and one per shard with the words asked about and their counts."""
-        words = list(self.known)
+        """One row per document, one with the tokens of all, and one per shard with the words asked about and their counts."""
+        keys, learns, texts = zip(*self.rows, strict=True)
+        tokens, sizes, distinct = tokens_of(list(texts))
+        words = distinct.to_pylist()
         key = _word_hash(words)
         order = _by_hash(words, key)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        keys, learns, rows = zip(*self.rows, strict=True)
-        rows = [rank[t] for t in rows]
-        tokens, learnt = np.concatenate(rows), np.repeat(learns, [len(t) for t in rows])
-        counts, every = np.bincount(tokens, learnt, len(words)).astype(np.int64), np.bincount(tokens, minlength=len(words))
-        shard = _range(key[order], shards)
-        edges = np.searchsorted(shard, np.arange(shards + 1))
+        tokens = rank[tokens]
+        counts, every = np.bincount(tokens, np.repeat(learns, sizes), len(words)).astype(np.int64), np.bincount(tokens, minlength=len(words))
+        starts, data = _bytes_of(distinct.take(pa.array(order)))
+        edges = np.searchsorted(_range(key[order], shards), np.arange(shards + 1))
         some = [s for s in range(shards) if edges[s] < edges[s + 1]]
         asked = [slice(edges[s], edges[s + 1]) for s in some]
-        named = [b" ".join([words[i] for i in order[a].tolist()]) for a in asked]
+        named = [pa.compress(data[starts[a.start] : starts[a.stop]], CODEC, asbytes=True) for a in asked]
         n, m = len(keys), len(some)
         return pa.RecordBatch.from_arrays([
-            pa.array([number] * (n + m), pa.int64()),
-            pa.array([-1] * n + some, pa.int64()),
-            pa.array([*map(packed, rows), *(zlib.compress(x, 1) for x in named)], pa.binary()),
-            pa.array([b""] * n + [pickle.dumps([packed(counts[a]), packed(every[a])]) for a in asked], pa.binary()),
-            pa.array([*keys, *[None] * m], id_type),
-            pa.array([*(not x for x in learns), *[False] * m], pa.bool_()),
-        ], ["bundle", "shard", "payload", "counts", "id", "held_out"])
+            pa.array([number] * (1 + n + m), pa.int64()),
+            pa.array([TEXTS, *[DOCUMENT] * n, *some], pa.int64()),
+            pa.array([_packed(sizes, tokens), *[None] * n, *named], pa.binary()),
+            pa.array([None] * (1 + n) + [_packed(np.diff(starts[a.start : a.stop + 1]), counts[a], every[a]) for a in asked], pa.binary()),
+            pa.array([None, *range(n), *[None] * m], pa.int64()),
+            pa.array([None, *keys, *[None] * m], id_type),
+            pa.array([None, *(not x for x in learns), *[None] * m], pa.bool_()),
+        ], ["bundle", "shard", "payload", "counts", "place", "id", "held_out"])
 
 
 def _by_hash(words: list[bytes], key: np.ndarray) -> np.ndarray:
@@ -539,15 +646,15 @@ class _Numbers:
         return slot * self.total + context
 
 
-def _pairs(docs: pa.Table, replies: pa.Table, numbers: _Numbers) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a bundle's documents, numbers and counts of its words, its distinct pairs, and for each token its pair."""
+def _pairs(docs: pa.Table, replies: pa.Table, numbers: _Numbers) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bundle's documents, their sizes and tokens, numbers and counts of its words, its distinct pairs, and for each token its pair."""
     replies = sorted(zip(replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-    found = [(s, *map(unpacked, pickle.loads(payload))) for s, payload in replies]
+    found = [(s, *_unpacked(payload)) for s, payload in replies]
     ids, c = np.concatenate([numbers.starts[s] + places for s, places, _ in found]), np.concatenate([n for *_, n in found])
-    tokens = [unpacked(p) for p in docs.column("payload").to_pylist()]
-    each = np.concatenate(tokens)
-    pairs, place = np.unique(each * len(ids) + np.roll(each, 1), return_inverse=True)  # a document's first word follows an end
-    return tokens, ids, c, pairs, place
+    is_document = pc.equal(docs.column("shard"), DOCUMENT)
+    sizes, tokens = _unpacked(docs.filter(pc.invert(is_document)).column("payload")[0].as_py())
+    pairs, place = _distinct(tokens * len(ids) + np.roll(tokens, 1))  # a document's first word follows an end
+    return docs.filter(is_document).sort_by("place"), sizes, tokens, ids, c, pairs, place
 
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", split_at: int = SPLIT) -> DataFrame:
@@ -583,111 +690,107 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
         if bundle.rows:
             yield bundle.emit(number, shards, id_type)
 
-    rows = written(own.mapInArrow(read, f"bundle long, shard long, payload binary, counts binary, id {kind}, held_out boolean"), "bundles")
+    rows = written(own.mapInArrow(read, f"bundle long, shard long, payload binary, counts binary, place long, id {kind}, held_out boolean"), "bundles")
     asked = rows.where("shard >= 0").select("bundle", "shard", "payload", "counts").groupBy("shard")
 
     def count(table: pa.Table) -> pa.Table:
         """A row per word of the shard, and one per bundle with the places and counts of the words it asks about."""
-        known, places, counts = Places(), [], []
-        for payload, numbers in zip(table.column("payload").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            words = zlib.decompress(payload).split(b" ")
-            places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            counts.append([unpacked(x) for x in pickle.loads(numbers)])
-        words = list(known)
-        order = _by_hash(words, _word_hash(words))
+        numbers = [_unpacked(x) for x in table.column("counts").to_pylist()]
+        sizes, counts, every = map(np.concatenate, zip(*numbers, strict=True))
+        data = b"".join(pa.decompress(x, int(n.sum()), CODEC, asbytes=True) for x, (n, *_) in zip(table.column("payload").to_pylist(), numbers, strict=True))
+        known = _binaries(data, sizes).dictionary_encode()
+        words = known.dictionary.to_pylist()
+        key = _word_hash(words)
+        order = _by_hash(words, key)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        places = [rank[p] for p in places]
-        c, n = (np.bincount(np.concatenate(places), np.concatenate(x), len(words)).astype(np.int64) for x in zip(*counts, strict=True))
-        replies = [pickle.dumps([packed(p), packed(c[p])]) for p in places]
-        w, b = len(words), len(places)
-        return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()] * (w + b), pa.int64()), "place": pa.array([*range(w), *[None] * b], pa.int64()),
-            "word": pa.array([*(words[i] for i in order.tolist()), *[None] * b], pa.binary()), "c": pa.array([*c.tolist(), *[None] * b], pa.int64()), "n": pa.array([*n.tolist(), *[None] * b], pa.int64()),
-            "bundle": pa.array([*[None] * w, *table.column("bundle").to_pylist()], pa.int64()), "payload": pa.array([*[None] * w, *replies], pa.binary()),
-        })
+        places = rank[known.indices.to_numpy()]
+        c, n = (np.bincount(places, x, len(words)).astype(np.int64) for x in (counts, every))
+        replies = [_packed(p, c[p]) for p in np.split(places, np.cumsum([len(x) for x, *_ in numbers])[:-1])]
+        w, b = len(words), len(numbers)
+        of_words = [np.full(w, table.column("shard")[0].as_py()), np.arange(w), known.dictionary.take(pa.array(order)).cast(pa.binary()), key[order].view(np.int64), c, n]
+        shard, *others = ((x if isinstance(x, pa.Array) else pa.array(x)) for x in of_words)
+        return pa.Table.from_arrays([
+            pa.concat_arrays([shard, pa.array([table.column("shard")[0].as_py()] * b, pa.int64())]), *(pa.concat_arrays([x, pa.nulls(b, x.type)]) for x in others),
+            pa.concat_arrays([pa.nulls(w, pa.int64()), table.column("bundle").combine_chunks()]), pa.array([*[None] * w, *replies], pa.binary()),
+        ], ["shard", "place", "word", "hash", "c", "n", "bundle", "payload"])
 
     found = written(asked.applyInArrow(count, VOCABULARY + ", bundle long, payload binary"), "vocabulary")
-    vocabulary, replies = found.where("bundle IS NULL").select("shard", "place", "word", "c", "n"), found.where("bundle IS NOT NULL").select("bundle", "shard", "payload")
+    vocabulary, replies = found.where("bundle IS NULL").select("shard", "place", "word", "hash", "c", "n"), found.where("bundle IS NOT NULL").select("bundle", "shard", "payload")
     sizes, total, distinct = [0] * shards, 0, 0
     for shard, n, c, learnt in vocabulary.groupBy("shard").agg(F.count("*"), F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).collect():
         sizes[shard], total, distinct = n, total + c, distinct + learnt
     starts = np.append(0, np.cumsum(sizes))
     often = vocabulary.where(F.col("n") > split_at).select("shard", "place", "n").collect()
     numbers = _Numbers(sizes, [(int(starts[r.shard]) + r.place, min(shards, r.n // split_at + 1)) for r in often])
-    kept = rows.where("shard < 0").select("bundle", "payload", "id", "held_out").groupBy("bundle")
+    kept = rows.where("shard < 0").select("bundle", "shard", "payload", "place", "id", "held_out").groupBy("bundle")
 
     def ask(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        tokens, ids, _, pairs, place = _pairs(docs, replies, numbers)
-        learnt = np.repeat(~docs.column("held_out").to_numpy(), [len(t) for t in tokens])
+        docs, sizes, _, ids, _, pairs, place = _pairs(docs, replies, numbers)
+        learnt = np.repeat(~docs.column("held_out").to_numpy(), sizes)
         n = np.bincount(place, learnt, len(pairs)).astype(np.int64)
         word, context = ids[pairs // len(ids)], ids[pairs % len(ids)]
         shard = numbers.shard(word, context)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        order, edges = _grouped(shard, shards)
         some = [s for s in range(shards) if edges[s] < edges[s + 1]]
         parts = [order[edges[s] : edges[s + 1]] for s in some]
         return pa.table({
             "bundle": pa.array([docs.column("bundle")[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some, pa.int64()),
-            "payload": pa.array([pickle.dumps([packed(np.diff(word[p], prepend=0)), packed(context[p])]) for p in parts], pa.binary()),
-            "counts": pa.array([packed(n[p]) for p in parts], pa.binary()),
+            "payload": pa.array([_packed(np.diff(word[p], prepend=0), context[p]) for p in parts], pa.binary()),
+            "counts": pa.array([_packed(n[p]) for p in parts], pa.binary()),
         })
 
     requests = written(kept.cogroup(replies.groupBy("bundle")).applyInArrow(ask, "bundle long, shard long, payload binary, counts binary"), "pairs")
     model = spelling_model(spelling_counts(vocabulary))
-    bases = written(spelled(vocabulary, model), "spelled")
+    bases = written(spelled(vocabulary, model, split_at), "spelled")
     drop_written(model)
-    split = [(r.word, list(r.base)) for r in bases.where(F.col("n") > split_at).orderBy("shard", "place").collect()]
-    index = {w: j for j, (w, _) in enumerate(split)}
+    alone = bases.where("place IS NOT NULL").orderBy("shard", "place").collect()
+    split = [(int(np.frombuffer(r.hashes, np.uint64)[0]), np.frombuffer(r.base).tolist()) for r in alone]
+    split_key, split_base = np.array([key for key, _ in split], np.uint64), np.array([base for _, base in split], float).reshape(-1, SAMPLES)
     floor = float(total + distinct + 1)
 
     def looked_up(requests: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the distinct pairs of a shard, the place of every asked one, and where each bundle's end."""
         shard = requests.column("shard")[0].as_py()
-        each = [map(unpacked, pickle.loads(payload)) for payload in requests.column("payload").to_pylist()]
+        each = [_unpacked(payload) for payload in requests.column("payload").to_pylist()]
         asked = [numbers.keys(shard, np.cumsum(word), context) for word, context in each]
-        return *np.unique(np.concatenate(asked), return_inverse=True), np.cumsum([len(x) for x in asked])
+        return *_distinct(np.concatenate(asked)), np.cumsum([len(x) for x in asked])
 
     def begin(requests: pa.Table, words: pa.Table) -> pa.Table:
         if not requests.num_rows:
             return pa.table({"shard": pa.array([], pa.int64()), "owner": pa.array([], pa.int64()), "payload": pa.array([], pa.binary()), "stats": pa.array([], pa.list_(pa.float64()))})
         shard = requests.column("shard")[0].as_py()
         keys, place, _ = looked_up(requests)
-        counts = np.bincount(place, np.concatenate([unpacked(x) for x in requests.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+        counts = np.bincount(place, np.concatenate([_unpacked(x)[0] for x in requests.column("counts").to_pylist()]), len(keys)).astype(np.int64)
         slots, sizes = np.unique(keys // numbers.total, return_counts=True)
-        order = np.argsort(words.column("place").to_numpy())
-        names = words.column("word").to_pylist()
-        base = _lists(words.column("base").combine_chunks())[1].reshape(-1, SAMPLES)[order] if names else np.zeros((0, SAMPLES))
-        names = [*(names[i] for i in order.tolist()), *(w for w, _ in split)]
-        base = np.concatenate([base, np.array([b for _, b in split], float).reshape(-1, SAMPLES)])
-        own = _Seats([names[i] for i in slots.tolist()], slots, base[slots], sizes, keys % numbers.total, counts)
-        return first_rows(own, shard, owners, index)
-
-    first = written(requests.groupBy("shard").cogroup(bases.groupBy("shard")).applyInArrow(begin, STATE), "seats")
+        own_key, own_base = (np.frombuffer(b"".join(words.column(name).to_pylist()), kind) for name, kind in (("hashes", np.uint64), ("base", float)))
+        key, base = np.append(own_key, split_key), np.concatenate([own_base.reshape(-1, SAMPLES), split_base])
+        own = _Seats(key[slots], np.maximum(-1, slots - len(own_key)), base[slots], sizes, keys % numbers.total, counts)
+        return first_rows(own, shard, owners)
+
+    first = written(requests.groupBy("shard").cogroup(bases.where("place IS NULL").groupBy("shard")).applyInArrow(begin, STATE), "seats")
     drop_written(bases)
-    predicted = word_model(first, dict(split), owners)
-    scored = written(predicted.select("shard", "logp"), "scored")
+    predicted = word_model(first, split, owners, arrays=False)
+    scored = written(predicted, "scored")
     drop_written(predicted)
 
     def answer(requests: pa.Table, scored: pa.Table) -> pa.Table:
         _, place, ends = looked_up(requests)
-        logp = _lists(scored.column("logp").combine_chunks())[1].astype("<f4")
+        logp = np.frombuffer(scored.column("logp")[0].as_py(), "<f4")
         found = [x.tobytes() for x in np.split(logp[place], ends[:-1])]
         return pa.table({"bundle": requests.column("bundle"), "shard": requests.column("shard"), "word": pa.array([False] * len(found)), "payload": pa.array(found, pa.binary())})
 
     def finish(docs: pa.Table, table: pa.Table) -> pa.Table:
         words = table.column("word")
-        tokens, ids, c, pairs, place = _pairs(docs, table.filter(words), numbers)
+        docs, sizes, tokens, ids, c, pairs, place = _pairs(docs, table.filter(words), numbers)
         answers = table.filter(pc.invert(words))
         parts = sorted(zip(answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
-        order = np.argsort(numbers.shard(ids[pairs // len(ids)], ids[pairs % len(ids)]), kind="stable")
+        order = _grouped(numbers.shard(ids[pairs // len(ids)], ids[pairs % len(ids)]), shards)[0]
         logp = np.empty(len(pairs))
         logp[order] = np.frombuffer(b"".join([x for _, x in parts]), "<f4")
-        base, each = np.log10((c + 1) / floor), np.concatenate(tokens)
-        known, logp = c[each] > 0, logp[place]
-        base = base[each]
-        starts = np.cumsum([0, *(len(t) for t in tokens[:-1])])
-        sums = [pa.array(np.add.reduceat(x, starts)) for x in (np.ones(len(each), np.int64), known.astype(np.int64), base, logp, np.where(known, base, 0.0), np.where(known, logp, 0.0))]
+        known, base, logp = (c > 0)[tokens], np.log10((c + 1) / floor)[tokens], logp[place]
+        starts = np.cumsum(sizes) - sizes
+        sums = [pa.array(x) for x in (sizes, *(np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, logp, np.where(known, base, 0.0), np.where(known, logp, 0.0))))]
         return pa.table([docs.column("id"), docs.column("held_out"), *sums], names=["id", "held_out", "n_tokens", "n_known", *SCORES])
 
     answers = written(requests.select("bundle", "shard", "payload").groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(answer, "bundle long, shard long, word boolean, payload binary"), "answers")

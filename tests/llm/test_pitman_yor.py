@@ -213,3 +213,45 @@ def test_seating_follows_the_restaurant(n, tolerance, base):
         below += exact.get(t, 0.0) - seen[t] / rows
         worst = max(worst, abs(below))
     assert worst < tolerance
+
+
+def test_a_second_draw_is_made_only_where_needed(monkeypatch):
+    """Random numbers cost most of a sweep: a group of which few are expected to open tables takes one."""
+    drawn, uniform = [], P._uniform
+    monkeypatch.setattr(P, "_uniform", lambda key, salt: drawn.append(len(key)) or uniform(key, salt))
+    P.seat(np.arange(100), np.full(100, 32), np.full(100, 1e-6), np.full(100, 40.0), 0.6, 5)
+    assert sum(drawn) == 31 * 100
+    drawn.clear()
+    P.seat(np.arange(100), np.full(100, 64), np.full(100, 1e-6), np.full(100, 40.0), 0.6, 5)
+    assert sum(drawn) == (31 + 14) * 100  # the others come in 8 groups of two and 6 of at most three customers
+
+
+def test_queues_do_not_depend_on_those_beside_them():
+    rng = np.random.default_rng(4)
+    key, n, salt = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 3000, 300), rng.integers(0, 50, 300)
+    base, others = rng.uniform(1e-6, 0.5, 300), rng.uniform(0, 500, 300)
+    found = P.seat(key, n, base, others, 0.6, salt)
+    each = [P.seat(key[i : i + 1], n[i : i + 1], base[i : i + 1], others[i : i + 1], 0.6, int(salt[i]))[0] for i in range(300)]
+    assert found.tolist() == each
+
+
+def test_a_bundle_holds_the_tokens_of_its_documents_once():
+    texts = [b"A cat\x0b\x0csat", b"", b" \t\n\r ", b"on the\x1cmat\x00", b"the cat", "été 中文\u00a0A".encode(), b"a" * 100_000]
+    bundle = P._Bundle()
+    for i, text in enumerate(texts):
+        bundle.add(i, i % 2 == 0, text)
+    rows = bundle.emit(7, 3, P.pa.int64()).to_pylist()
+    assert sum(r["payload"] is not None for r in rows if r["shard"] < 0) == 1
+    assert [(r["id"], r["held_out"]) for r in rows if r["shard"] == P.DOCUMENT] == [(i, i % 2 == 1) for i in range(len(texts))]
+    tokens, sizes, words = P.tokens_of(texts)
+    expected = [[*t.lower().split(), P.END] for t in texts]
+    assert sizes.tolist() == [len(x) for x in expected]
+    assert words.take(P.pa.array(tokens)).to_pylist() == [w for x in expected for w in x]
+
+
+@pytest.mark.parametrize("largest", [1, 50, 2**40, 2**62])
+def test_distinct_numbers_and_places(largest):
+    values = np.random.default_rng(3).integers(0, largest, 1000) // 3
+    for x in (values, values[:1], values[:0]):
+        assert all(np.array_equal(a, b) for a, b in zip(P._distinct(x), np.unique(x, return_inverse=True), strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(P._unpacked(P._packed(values, values[:0])), (values, values[:0]), strict=True))
